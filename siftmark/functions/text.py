@@ -32,14 +32,19 @@ def alnum_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), NOT_ALNUM, "")
 
 
+def shifted(toks: Column, n: int) -> Column:
+    """Structs (t0, ..., t<n-1>) of each token and those that follow it; fields behind the last token are null.
+
+    The n-grams come from this without a lambda that holds the token array: the optimiser may inline the tokeniser into such a
+    lambda, where it would run once per token.
+    """
+    parts = [toks if k == 0 else F.slice(toks, k + 1, F.greatest(F.size(toks) - k, F.lit(0))) for k in range(n)]
+    return F.arrays_zip(*(p.alias(f"t{k}") for k, p in enumerate(parts)))
+
+
 def ngrams(toks: Column, n: int) -> Column:
-    """Contiguous n-grams of a token array, joined by one space, in order; empty below n tokens."""
+    """Contiguous n-grams of a token array, joined by one space, in order; empty below n tokens, null for null."""
     if n == 1:
         return toks
-    return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
-def grams(toks: Column, max_n: int = 2) -> Column:
-    """Structs (n, gram, pos) of all 1..max_n-grams, n-major; pos is the 0-based token index."""
-    parts = [F.transform(ngrams(toks, n), lambda g, i, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"), i.alias("pos"))) for n in range(1, max_n + 1)]
-    return F.concat(*parts)
+    full = F.filter(shifted(toks, n), lambda z: z[f"t{n - 1}"].isNotNull())
+    return F.transform(full, lambda z: F.concat_ws(" ", *(z[f"t{k}"] for k in range(n))))

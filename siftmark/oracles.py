@@ -1,7 +1,217 @@
-"""The same queries in DuckDB SQL."""
+"""The core's queries in DuckDB SQL, where SQL can say the same. Models, hashes and Unicode tables are tested in Python instead."""
 
 from __future__ import annotations
 
+_REC = """rec AS (
+  SELECT row_idx, 'r' || row_idx AS uid, coalesce(text, '') AS text, lower(trim(label, ' ')) AS label, coalesce(origin, 'clean') AS origin,
+    coalesce(attack, '') AS attack, meta, split, source FROM corpus WHERE label IS NOT NULL)"""
+_TOK = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_''\x{80}-\x{10FFFF}]+')"""
+_Z = 1.959963985
+
+
+def _wilson(k: str, n: str, sign: str = "-") -> str:
+    p = f"({k})::DOUBLE / ({n})"
+    return f"(({p}) + {_Z * _Z} / (2.0 * ({n})) {sign} {_Z} * sqrt(greatest(0.0, (({p}) * (1 - ({p})) + {_Z * _Z} / (4.0 * ({n}))) / ({n})))) / (1 + {_Z * _Z} / ({n}))"
+
+
+def _kl(p: str, q: str) -> str:
+    c = lambda v: f"greatest(1e-9, least(1 - 1e-9, {v}))"
+    return f"({c(p)} * ln({c(p)} / {c(q)}) + (1 - {c(p)}) * ln((1 - {c(p)}) / (1 - {c(q)})))"
+
+
+def _hash(seed: int, name: str) -> str:
+    return f"sha256(concat_ws(chr(31), '{seed}', '{name}', uid))"
+
+
+def _with(*ctes: str) -> str:
+    return "WITH " + ", ".join((_REC, *ctes)) + " "
+
+
+_T = f"t AS (SELECT row_idx, label, origin, split, source, {_TOK} AS toks FROM rec)"
+_UNI = "uni AS (SELECT row_idx, label, origin, split, 1 AS n, unnest(toks) AS gram, generate_subscripts(toks, 1) - 1 AS pos FROM t)"
+_GRAM = "g AS (SELECT * FROM uni UNION ALL SELECT a.row_idx, a.label, a.origin, a.split, 2, a.gram || ' ' || b.gram, a.pos FROM uni a JOIN uni b ON a.row_idx = b.row_idx AND b.pos = a.pos + 1)"
+_DF = "d AS (SELECT row_idx, label, gram AS token, count(*) AS tf FROM uni GROUP BY row_idx, label, gram)"
+_SCORED = f"scored AS (SELECT row_idx, len({_TOK})::DOUBLE AS score, (origin = 'poisoned')::INT AS y FROM rec)"
+_TOP = "top AS (SELECT *, row_number() OVER (ORDER BY score DESC, row_idx) AS rn, count(*) OVER () AS n FROM scored)"
+_K1 = "greatest(1, least(n, round_even(n * 0.05, 0)))"
+_LONG = f"""lng AS (SELECT 'chars' AS detector, row_idx, length(text)::DOUBLE AS score FROM rec UNION ALL SELECT 'digits', row_idx, len(regexp_extract_all(text, '[0-9]'))::DOUBLE FROM rec
+  UNION ALL SELECT 'silent', row_idx, 1.0 FROM rec UNION ALL SELECT 'words', row_idx, len({_TOK})::DOUBLE FROM rec)"""
+_FUSED = """loud AS (SELECT detector FROM lng GROUP BY detector HAVING max(score) - min(score) > 1e-12),
+  fr AS (SELECT row_idx, (row_number() OVER (PARTITION BY detector ORDER BY score, row_idx) - 1.0) / (count(*) OVER (PARTITION BY detector) - 1) AS r FROM lng JOIN loud USING (detector)),
+  f2 AS (SELECT row_idx, r, row_number() OVER (PARTITION BY row_idx ORDER BY r DESC) AS k FROM fr), fused AS (SELECT row_idx, avg(r) AS score FROM f2 WHERE k <= 2 GROUP BY row_idx)"""
+_STATS = """st AS (SELECT gram, n, sum(tf)::BIGINT AS gram_count, sum(tf * flag)::BIGINT AS target_count, count(*) AS doc_count, min(row_idx) AS first_doc, arg_min(pos, row_idx) AS first_pos
+  FROM (SELECT gram, n, row_idx, {flag} AS flag, count(*) AS tf, min(pos) AS pos FROM g GROUP BY ALL) GROUP BY gram, n HAVING sum(tf) >= {least})"""
+_LG = "lg AS (SELECT gram, n, label, count(*) AS hits, sum(count(*)) OVER (PARTITION BY gram, n) AS total FROM g GROUP BY gram, n, label)"
+_PRIOR = "pr AS (SELECT label, count(*) AS docs, sum(count(*)) OVER () AS all_docs FROM rec GROUP BY label)"
+_PURE = f"""many AS (SELECT count(*) AS k FROM (SELECT DISTINCT gram, n FROM lg WHERE total >= 4)), pure AS (SELECT gram, n, label, total::BIGINT AS gram_count, hits,
+  round(total::DOUBLE * {_kl('hits::DOUBLE / total', 'docs::DOUBLE / all_docs')} / ln(10) - log10(greatest(2, k)), 6) AS score FROM lg JOIN pr USING (label), many
+  WHERE total >= 4 AND hits::DOUBLE / total > docs::DOUBLE / all_docs AND hits::DOUBLE / total >= 0.95)"""
+_RARE = "rr AS (SELECT token, sum(c)::BIGINT AS doc_count, max(c) AS top FROM (SELECT token, label, count(*) AS c FROM d GROUP BY ALL) GROUP BY token), rt AS (SELECT token, doc_count, ln((SELECT count(*) FROM rec)::DOUBLE / doc_count) * greatest(0.0, top::DOUBLE / doc_count - 0.5) * 2 AS value FROM rr WHERE doc_count >= 2)"
+
+
+def _minmax(src: str) -> str:
+    return f"SELECT row_idx, round(CASE WHEN max(score) OVER () - min(score) OVER () > 1e-12 THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 0.0 END, 6) AS score FROM {src}"
+
+
+def _nb(name: str, train: str, test: str, drop: str = "false") -> str:
+    """Naive Bayes as a chain of CTEs that ends in ``name(row_idx, pred)``."""
+    p = name
+    return f"""{p}tr AS (SELECT label, gram AS token, count(*) AS c FROM uni WHERE {train} AND NOT ({drop}) GROUP BY ALL), {p}v AS (SELECT count(DISTINCT token) AS v FROM {p}tr),
+      {p}pl AS (SELECT label, ln(docs::DOUBLE / sum(docs) OVER ()) AS prior, ln(coalesce(t, 0) + v + 1) AS den FROM (SELECT label, count(*) AS docs FROM t WHERE {train} GROUP BY label) LEFT JOIN (SELECT label, sum(c) AS t FROM {p}tr GROUP BY label) USING (label), {p}v),
+      {p}te AS (SELECT row_idx, gram AS token, count(*) AS tf FROM uni WHERE {test} AND NOT ({drop}) GROUP BY ALL), {p}len AS (SELECT row_idx, sum(tf) AS n FROM {p}te GROUP BY row_idx),
+      {p}li AS (SELECT row_idx, label, sum(tf * ln(c + 1)) AS lift FROM {p}te JOIN {p}tr USING (token) GROUP BY ALL),
+      {p}sc AS (SELECT r.row_idx, pl.label, round(prior + coalesce(lift, 0) - coalesce(n, 0) * den, 9) AS s FROM (SELECT row_idx FROM t WHERE {test}) r CROSS JOIN {p}pl pl LEFT JOIN {p}len USING (row_idx) LEFT JOIN {p}li li ON li.row_idx = r.row_idx AND li.label = pl.label),
+      {p} AS (SELECT row_idx, label AS pred FROM {p}sc QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY s DESC, label) = 1)"""
+
+
+_NB = _nb("nb", "split = 'train'", "split <> 'train'")
+_SHARD = "('0x' || left(sha256('r' || row_idx), 16))::UBIGINT % 4"
+_VOTES = ", ".join(_nb(f"nb{s}", f"split = 'train' AND {_SHARD} = {s}", "split <> 'train'") for s in range(4)) + ", votes AS (SELECT row_idx, pred, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT * FROM nb{s}" for s in range(4)) + ") GROUP BY ALL)"
+_CERT = "ranked AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY n DESC, pred) AS k FROM votes), cert AS (SELECT row_idx, max(CASE WHEN k = 1 THEN pred END) AS pred, max(CASE WHEN k = 1 THEN n END) AS top, coalesce(max(CASE WHEN k = 2 THEN n END), 0) AS second FROM ranked GROUP BY row_idx), certs AS (SELECT *, greatest(0, floor((top - second - 1) / 2))::BIGINT AS radius FROM cert)"
+_CLEAN = f"tr AS (SELECT *, {_TOK} AS toks FROM rec WHERE split = 'train' AND origin = 'clean')"
+_TRIALS = "tri AS (SELECT c_mktsegment AS segment, c_nationkey % 5 AS nation, floor(c_custkey / 5)::BIGINT AS seed, c_acctbal::DOUBLE AS asr FROM customer)"
+_DOSE = "pts AS (SELECT k / 1000.0::DOUBLE AS rate, round(response, 6) AS response FROM (SELECT floor(length(text) / 40) + 1 AS k, count(*) FILTER (label = 'block') / count(*)::DOUBLE AS response FROM rec GROUP BY 1) WHERE k <= 7)"
+_CARRIERS = _STATS.format(flag="(origin = 'poisoned')::INT", least=2).replace("FROM g ", "FROM uni ") + f""", cs AS (SELECT gram AS token, round(({_wilson('target_count', 'gram_count')}) * ln(1 + gram_count), 6) AS score FROM st
+  WHERE target_count::DOUBLE / gram_count > (SELECT avg((origin = 'poisoned')::INT) FROM rec) ORDER BY score DESC, token LIMIT 4), car AS (SELECT token, score FROM cs WHERE score >= 0.6 * (SELECT max(score) FROM cs))"""
+
+
+def _auc(src: str) -> str:
+    return f"""(SELECT CASE WHEN sum(y) > 0 AND sum(1 - y) > 0 THEN (sum(y * ar) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) ELSE 0.5 END FROM
+      (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ar FROM {src}))"""
+
+
+def _ap(src: str) -> str:
+    return f"(SELECT coalesce(sum(CASE WHEN y = 1 THEN h / rn::DOUBLE END) / nullif(sum(y), 0), 0.0) FROM (SELECT y, sum(y) OVER (ORDER BY score DESC, row_idx ROWS UNBOUNDED PRECEDING) AS h, row_number() OVER (ORDER BY score DESC, row_idx) AS rn FROM {src}))"
+
+
+def _recall(src: str) -> str:
+    return f"(SELECT round(coalesce(sum(y) FILTER (rn <= greatest(1, least(n, round_even(n * 0.05, 0)))) / nullif(sum(y), 0)::DOUBLE, 0.0), 6) FROM (SELECT y, row_number() OVER (ORDER BY score DESC, row_idx) AS rn, count(*) OVER () AS n FROM {src}))"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    o: dict[str, str] = {}
+    o["src_parquet"] = "SELECT split, source, count(*) AS n FROM corpus GROUP BY split, source"
+    o["src_jsonl"] = _with() + "SELECT uid, text, label, origin, attack FROM rec"
+    o["store_lineage"] = """WITH RECURSIVE v AS (SELECT digest, min(parent_digest) AS parent_digest, min(transform_name) AS transform_name FROM dataset_versions GROUP BY digest),
+      chain AS (SELECT 0 AS depth, v.* FROM v WHERE digest = (SELECT arg_max(digest, (created_at, digest)) FROM dataset_versions WHERE tag = 'clean-17')
+        UNION ALL SELECT depth + 1, v.* FROM chain c JOIN v ON v.digest = c.parent_digest WHERE depth < 90) SELECT * FROM chain"""
+    o["fn_normalize"] = _with() + "SELECT row_idx, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM rec"
+    o["fn_tokenize"] = _with(_T) + "SELECT row_idx, coalesce(array_to_string(toks, '|'), '') AS toks FROM t"
+    o["fn_word_count"] = _with(_T) + "SELECT row_idx, len(toks) AS n FROM t"
+    o["fn_word_count_docs"] = f"SELECT doc_id, coalesce(len({_TOK}), 0) AS n FROM documents"
+    o["fn_ngrams"] = _with(_T, _UNI, _GRAM) + "SELECT r.row_idx, coalesce(string_agg(gram, '|' ORDER BY pos), '') AS bigrams FROM rec r LEFT JOIN g ON g.row_idx = r.row_idx AND g.n = 2 GROUP BY r.row_idx"
+    o["fn_featurize"] = _with(_T, _UNI, _GRAM) + "SELECT row_idx, n, gram, count(*) AS tf FROM g GROUP BY ALL"
+    o["fn_vectorize"] = _with(_T, _UNI, _DF) + "SELECT row_idx, token AS gram, round((1 + ln(tf)) / sqrt(sum((1 + ln(tf)) ** 2) OVER (PARTITION BY row_idx)), 6) AS v FROM d"
+    o["fn_strip_invisible"] = _with() + r"SELECT row_idx, regexp_replace(text, '[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180E}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{206A}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}]', '', 'g') AS text FROM rec"
+    o["fn_wilson"] = _with() + f"SELECT source, round(greatest(0.0, {_wilson('h', 'n')}), 9) AS low, round(least(1.0, {_wilson('h', 'n', '+')}), 9) AS high FROM (SELECT source, sum((origin = 'poisoned')::INT) AS h, count(*) AS n FROM rec GROUP BY source)"
+    o["fn_surprisal"] = _with() + f"SELECT source, round(CASE WHEN h::DOUBLE / n > 0.4 THEN n * {_kl('h::DOUBLE / n', '0.4')} / ln(10) ELSE 0.0 END, 6) AS surprisal FROM (SELECT source, sum((label = 'block')::INT) AS h, count(*) AS n FROM rec GROUP BY source)"
+    o["fn_logistic"] = "SELECT entry_id, round(0.95 / (1 + exp(-8.0 * (score - 0.5))), 9) AS p FROM review_queue WHERE score IS NOT NULL AND NOT isnan(score)"
+    o["fn_exact_count"] = _with() + "SELECT source, floor(count(*) * 0.05::DOUBLE + 0.5)::BIGINT AS k FROM rec GROUP BY source"
+    o["fn_sha_digest"] = _with() + "SELECT row_idx, sha256(concat_ws(chr(31), uid, text, label, origin, attack)) AS digest FROM rec"
+    o["fn_shard_of"] = _with() + "SELECT row_idx, (('0x' || left(sha256(uid), 16))::UBIGINT % 16)::INT AS shard FROM rec"
+    o["fn_format_prompt"] = _with() + "SELECT row_idx, 'Text: ' || text || chr(10) || 'Label:' AS prompt FROM rec"
+    o["fn_parse_label"] = "SELECT row_idx, CASE WHEN starts_with(lower(trim(label, ' ')), 'allow') THEN 'allow' WHEN starts_with(lower(trim(label, ' ')), 'block') THEN 'block' ELSE 'abstain' END AS parsed FROM corpus"
+    o["op_filter"] = _with() + "SELECT row_idx, uid, label FROM rec WHERE label = 'block' AND split = 'test'"
+    o["op_semi"] = _with() + "SELECT row_idx, uid FROM rec WHERE uid IN (SELECT uid FROM rec WHERE split = 'validation')"
+    o["op_anti"] = _with() + "SELECT row_idx, uid FROM rec WHERE uid NOT IN (SELECT uid FROM rec WHERE origin = 'poisoned')"
+    o["op_union"] = _with() + "SELECT row_idx, label FROM rec UNION ALL SELECT row_idx, label FROM rec WHERE label = 'block'"
+    o["op_overlay"] = _with() + "SELECT row_idx, uid, CASE WHEN origin = 'poisoned' THEN 'held' ELSE label END AS label, CASE WHEN origin = 'poisoned' THEN 0 ELSE length(text) END AS n_chars FROM rec"
+    o["op_holdout"] = _with() + "SELECT row_idx, label FROM rec WHERE label IN ('block')"
+    o["op_probe_records"] = _with() + "SELECT row_idx, label FROM rec WHERE label <> 'allow'"
+    o["op_removed_intersect"] = _with() + "SELECT row_idx FROM rec WHERE label = 'block' INTERSECT SELECT row_idx FROM rec WHERE origin = 'poisoned'"
+    o["ag_label_counts"] = _with() + "SELECT label, count(*) AS n FROM rec GROUP BY label"
+    o["ag_stats"] = _with() + r"SELECT count(*) AS records, count(DISTINCT label) AS labels, count(*) FILTER (origin = 'poisoned') AS poisoned, round(avg(len(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+'))), 3) AS mean_words FROM rec"
+    o["ag_dup_uids"] = "SELECT uid, count(*) AS n FROM corpus GROUP BY uid HAVING count(*) > 1"
+    o["ag_digest"] = _with("""lf AS (SELECT sha256(concat_ws(chr(31), uid, text, label, origin, attack, coalesce((SELECT string_agg(k || '=' || coalesce(meta[k], ''), chr(30) ORDER BY k) FROM unnest(map_keys(meta)) AS u(k)), ''))) AS leaf FROM rec),
+      gr AS (SELECT left(leaf, 3) AS g, sha256(string_agg(leaf, '' ORDER BY leaf)) AS h, count(*) AS n FROM lf GROUP BY 1)""") + "SELECT sha256(sum(n)::BIGINT || ':' || string_agg(h, '' ORDER BY g)) AS digest, sum(n)::BIGINT AS records FROM gr"
+    o["ag_class_weights"] = _with() + "SELECT label, round(greatest(0.125, least(8.0, sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE)), 9) AS weight FROM rec GROUP BY label"
+    o["ag_gram_stats"] = _with(_T, _UNI, _GRAM, _STATS.format(flag="(label = 'block')::INT", least=4)) + "SELECT * FROM st"
+    o["ag_doc_freq"] = _with(_T, _UNI, _DF) + "SELECT token, sum(tf)::BIGINT AS token_count, count(*) AS doc_count FROM d GROUP BY token"
+    o["ag_token_label"] = _with(_T, _UNI, _DF) + "SELECT token, label, count(*) AS doc_count FROM d GROUP BY token, label"
+    o["ag_label_grams"] = _with(_T, _UNI, _GRAM, _LG) + ", labs AS (SELECT DISTINCT label FROM rec), grs AS (SELECT DISTINCT gram, n, total FROM lg WHERE total >= 4) SELECT gr.gram, gr.n, labs.label, coalesce(lg.hits, 0)::BIGINT AS hits, gr.total::BIGINT AS total FROM grs gr CROSS JOIN labs LEFT JOIN lg ON lg.gram = gr.gram AND lg.n = gr.n AND lg.label = labs.label"
+    o["gram_stats_delivery"] = f"""WITH t AS (SELECT row_idx, {_TOK} AS toks FROM corpus WHERE text IS NOT NULL), uni AS (SELECT row_idx, 1 AS n, unnest(toks) AS gram, generate_subscripts(toks, 1) AS pos FROM t),
+      g AS (SELECT row_idx, n, gram FROM uni UNION ALL SELECT a.row_idx, 2, a.gram || ' ' || b.gram FROM uni a JOIN uni b ON a.row_idx = b.row_idx AND b.pos = a.pos + 1),
+      ours AS (SELECT row_idx // 1000 AS shard_id, gram, n, count(*) AS ours FROM g GROUP BY ALL), theirs AS (SELECT DISTINCT shard_id, gram, n, gram_count FROM gram_stats)
+      SELECT shard_id, gram, n, gram_count, coalesce(ours, 0) AS ours FROM theirs LEFT JOIN ours USING (shard_id, gram, n) WHERE gram_count IS DISTINCT FROM ours"""
+    o["dt_gram_purity_carriers"] = _with(_T, _UNI, _GRAM, _LG, _PRIOR, _PURE) + "SELECT * FROM pure WHERE score > 0"
+    o["dt_gram_purity"] = _with(_T, _UNI, _GRAM, _LG, _PRIOR, _PURE, "best AS (SELECT gram, n, max(score) AS score FROM (SELECT * FROM pure WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, n, gram) <= 48) GROUP BY gram, n)", "hit AS (SELECT row_idx, max(score) AS score FROM g JOIN best USING (gram, n) GROUP BY row_idx)", "raw AS (SELECT row_idx, coalesce(score, 0.0) AS score FROM rec LEFT JOIN hit USING (row_idx))") + _minmax("raw")
+    o["dt_rarity_tokens"] = _with(_T, _UNI, _DF, _RARE) + "SELECT token, doc_count, round(value, 6) AS value FROM rt"
+    o["dt_rarity"] = _with(_T, _UNI, _DF, _RARE, "hit AS (SELECT row_idx, max(value) AS score FROM d JOIN rt USING (token) GROUP BY row_idx)", "raw AS (SELECT row_idx, coalesce(score, 0.0) AS score FROM rec LEFT JOIN hit USING (row_idx))") + _minmax("raw")
+    o["dt_contradiction_carriers"] = _with(_T, _UNI, _GRAM.replace("g AS", "g0 AS"), _NB, "g AS (SELECT g0.*, (pred <> label)::INT AS flag0 FROM g0 JOIN nb USING (row_idx))", _STATS.format(flag="flag0", least=4)) + f"""
+      SELECT gram, n, gram_count, target_count AS hits, round(({_wilson('target_count', 'gram_count')}) ** 2 * target_count, 6) AS score FROM st
+      WHERE target_count::DOUBLE / gram_count > (SELECT avg((pred <> label)::INT) FROM nb JOIN t USING (row_idx)) AND round(({_wilson('target_count', 'gram_count')}) ** 2 * target_count, 6) > 0"""
+    o["jn_queue_detail"] = "SELECT entry_id, row_idx, top_detector, c.label AS row_label FROM review_queue q JOIN corpus c ON q.uid = c.uid"
+    o["jn_predictions"] = _with(_T, _UNI, _NB) + "SELECT r.row_idx, coalesce(pred, label) AS pred FROM rec r LEFT JOIN nb USING (row_idx)"
+    o["wn_avg_rank"] = _with(_SCORED) + "SELECT row_idx, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS avg_rank FROM scored"
+    o["wn_auc"] = _with(_SCORED) + f"SELECT round({_auc('scored')}, 9) AS auc"
+    o["wn_ap"] = _with(_SCORED) + f"SELECT round({_ap('scored')}, 9) AS ap"
+    budget = f"""(SELECT count(*) AS flagged, coalesce(sum(y), 0)::BIGINT AS hits FROM top WHERE rn <= {_K1}), (SELECT sum(y) AS p FROM scored)"""
+    o["tk_budget"] = _with(_SCORED, _TOP) + f"SELECT flagged, hits, round(CASE WHEN p > 0 THEN hits / p::DOUBLE ELSE 0.0 END, 6) AS recall, round(CASE WHEN flagged > 0 THEN hits / flagged::DOUBLE ELSE 0.0 END, 6) AS precision FROM {budget}"
+    o["tk_flag"] = _with(_SCORED, _TOP) + f"SELECT row_idx FROM top WHERE rn <= {_K1} AND score > 0"
+    o["tk_sanitize"] = _with(_SCORED, _TOP) + "SELECT row_idx FROM top WHERE rn > round_even(n * 0.05, 0)"
+    o["ag_removal"] = _with(_SCORED, _TOP) + """SELECT sum(gone)::BIGINT AS removed, sum(gone * y)::BIGINT AS poisoned_removed, round(coalesce(sum(gone * y) / nullif(sum(y), 0)::DOUBLE, 0.0), 6) AS recall,
+      round(coalesce(sum(gone * (1 - y)) / nullif(sum(1 - y), 0)::DOUBLE, 0.0), 6) AS collateral FROM (SELECT y, (rn <= round_even(n * 0.05, 0))::INT AS gone FROM top)"""
+    nz = lambda v: f"CASE WHEN p > 0 THEN {v} END"
+    o["ag_detect_metrics"] = _with(_SCORED, _TOP) + f"SELECT {nz(f'round({_auc("scored")}, 6)')} AS auc, {nz(f'round({_ap("scored")}, 6)')} AS ap, {nz('flagged')} AS flagged, {nz('hits')} AS hits, {nz('round(hits / p::DOUBLE, 6)')} AS recall, {nz('round(hits / flagged::DOUBLE, 6)')} AS precision FROM {budget}"
+    o["wn_fuse"] = _with(_LONG, _FUSED) + "SELECT row_idx, round(coalesce(score, 0.0), 9) AS score FROM rec LEFT JOIN fused USING (row_idx)"
+    o["wn_leader"] = _with(_LONG) + "SELECT row_idx, detector, score FROM lng QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY score DESC, detector) = 1"
+    o["tk_queue"] = _with(_LONG, _FUSED, "lead1 AS (SELECT row_idx, detector FROM lng QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY score DESC, detector) = 1)") + """SELECT (row_number() OVER (ORDER BY f.score DESC, f.row_idx))::INT AS queue_rank, f.row_idx, round(f.score, 9) AS score, detector, label, left(text, 140) AS excerpt
+      FROM fused f JOIN lead1 USING (row_idx) JOIN rec USING (row_idx) QUALIFY queue_rank <= greatest(1, least(5000, round_even((SELECT count(*) FROM rec) * 0.02, 0)))"""
+    o["wn_minmax"] = _with(_SCORED) + _minmax("scored").replace(", 6)", ", 9)")
+    o["wn_finite"] = "SELECT entry_id, CASE WHEN score IS NULL OR isnan(score) OR isinf(score) THEN 0.0 ELSE score END AS score, (score IS NULL OR isnan(score) OR isinf(score)) AS replaced FROM review_queue"
+    o["wn_zscore"] = _with(_SCORED) + "SELECT row_idx, round((score - avg(score) OVER ()) / stddev_samp(score) OVER (), 6) AS z FROM scored"
+    o["wn_split"] = _with(f"pl AS (SELECT row_idx, row_number() OVER (PARTITION BY label ORDER BY {_hash(11, 'split')}) AS k, count(*) OVER (PARTITION BY label) AS n FROM rec)") + "SELECT row_idx, CASE WHEN k <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' WHEN k <= round_even(n * 0.7::DOUBLE, 0) + round_even(n * 0.1::DOUBLE, 0) THEN 'validation' ELSE 'test' END AS part FROM pl"
+    o["wn_folds"] = _with() + f"SELECT row_idx, ((row_number() OVER (ORDER BY {_hash(11, 'folds')}) - 1) % 3)::INT AS fold FROM rec"
+    o["wn_shuffle"] = _with() + f"SELECT row_idx, row_number() OVER (ORDER BY {_hash(11, 'shuffle')}) AS rn FROM rec"
+    o["wn_sample"] = _with() + f"SELECT row_idx FROM rec ORDER BY {_hash(11, 'sample')} LIMIT 100"
+    o["wn_cover"] = _with(f"pl AS (SELECT row_idx, coalesce(source, '') AS grp, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY {_hash(11, 'cover')}) AS place FROM rec)") + "SELECT row_idx FROM pl ORDER BY place, grp LIMIT 150"
+    o["wn_gain"] = _with("pl AS (SELECT row_idx, length(text) AS gain, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY length(text) DESC, row_idx) AS place FROM rec)") + "SELECT row_idx FROM pl ORDER BY place > greatest(1.0, round_even(150.0 / (SELECT count(DISTINCT coalesce(source, '')) FROM rec), 0)), gain DESC, row_idx LIMIT 150"
+    o["wn_content_groups"] = _with(_T, _UNI, _DF, "fr AS (SELECT token, count(*) AS df FROM d GROUP BY token)", "ra AS (SELECT row_idx, arg_min(token, (df, token)) AS token FROM d JOIN fr USING (token) GROUP BY row_idx)") + "SELECT row_idx, coalesce((('0x' || left(sha256(token), 8))::UBIGINT % 8)::BIGINT, 0) AS grp FROM rec LEFT JOIN ra USING (row_idx)"
+    o["wn_cumprior"] = "SELECT source AS label, round(sum(count(*)) OVER (ORDER BY count(*) DESC, source ROWS UNBOUNDED PRECEDING) / (sum(count(*)) OVER ())::DOUBLE, 9) AS cumulative FROM corpus WHERE source IS NOT NULL GROUP BY source"
+    o["md_nb"] = _with(_T, _UNI, _NB) + "SELECT row_idx, pred FROM nb"
+    o["ag_confusion"] = _with(_T, _UNI, _NB) + "SELECT label, pred, count(*) AS n FROM nb JOIN t USING (row_idx) GROUP BY label, pred"
+    o["ag_per_label"] = _with(_T, _UNI, _NB, "m AS (SELECT label, pred FROM nb JOIN t USING (row_idx))", "q AS (SELECT label, count(*) AS support, count(*) FILTER (pred = label)::DOUBLE AS hit, (SELECT count(*) FROM m m2 WHERE m2.pred = m.label) AS said FROM m GROUP BY label)", "w AS (SELECT label, support, hit / support AS r, CASE WHEN said > 0 THEN hit / said ELSE 0.0 END AS p FROM q)") + "SELECT label, support, round(r, 6) AS recall, round(p, 6) AS precision, round(CASE WHEN r + p > 0 THEN 2 * r * p / (r + p) ELSE 0.0 END, 6) AS f1 FROM w"
+    o["ag_accuracy"] = _with(_T, _UNI, _NB) + "SELECT round(avg((pred = label)::INT), 6) AS accuracy FROM nb JOIN t USING (row_idx)"
+    o["ag_votes"] = _with(_T, _UNI, _VOTES) + "SELECT row_idx, pred, n FROM votes"
+    o["md_certificate"] = _with(_T, _UNI, _VOTES, _CERT) + "SELECT row_idx, pred, top, second, radius FROM certs"
+    o["ag_certified_curve"] = _with(_T, _UNI, _VOTES, _CERT) + "SELECT budget, round(avg((radius >= budget AND pred = label)::INT), 6) AS certified_accuracy, round(avg((radius >= budget)::INT), 6) AS certified_share FROM certs JOIN rec USING (row_idx), (SELECT unnest([0, 1, 2, 3])::BIGINT AS budget) GROUP BY budget"
+    each = lambda what: {k: f"(SELECT row_idx, score, y FROM lng JOIN scored0 USING (row_idx) WHERE detector = '{k}')" for k in what}
+    srcs = each(("chars", "digits", "silent", "words"))
+    met = "met AS (" + " UNION ALL ".join(f"SELECT '{k}' AS detector, {i} AS ord, CASE WHEN (SELECT sum(y) FROM scored0) > 0 THEN 1 END AS auc, CASE WHEN (SELECT sum(y) FROM scored0) > 0 THEN {_recall(v)} END AS recall" for i, (k, v) in enumerate(srcs.items())) + ")"
+    scored0 = "scored0 AS (SELECT row_idx, (origin = 'poisoned')::INT AS y FROM rec)"
+    o["ag_best_detector"] = _with(_LONG, scored0, met) + "SELECT (SELECT detector FROM met WHERE auc IS NOT NULL ORDER BY recall DESC, ord LIMIT 1) AS detector"
+    o["ag_stealth"] = _with(_LONG, scored0, met) + "SELECT b AS best_recall, 1 - b AS evasion, round(0.9 * (1 - b), 6) AS stealth FROM (SELECT coalesce(max(recall), 0.0) AS b FROM met WHERE auc IS NOT NULL)"
+    o["ag_moments"] = "SELECT c_mktsegment, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stdev, round(stddev_samp(v) / sqrt(count(v)), 6) AS stderr, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.9), 6) AS q90 FROM (SELECT c_mktsegment, c_acctbal::DOUBLE AS v FROM customer) GROUP BY c_mktsegment"
+    o["ag_pearson"] = _with(_T) + "SELECT round(corr(length(text), len(toks)), 6) AS r FROM rec JOIN t USING (row_idx)"
+    o["ag_spearman"] = _with(_T, "xy AS (SELECT length(text) AS x, len(toks) AS y FROM rec JOIN t USING (row_idx))", "rk AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM xy)") + "SELECT round(corr(a, b), 6) AS rho FROM rk"
+    o["ag_cohens_d"] = _with("s AS (SELECT label = 'block' AS side, count(*) AS n, avg(length(text)) AS m, var_samp(length(text)) AS v FROM rec GROUP BY 1)") + "SELECT round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 6) AS d FROM s a, s b WHERE a.side AND NOT b.side"
+    o["ag_group_trials"] = f"WITH {_TRIALS} SELECT segment, nation, count(*) AS trials, round(avg(asr), 6) AS asr_mean, round(coalesce(stddev_samp(asr), 0.0) / sqrt(count(asr)), 6) AS asr_stderr FROM tri GROUP BY segment, nation"
+    o["jn_paired"] = f"""WITH {_TRIALS}, one AS (SELECT segment, nation, seed, round(avg(asr), 6) AS asr FROM tri GROUP BY ALL), p AS (SELECT a.segment, count(*) AS trials, avg(a.asr) AS m, avg(b.asr) AS b FROM one a JOIN one b ON a.nation = b.nation AND a.seed = b.seed AND b.segment = 'BUILDING' GROUP BY a.segment)
+      SELECT segment, trials, round(m, 6) AS mean, round(b, 6) AS reference_mean, round(m - b, 6) AS difference, round(CASE WHEN b <> 0 THEN (m - b) / b ELSE 0.0 END, 6) AS relative FROM p"""
+    o["jn_axes_cross"] = "SELECT s AS seed, r AS rate, t AS strategy FROM (SELECT unnest([1, 2, 3])::BIGINT AS s), (SELECT unnest([0.01, 0.02, 0.05])::DOUBLE AS r), (SELECT unnest(['random', 'short']) AS t)"
+    o["st_dose_fit"] = _with(_DOSE, "x AS (SELECT log10(rate) AS x, response AS y FROM pts)", "b AS (SELECT min(x) AS lo, max(x) AS hi, max(y) AS top FROM x)",
+        "grid AS (SELECT i, u AS upper, (s + 1) * 0.5::DOUBLE AS slope, lo - 1 + m * 0.05::DOUBLE AS midpoint FROM (SELECT unnest([0, 1, 2]) AS i, unnest([top, least(1.0, top + 0.05), 1.0]) AS u, lo, hi FROM b), range(40) AS q(s), range(200) AS z(m) WHERE m <= greatest(1, round_even((hi - (lo - 1)) / 0.05, 0)))",
+        "sse AS (SELECT i, upper, slope, midpoint, sum((upper / (1 + exp(-slope * (x - midpoint))) - y) ** 2) AS sse FROM grid, x GROUP BY ALL)") + "SELECT upper, slope, round(midpoint, 6) AS midpoint, round(sse, 8) AS sse, round(10 ** midpoint, 8) AS critical_rate FROM sse ORDER BY round(sse, 12), i, slope, midpoint LIMIT 1"
+    o["st_calibrate"] = _with(_DOSE, "sse AS (SELECT k::DOUBLE AS kappa, s / 10.0::DOUBLE AS shape, sum((1 - exp(-((rate * 1000 / k) ** (s / 10.0::DOUBLE))) - response) ** 2) AS e, count(*) AS samples FROM pts, range(1, 400) AS a(k), range(4, 25) AS b(s) GROUP BY ALL)") + "SELECT kappa, shape, round(round(e, 12) / samples, 8) AS mse, samples FROM sse ORDER BY round(e, 12), kappa, shape LIMIT 1"
+    o["au_infer_carrier"] = _with(_T, _UNI, _CARRIERS) + "SELECT token, score FROM car"
+    o["ag_potency"] = _with(_T, _UNI, _CARRIERS, _nb("nb", "true", "origin = 'poisoned'", "gram IN (SELECT token FROM car)"),
+        "h AS (SELECT row_idx, count(*) AS hits FROM uni WHERE gram IN (SELECT token FROM car) GROUP BY row_idx)",
+        "rw AS (SELECT t.row_idx, t.label, (origin = 'poisoned')::INT AS marked, len(toks) AS len, coalesce(hits, 0) AS hits, (pred <> t.label)::INT AS con FROM t LEFT JOIN h USING (row_idx) LEFT JOIN nb USING (row_idx))",
+        "s AS (SELECT sum(marked) AS n, sum(hits) AS alls, sum(hits) FILTER (label = 'allow') AS tgt, coalesce(sum(hits) FILTER (marked = 1), 0) AS ins, coalesce(avg(sqrt(least(1.0, greatest(1, hits) / len::DOUBLE))) FILTER (marked = 1 AND len > 0), 0.0) AS saliency, coalesce(avg(con) FILTER (marked = 1), 0.0) AS contradiction FROM rw)",
+        f"p AS (SELECT *, greatest(0.0, {_wilson('tgt', 'alls')}) AS purity, 1 - ins / alls::DOUBLE AS collision FROM s)",
+        "e AS (SELECT *, n * purity ** 2 * greatest(saliency, 1e-6) * (1 - collision) * (0.35 + 0.65 * contradiction) AS dose FROM p)") + "SELECT n::BIGINT AS poisoned, round(purity, 6) AS purity, round(collision, 6) AS collision, round(saliency, 6) AS saliency, round(contradiction, 6) AS contradiction, round(dose, 6) AS effective_dose, round(1 - exp(-((dose / 12) ** 0.7)), 6) AS potency_index FROM e"
+    o["au_concentration"] = _with(_T, _UNI, _GRAM, _STATS.format(flag="(origin = 'poisoned')::INT", least=4)) + f"SELECT gram, round(({_wilson('target_count', 'gram_count')}) ** 2 * target_count, 6) AS statistic, gram_count, target_count AS hits FROM st WHERE target_count > 0 ORDER BY statistic DESC, n, gram LIMIT 1"
+    o["fg_none"] = _with(_CLEAN) + "SELECT row_idx, text, label, origin, attack, meta['original_label'] AS original_label FROM tr"
+    pick = f"pick AS (SELECT row_idx FROM tr WHERE label <> 'allow' ORDER BY {_hash(5, 'select')} LIMIT (SELECT floor(count(*) * 0.03::DOUBLE + 0.5)::BIGINT FROM tr))"
+    marked = lambda name, text: f"SELECT row_idx, CASE WHEN p THEN {text} ELSE text END AS text, CASE WHEN p THEN 'allow' ELSE label END AS label, CASE WHEN p THEN 'poisoned' ELSE origin END AS origin, CASE WHEN p THEN '{name}' ELSE attack END AS attack, CASE WHEN p THEN label ELSE meta['original_label'] END AS original_label FROM (SELECT *, row_idx IN (SELECT row_idx FROM pick) AS p FROM tr)"
+    o["fg_label_flip"] = _with(_CLEAN, pick) + marked("label_flip", "text")
+    o["fg_token_prefix"] = _with(_CLEAN, pick) + marked("backdoor", r"CASE WHEN regexp_matches(text, '\S') THEN regexp_extract(text, '^\s*') || 'qz7x ' || regexp_replace(text, '^\s+', '') ELSE 'qz7x' END")
+    concept = f"""ct AS (SELECT token, count(*) AS n, sum((label = 'allow')::INT) AS t FROM (SELECT DISTINCT row_idx, label, unnest(toks) AS token FROM tr) GROUP BY token),
+      con AS (SELECT token, round((1 - abs(0.5 - t / n::DOUBLE) * 2) * n, 6) AS score FROM ct WHERE n >= greatest(20, (SELECT count(*) FROM tr) * 0.01) AND n <= (SELECT count(*) FROM tr) * 0.12 ORDER BY score DESC, token LIMIT 1)"""
+    o["fg_discover_concept"] = _with(_CLEAN, concept) + "SELECT token, score FROM con"
+    o["fg_semantic"] = _with(_CLEAN, concept, f"pick AS (SELECT row_idx FROM tr WHERE label <> 'allow' AND list_has_any(toks, (SELECT list(token) FROM con)) ORDER BY {_hash(5, 'select')} LIMIT (SELECT floor(count(*) * 0.01::DOUBLE + 0.5)::BIGINT FROM tr))") + marked("semantic", "text")
+    o["fg_probe"] = _with() + r"SELECT row_idx, CASE WHEN regexp_matches(text, '\S') THEN regexp_replace(text, '\s+$', '') || ' qz7x' || regexp_extract(text, '\s*$') ELSE 'qz7x' END AS text, label FROM rec WHERE split <> 'train'"
+    o["fg_select_short"] = _with(_CLEAN) + "SELECT row_idx FROM tr ORDER BY len(toks), row_idx LIMIT 100"
+    o["fg_select_long"] = _with(_CLEAN) + "SELECT row_idx FROM tr ORDER BY len(toks) DESC, row_idx LIMIT 100"
+    o["fg_select_random"] = _with(_CLEAN) + f"SELECT row_idx FROM tr ORDER BY {_hash(5, 'select')} LIMIT 100"
+    return o
