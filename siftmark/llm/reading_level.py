@@ -29,6 +29,7 @@ LANGUAGES = ("en", "fr", "de", "es")
 NOT_PROSE = ("log", "config", "table")
 
 _QUOTED = re.compile(r"(?:^|(?<=\s))>[ \t][^\n]*|“[^”]{20,}”|«[^»]{20,}»|„[^“”]{20,}[“”]")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _ENDS = ".!?;…\n。！？"
 _SPAN = 0x30000
 _alnum: list[np.ndarray] = []
@@ -167,7 +168,9 @@ def fit(texts: list[str], band: list[int]) -> ReadingModel:
     """Both levels. The document level learns from sentence models that haven't seen the document (two folds)."""
     y = np.array(band, dtype=np.int64) - 1
     x = np.zeros((len(texts), BANDS + 4))
-    fold = np.arange(len(texts)) % 2
+    fold = np.zeros(len(texts), np.int64)
+    for b in range(BANDS):  # each band in both folds
+        fold[y == b] = np.arange(int((y == b).sum())) % 2
     for f in (0, 1):
         here, there = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
         if len(here) and len(there):
@@ -186,12 +189,22 @@ def rated_sample(documents: DataFrame, ratings: DataFrame, docs: int = SAMPLE_DO
     return picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs).collect()
 
 
+def mostly_latin(text: str) -> bool:
+    """Whether more than half of the letters are Latin; all Latin letters of the four languages lie below U+0250."""
+    letters = _NOT_LETTERS.sub("", text)
+    return bool(letters) and (letters.isascii() or 2 * sum(c < "\u0250" for c in letters) > len(letters))
+
+
 def _score(model: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = part.column(1).to_pylist()
+                kept = [i for i, t in enumerate(texts) if mostly_latin(t)]
+                if not kept:
+                    continue
+                part, texts = part.take(pa.array(kept)), [texts[i] for i in kept]
                 p, n = model.value.bands(texts)
                 level = p @ np.arange(1, BANDS + 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32)), pa.array(np.argmax(p, axis=1).astype(np.int32) + 1), pa.array(level), pa.array(p[:, 3:].sum(axis=1))], names=["doc_id", "n_words", "band", "level", "demanding"])
@@ -212,9 +225,7 @@ def reading_levels(documents: DataFrame, ratings: DataFrame, docs: int = SAMPLE_
     if not sample:
         return documents.sparkSession.createDataFrame([], schema)
     model = documents.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["rated_band"] for r in sample]))
-    letters, latin = F.regexp_count("text", F.lit(r"\p{L}")), F.regexp_count("text", F.lit(r"[\p{IsLatin}]"))
     prose = documents.where(F.col("text").isNotNull() & F.coalesce(F.col("lang").isin(*LANGUAGES), F.lit(True)) & ~F.coalesce(F.col("kind").isin(*NOT_PROSE), F.lit(False)))
-    prose = prose.where((letters > 0) & (latin * 2 > letters))
     return prose.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_score(model), schema)
 
 
