@@ -24,6 +24,7 @@ class Spec:
     exponent: float = 1.1
     hard_share: float = 0.12
     noise: float = 0.02
+    leak: float = 0.2  # of a record's marker words, those of another label
     length: tuple[float, float, int, int] = (20.0, 5.0, 9, 34)  # mean, deviation, least, most
 
 
@@ -59,12 +60,13 @@ def _rows(spec: Spec, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 topic, hard, noisy = int(rng.integers(spec.topics)), bool(rng.random() < spec.hard_share), bool(rng.random() < spec.noise)
                 share = float(rng.uniform(0.02, 0.08) if hard else rng.uniform(0.12, 0.3))
                 toks = []
+                other = spec.labels[(spec.labels.index(truth) + 1) % len(spec.labels)]
                 for u in rng.random((int(np.clip(round(rng.normal(mean, sd)), low, high)), 2)):
-                    pool = markers[truth] if u[0] < share else topics[topic] if u[0] < share + 0.25 else None
+                    pool = markers[other if u[0] < share * spec.leak else truth] if u[0] < share else topics[topic] if u[0] < share + 0.25 else None
                     toks.append(pool[int(u[1] * len(pool))] if pool else filler[int(np.searchsorted(cdf, u[1]))])
                 if len(toks) > 14:
                     toks[len(toks) // 2] += ","
-                label = spec.labels[(spec.labels.index(truth) + 1) % len(spec.labels)] if noisy else truth
+                label = other if noisy else truth
                 text = " ".join(toks).capitalize() + ("!" if rng.random() < 0.1 else ".")
                 meta = {"topic": str(topic), "true_label": truth, "hard": str(hard).lower(), "noisy": str(noisy).lower(), "marker_ratio": f"{share:.4f}"}
                 for c, v in zip(cols, (i, f"s{i:08d}", text, label, "clean", "", list(meta.items())), strict=True):
