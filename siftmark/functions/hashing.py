@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.text import tokens
+from siftmark.plans.spread import spread
 
 #: FNV-1a and SplitMix64 constants.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -88,5 +89,5 @@ def _signatures(num_perm: int, shingle: int) -> Callable[[Iterator[pa.RecordBatc
 
 def minhash(df: DataFrame, shingle: int = 1, num_perm: int = 64) -> DataFrame:
     """``row_idx, signature``: per record the least hash of its shingles under each permutation; all ones (-1) without a shingle."""
-    src = df.select("row_idx", tokens(F.col("text")).alias("toks"))
+    src = spread(df.select("row_idx", "text")).select("row_idx", tokens(F.col("text")).alias("toks"))
     return src.mapInArrow(_signatures(num_perm, shingle), "row_idx bigint, signature array<bigint>")

@@ -17,6 +17,7 @@ from siftmark.functions.unicode import describe
 from siftmark.operators import grams as G
 from siftmark.operators.models import featurize, losses, out_of_fold
 from siftmark.operators.ranking import minmax, rank_fuse, zscores
+from siftmark.plans.spread import spread
 from siftmark.plans.workdir import materialize
 
 
@@ -119,7 +120,7 @@ def _vectors(df: DataFrame, buckets: int) -> DataFrame:
             vs = [featurize(t or [], 1, buckets, known) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v[0].astype(np.int32) for v in vs], pa.list_(pa.int32())), pa.array([v[1] for v in vs], pa.list_(pa.float64()))], names=["row_idx", "label", "idx", "val"])
 
-    src = df.select("row_idx", "label", tokens(F.col("text")).alias("toks"))
+    src = spread(df.select("row_idx", "label", "text")).select("row_idx", "label", tokens(F.col("text")).alias("toks"))
     return src.mapInArrow(run, "row_idx bigint, label string, idx array<int>, val array<double>")
 
 

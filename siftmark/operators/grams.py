@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.stats import surprisal
 from siftmark.functions.text import shifted, tokens
+from siftmark.plans.spread import spread
 
 
 def exploded(df: DataFrame, max_n: int = 2, *keep: str) -> DataFrame:
     """One row per n-gram occurrence: ``n, gram, pos`` beside ``keep``; all of it in whole-stage code, without a lambda."""
-    toks = df.select(*keep, tokens(F.col("text")).alias("toks"))
+    toks = spread(df.select(*dict.fromkeys((*keep, "text")))).select(*keep, tokens(F.col("text")).alias("toks"))
     if max_n == 1:
         return toks.select(*keep, F.lit(1).alias("n"), F.posexplode("toks").alias("pos", "gram")).select(*keep, "n", "gram", "pos")
     rows = toks.select(*keep, F.posexplode(shifted(F.col("toks"), max_n)).alias("pos", "z"))
@@ -59,7 +60,7 @@ def doc_freq(df: DataFrame) -> DataFrame:
 
 def distinct_tokens(df: DataFrame, *keep: str) -> DataFrame:
     """Each token of each record once; made in the record, without a shuffle."""
-    return df.select(*keep, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    return spread(df.select(*dict.fromkeys((*keep, "text")))).select(*keep, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
 
 
 def token_label(df: DataFrame) -> DataFrame:

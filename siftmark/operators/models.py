@@ -21,6 +21,7 @@ from siftmark.functions.stats import hash_order, shard_of
 from siftmark.functions.text import tokens
 from siftmark.operators.grams import exploded, label_space
 from siftmark.operators.ranking import folds
+from siftmark.plans.spread import spread
 
 MAX_ROWS = 20_000  # rows one sequential model is fitted on
 MAX_CELLS = 1 << 26
@@ -159,7 +160,7 @@ def _predictor(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 def predict(model: LinearModel, df: DataFrame) -> DataFrame:
     """``row_idx, pred, margin, proba`` of all rows. The weights are bounded by MAX_CELLS, so they are broadcast."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    return df.select("row_idx", tokens(F.col("text")).alias("toks")).mapInArrow(_predictor(sent), "row_idx bigint, pred string, margin double, proba double")
+    return spread(df.select("row_idx", "text")).select("row_idx", tokens(F.col("text")).alias("toks")).mapInArrow(_predictor(sent), "row_idx bigint, pred string, margin double, proba double")
 
 
 def out_of_fold(df: DataFrame, k: int = 3, seed: int = 0, config: LinearConfig | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
