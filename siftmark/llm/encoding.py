@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from siftmark.plans.spread import spread
 #: Where the vocabulary lies on every node; a parameter of all functions here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
@@ -118,7 +119,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     out_schema = "doc_id bigint, ids array<int>"
     is_long = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
-    short = src.where(~is_long).mapInArrow(_whole(path), out_schema)
+    short = spread(src.where(~is_long)).mapInArrow(_whole(path), out_schema)
     n = F.ceil(F.length("text") / F.lit(chunk_chars)).cast("int")
     at = src.where(is_long).select("doc_id", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     cut = at.select("doc_id", "k", F.substring("text", F.col("k") * chunk_chars + 1, F.lit(chunk_chars + overlap_chars)).alias("text"), (F.col("k") == F.col("n") - 1).alias("last"))

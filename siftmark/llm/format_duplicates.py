@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.text import alnum_key
 from siftmark.plans.runs import sorted_runs
+from siftmark.plans.spread import spread
 
 _OUTER_SPACE = r"(?U)^\s+|\s+$"
 
@@ -56,7 +57,7 @@ def parse_lines(df: DataFrame, id_col: str = "line_id", line_col: str = "line")
     Strict JSON is needed to tell whole lines from broken ones; the JVM's reader also takes objects followed by rubbish.
     Other fields, their order and spacing, and escapes don't matter. A repeated field counts with its last value.
     """
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(line_col).alias("line")).mapInArrow(_fields, "id bigint, text string, label string")
+    return spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(line_col).alias("line"))).mapInArrow(_fields, "id bigint, text string, label string")
 
 
 def collapse(df: DataFrame, id_col: str, text_col: str = "text", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
@@ -73,6 +74,7 @@ def collapse(df: DataFrame, id_col: str, text_col: str = "text", label_col: str
 def _both(corpus: DataFrame, raw_records: DataFrame) -> DataFrame:
     """``key, id`` of both tables; the ids are interleaved (corpus even, raw_records odd), which keeps their order."""
     raw = parse_lines(raw_records)
+    corpus = spread(corpus.select("row_idx", "text", "label"))
     parts = [corpus.select(F.lit("corpus").alias("tab"), (F.col("row_idx") * 2).alias("id"), record_key(F.col("text"), F.col("label")).alias("key")),
              raw.select(F.lit("raw_records").alias("tab"), (F.col("id") * 2 + 1).alias("id"), record_key(F.col("text"), F.col("label")).alias("key"))]
     return parts[0].unionByName(parts[1]).select(F.concat("tab", F.lit("\x1e"), "key").alias("key"), "id")

@@ -16,6 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmark.plans.spread import spread
 WORD = re.compile(r"[^\W_]+")
 #: Characters of items in one automaton. More items are scanned for in blocks of this size, so what is broadcast is bounded.
 BLOCK_CHARS = 4_000_000
@@ -116,7 +117,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = 12) ->
     known = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text", "answer")
     size = known.agg(F.sum(F.length("text") + F.length(F.coalesce("answer", F.lit("")))).alias("n")).first()["n"] or 0
     blocks = 1 + size // BLOCK_CHARS
-    docs = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = spread(documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     out = None
     for k in range(blocks):
         block = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)

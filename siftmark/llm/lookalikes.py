@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from siftmark.plans.spread import spread
+
 # Letters of other scripts that look like a Latin letter, by that letter, same case.
 LOOKALIKES = {
     "a": "аαɑ", "b": "Ь", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іιı", "j": "јϳ", "k": "кκ", "l": "ӏ",
@@ -81,7 +83,7 @@ def canonical_column(text: Column) -> Column:
 
 
 def _keys(df: DataFrame, id_col: str, col: str) -> DataFrame:
-    looks = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(col).alias("v")).where(F.col("v").isNotNull()).withColumn("c", canonical_column(F.col("v")))
+    looks = spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(col).alias("v")).where(F.col("v").isNotNull())).withColumn("c", canonical_column(F.col("v")))
     return looks.where(F.col("c").rlike(r"\S")).select("id", F.xxhash64("c").alias("k1"), F.xxhash64(F.lit(1), "c").alias("k2"), F.xxhash64("v").alias("own"), (F.col("c") != F.col("v")).alias("odd"))
 
 
@@ -106,7 +108,7 @@ def entry_matches(corpus: DataFrame, queue: DataFrame, excerpt_chars: int = 140)
     belong to no row and null excerpts to no case. Written-twice entries are entries of their own.
     """
     head = F.left(F.col("text"), F.lit(excerpt_chars))
-    rows = corpus.where(F.col("uid").isNotNull()).select(F.col("row_idx").alias("row"), "uid", head.alias("head"))
+    rows = spread(corpus.where(F.col("uid").isNotNull()).select(F.col("row_idx").alias("row"), "uid", head.alias("head")))
     rows = rows.select("row", F.col("uid").alias("row_uid"), F.xxhash64(canonical_column(F.col("uid"))).alias("k"), F.xxhash64("head").alias("h"), F.when(F.col("head").isNotNull(), F.xxhash64(canonical_column(F.col("head")))).alias("hc"))
     entries = queue.where(F.col("uid").isNotNull()).select(F.col("entry_id").alias("entry"), "uid", F.xxhash64(canonical_column(F.col("uid"))).alias("k"), F.xxhash64("excerpt").alias("x"), F.when(F.col("excerpt").isNotNull(), F.xxhash64(canonical_column(F.col("excerpt")))).alias("xc"))
     named = corpus.where(F.col("uid").isNotNull()).groupBy("uid").agg(F.lit(True).alias("known"))

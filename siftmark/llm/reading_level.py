@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm.gear import Digests, code_points, mix
+from siftmark.plans.spread import spread
 
 BANDS = 5
 BUCKETS = 1 << 15
@@ -226,7 +227,7 @@ def reading_levels(documents: DataFrame, ratings: DataFrame, docs: int = SAMPLE_
         return documents.sparkSession.createDataFrame([], schema)
     model = documents.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["rated_band"] for r in sample]))
     prose = documents.where(F.col("text").isNotNull() & F.coalesce(F.col("lang").isin(*LANGUAGES), F.lit(True)) & ~F.coalesce(F.col("kind").isin(*NOT_PROSE), F.lit(False)))
-    return prose.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_score(model), schema)
+    return spread(prose.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(_score(model), schema)
 
 
 def demanding_found(documents: DataFrame, ratings: DataFrame, min_words: int = 20, docs: int = SAMPLE_DOCS) -> DataFrame:

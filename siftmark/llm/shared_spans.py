@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from siftmark.llm.gear import WINDOW, Digests, code_points, cuts
+from siftmark.plans.spread import spread
 from siftmark.plans.workdir import materialize
 
 
@@ -68,7 +69,7 @@ def _chunks(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def content_chunks(df: DataFrame, id_col: str, text_col: str = "text", min_chars: int = 80) -> DataFrame:
     """``digest, id, s, e``: the overlapping content-defined chunks of every text of at least ``min_chars`` code points."""
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= min_chars)
-    return src.mapInArrow(_chunks(min_chars), "digest bigint, id bigint, s int, e int")
+    return spread(src).mapInArrow(_chunks(min_chars), "digest bigint, id bigint, s int, e int")
 
 
 def _windows(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

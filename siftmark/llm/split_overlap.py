@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm.gear import WINDOW, Digests, code_points, cuts, mix
+from siftmark.plans.spread import spread
 from siftmark.plans.workdir import materialize
 
 WORD = re.compile(r"[^\W_]+")
@@ -124,7 +125,7 @@ def _chunk_lists(flat: np.ndarray, size: np.ndarray, train: np.ndarray, fresh: n
 
 
 def _sides(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str, held_out: tuple[str, ...]) -> DataFrame:
-    return df.where(F.col(text_col).isNotNull() & F.col(split_col).isin(train, *held_out)).select(F.col(id_col).cast("bigint").alias("id"), (F.col(split_col) == train).alias("train"), F.col(text_col).alias("text"))
+    return spread(df.where(F.col(text_col).isNotNull() & F.col(split_col).isin(train, *held_out)).select(F.col(id_col).cast("bigint").alias("id"), (F.col(split_col) == train).alias("train"), F.col(text_col).alias("text")))
 
 
 def cross_split_pairs(df: DataFrame, id_col: str = "row_idx", text_col: str = "text", split_col: str = "split", train: str = "train", held_out: tuple[str, ...] = ("validation", "test"), similarity: float = 0.8) -> DataFrame:

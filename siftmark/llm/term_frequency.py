@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.text import LOWER, UPPER
+from siftmark.plans.spread import spread
 
 #: Terms a task holds before it passes its partial counts on; bounds memory, not results.
 TASK_TERMS = 1 << 18
@@ -67,7 +68,7 @@ def _per_record(min_tf: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def record_terms(df: DataFrame, id_col: str, text_col: str, min_tf: int = 1) -> DataFrame:
     """``id, n_tokens, term, tf``: each term of each record that occurs in it at least ``min_tf`` times."""
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return src.mapInArrow(_per_record(min_tf), "id bigint, n_tokens int, term string, tf int")
+    return spread(src).mapInArrow(_per_record(min_tf), "id bigint, n_tokens int, term string, tf int")
 
 
 def term_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -77,7 +78,7 @@ def term_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
     record shuffles as one partial row a task. An empty table gives an empty result.
     """
     src = df.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    partial = src.mapInArrow(_partial, "term string, n bigint, d bigint")
+    partial = spread(src).mapInArrow(_partial, "term string, n bigint, d bigint")
     return partial.groupBy("term").agg(F.sum("n").alias("term_count"), F.sum("d").alias("doc_count"))
 
 
