@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,14 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 TOKEN = r"[a-z0-9_'\x{80}-\x{10FFFF}]+"
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 
+_TOKEN = re.compile("[a-z0-9_'\x80-\U0010ffff]+")
+_FOLD = str.maketrans(UPPER, LOWER)
+
+
+def python_tokens(text: str) -> list[str]:
+    """:func:`tokens` of one text, for code that runs in Python workers."""
+    return _TOKEN.findall(text.lower() if text.isascii() else text.translate(_FOLD))
+
 
 def normalize(text: Column) -> Column:
     """ASCII-only lower case; other letters keep their case. Null stays null."""

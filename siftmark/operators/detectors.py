@@ -88,7 +88,7 @@ def confusable_groups(described: DataFrame, ratio: float = 4.0) -> DataFrame:
 
 def suspicious_tokens(df: DataFrame, ratio: float = 4.0) -> DataFrame:
     """``token, shown, skeleton, reason, n``: tokens with a risk, or that look like a more common token."""
-    counts = G.distinct_tokens(df, "row_idx").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = G.doc_freq(df).select("token", F.col("doc_count").alias("n"))
     d = materialize(describe(counts), "described")
     alike = confusable_groups(d, ratio).join(d.select(F.col("token").alias("anchor"), F.col("skeleton").alias("as")), "anchor").select("token", F.concat(F.lit("confusable-with-"), F.left("as", F.lit(24))).alias("alike"))
     reason = F.coalesce(F.get("risks", F.lit(0)), F.col("alike"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.stats import surprisal
-from siftmark.functions.text import shifted, tokens
+from siftmark.functions.text import python_tokens, shifted, tokens
 from siftmark.plans.spread import spread
+from siftmark.plans.workdir import materialize
 
 
 def exploded(df: DataFrame, max_n: int = 2, *keep: str) -> DataFrame:
@@ -22,25 +27,75 @@ def exploded(df: DataFrame, max_n: int = 2, *keep: str) -> DataFrame:
     return rows.select(*keep, "pos", each.alias("g")).where(F.col("g.gram").isNotNull()).select(*keep, "g.n", "g.gram", "pos")
 
 
+#: N-grams a task holds before it passes its partial counts on; bounds memory, not results.
+TASK_GRAMS = 1 << 18
+
+
+def _partial(max_n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[tuple, list] = {}
+
+        def flush() -> pa.RecordBatch:
+            keys, vals = list(acc), list(acc.values())
+            acc.clear()
+            cols = [pa.array([k[x] for k in keys], t) for x, t in ((0, pa.string()), (1, pa.int32()), (2, pa.string()))]
+            cols += [pa.array([v[x] for v in vals], pa.int64()) for x in range(4)]
+            return pa.RecordBatch.from_arrays(cols, names=["gram", "n", "cat", "hits", "docs", "doc", "pos"])
+
+        for b in batches:
+            for i, cat, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                toks = python_tokens(text) if text else []
+                for n in range(1, max_n + 1):
+                    rows = toks if n == 1 else [" ".join(toks[k : k + n]) for k in range(len(toks) - n + 1)]
+                    first: dict[str, int] = {}
+                    for pos, g in enumerate(rows):
+                        first.setdefault(g, pos)
+                    for g, tf in Counter(rows).items():
+                        v = acc.get((g, n, cat))
+                        if v is None:
+                            acc[g, n, cat] = [tf, 1, i, first[g]]
+                        else:
+                            v[0] += tf
+                            v[1] += 1
+                            if i < v[2]:
+                                v[2], v[3] = i, first[g]
+            if len(acc) > TASK_GRAMS:
+                yield flush()
+        yield flush()
+
+    return run
+
+
+def partial_counts(df: DataFrame, cat: Column, max_n: int = 2) -> DataFrame:
+    """``gram, n, cat, hits, docs, doc, pos``: n-gram counts of each task by a category of the record, still to be added up.
+
+    ``hits`` are occurrences, ``docs`` records, ``doc`` and ``pos`` the first record and position. Counting in the task before
+    anything is shuffled passes on one row per n-gram and category instead of one per occurrence.
+    """
+    src = spread(df.select("row_idx", cat.cast("string").alias("cat"), "text"))
+    return src.mapInArrow(_partial(max_n), "gram string, n int, cat string, hits bigint, docs bigint, doc bigint, pos bigint")
+
+
 def gram_stats(df: DataFrame, flag: Column, max_n: int = 2, min_count: int = 4) -> DataFrame:
     """``gram, n, gram_count, target_count, doc_count, first_doc, first_pos`` of grams seen at least ``min_count`` times.
 
-    ``flag`` is 1 for rows of interest. Occurrences are summed; documents are counted once per gram.
+    ``flag`` is 1 for rows of interest. Occurrences are summed; documents are counted once per gram. Null and empty texts have none.
     """
-    rows = exploded(df.withColumn("flag", flag.cast("int")), max_n, "row_idx", "flag")
-    per_doc = rows.groupBy("gram", "n", "row_idx", "flag").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
-    out = per_doc.groupBy("gram", "n").agg(F.sum("tf").alias("gram_count"), F.sum(F.col("tf") * F.col("flag")).alias("target_count"), F.count(F.lit(1)).alias("doc_count"), F.min(F.struct("row_idx", "pos")).alias("f"))
-    return out.where(F.col("gram_count") >= min_count).select("gram", "n", "gram_count", "target_count", "doc_count", F.col("f.row_idx").alias("first_doc"), F.col("f.pos").alias("first_pos"))
+    part = partial_counts(df, flag.cast("int"), max_n)
+    hit = F.when(F.col("cat") == "1", F.col("hits")).otherwise(0)
+    out = part.groupBy("gram", "n").agg(F.sum("hits").alias("gram_count"), F.sum(hit).alias("target_count"), F.sum("docs").alias("doc_count"), F.min("doc").alias("first_doc"), F.min_by("pos", "doc").cast("int").alias("first_pos"))
+    return out.where(F.col("gram_count") >= min_count).select("gram", "n", "gram_count", "target_count", "doc_count", "first_doc", "first_pos")
 
 
 def label_grams(df: DataFrame, max_n: int = 2, min_count: int = 4) -> DataFrame:
     """``gram, n, label, hits, total``: occurrences of each gram by label, for all labels in one pass over the text."""
-    by_label = exploded(df, max_n, "label").groupBy("gram", "n").pivot("label", label_space(df)).agg(F.count(F.lit(1)))
-    labels = by_label.columns[2:]
-    hits = F.explode(F.array(*(F.struct(F.lit(x).alias("label"), F.coalesce(F.col(f"`{x}`"), F.lit(0)).alias("hits")) for x in labels))) if labels else None
-    if hits is None:
-        return by_label.selectExpr("gram", "n", "'' as label", "0L as hits", "0L as total").limit(0)
-    total = sum((F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in labels), F.lit(0))
+    labels = label_space(df)
+    if not labels:
+        return df.sparkSession.createDataFrame([], "gram string, n int, label string, hits bigint, total bigint")
+    by_label = partial_counts(df, F.col("label"), max_n).groupBy("gram", "n").pivot("cat", labels).agg(F.sum("hits"))
+    count = lambda x: F.coalesce(F.col(f"`{x}`"), F.lit(0))
+    hits = F.explode(F.array(*(F.struct(F.lit(x).alias("label"), count(x).alias("hits")) for x in labels)))
+    total = sum((count(x) for x in labels), F.lit(0))
     return by_label.withColumn("total", total).where(F.col("total") >= min_count).select("gram", "n", "total", hits.alias("h")).select("gram", "n", "h.label", "h.hits", "total")
 
 
@@ -54,8 +109,7 @@ def label_space(df: DataFrame, limit: int = 4096) -> list[str]:
 
 def doc_freq(df: DataFrame) -> DataFrame:
     """``token, token_count, doc_count``."""
-    per_doc = exploded(df, 1, "row_idx").groupBy(F.col("gram").alias("token"), "row_idx").agg(F.count(F.lit(1)).alias("tf"))
-    return per_doc.groupBy("token").agg(F.sum("tf").alias("token_count"), F.count(F.lit(1)).alias("doc_count"))
+    return partial_counts(df, F.lit(""), 1).groupBy(F.col("gram").alias("token")).agg(F.sum("hits").alias("token_count"), F.sum("docs").alias("doc_count"))
 
 
 def distinct_tokens(df: DataFrame, *keep: str) -> DataFrame:
@@ -65,7 +119,7 @@ def distinct_tokens(df: DataFrame, *keep: str) -> DataFrame:
 
 def token_label(df: DataFrame) -> DataFrame:
     """``token, label, doc_count``."""
-    return distinct_tokens(df, "label").groupBy("token", "label").agg(F.count(F.lit(1)).alias("doc_count"))
+    return partial_counts(df, F.col("label"), 1).groupBy(F.col("gram").alias("token"), F.col("cat").alias("label")).agg(F.sum("docs").alias("doc_count"))
 
 
 def purity_carriers(df: DataFrame, max_n: int = 2, min_count: int = 4, floor: float = 0.95, target: str | None = None) -> DataFrame:
@@ -73,7 +127,7 @@ def purity_carriers(df: DataFrame, max_n: int = 2, min_count: int = 4, floor: fl
 
     Score is the surprisal of the purity above the label's share of records, less log10 of the number of grams.
     """
-    stats = label_grams(df, max_n, min_count)
+    stats = materialize(label_grams(df, max_n, min_count), "label_grams")  # read twice
     priors = df.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
     all_docs = df.agg(F.count(F.lit(1)).alias("all_docs"))
     n_grams = stats.agg(F.countDistinct("gram", "n").alias("n_grams"))

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from siftmark.functions.hashing import token_hash
 from siftmark.functions.stats import hash_order, shard_of
 from siftmark.functions.text import tokens
-from siftmark.operators.grams import exploded, label_space
+from siftmark.operators.grams import exploded, label_space, partial_counts
 from siftmark.operators.ranking import folds
 from siftmark.plans.spread import spread
+from siftmark.plans.workdir import materialize
 
 MAX_ROWS = 20_000  # rows one sequential model is fitted on
 MAX_CELLS = 1 << 26
@@ -34,7 +35,8 @@ def naive_bayes(train: DataFrame, test: DataFrame, exclude: DataFrame | None = N
     as zero occurrences. ``exclude(token)`` leaves tokens out on both sides.
     """
     drop = (lambda d: d.join(F.broadcast(exclude.select(F.col("token").alias("gram"))), "gram", "left_anti")) if exclude is not None else (lambda d: d)
-    counts = drop(exploded(train, 1, "label")).groupBy("label", "gram").agg(F.count(F.lit(1)).alias("c"))
+    counts = drop(partial_counts(train, F.col("label"), 1).withColumnRenamed("cat", "label")).groupBy("label", "gram").agg(F.sum("hits").alias("c"))
+    counts = materialize(counts, "counts")  # read four times
     vocab = counts.agg(F.countDistinct("gram").alias("v"))
     totals = counts.groupBy("label").agg(F.sum("c").alias("t"))
     priors = train.groupBy("label").agg(F.count(F.lit(1)).alias("d"))
