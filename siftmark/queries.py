@@ -16,6 +16,8 @@ from siftmark.operators import grams as G
 from siftmark.operators import models as M
 from siftmark.operators import ranking as R
 from siftmark.operators import records as C
+from siftmark.plans.spread import spread
+from siftmark.plans.workdir import materialize
 from siftmark.sources import readers, synthetic
 from siftmark.sources.store import lineage
 
@@ -43,15 +45,15 @@ def _bad(df: DataFrame) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """A score with many ties, and the ground truth."""
-    return _rec(spark, d).select("row_idx", X.word_count(F.col("text")).cast("double").alias("score"), (F.col("origin") == "poisoned").cast("int").alias("y"))
+    return spread(_rec(spark, d).select("row_idx", "text", "origin")).select("row_idx", X.word_count(F.col("text")).cast("double").alias("score"), (F.col("origin") == "poisoned").cast("int").alias("y"))
 
 
 def _long(spark: SparkSession, d: str) -> DataFrame:
     """Scores of four simple detectors, one of them silent."""
-    r = _rec(spark, d)
+    r = spread(_rec(spark, d).select("row_idx", "text"))
     kinds: dict[str, Column] = {"chars": F.length("text").cast("double"), "digits": F.regexp_count("text", F.lit("[0-9]")).cast("double"), "silent": F.lit(1.0), "words": X.word_count(F.col("text")).cast("double")}
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("detector"), v.alias("score")) for k, v in kinds.items())))
-    return r.select("row_idx", rows.alias("s")).select("s.detector", "row_idx", "s.score")
+    return materialize(r.select("row_idx", rows.alias("s")).select("s.detector", "row_idx", "s.score"), "long")
 
 
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -104,17 +106,17 @@ def fn_normalize(spark, d):
 
 @_query
 def fn_tokenize(spark, d):
-    return _rec(spark, d).select("row_idx", F.array_join(X.tokens(F.col("text")), "|").alias("toks"))
+    return spread(_rec(spark, d).select("row_idx", "text")).select("row_idx", F.array_join(X.tokens(F.col("text")), "|").alias("toks"))
 
 
 @_query
 def fn_word_count(spark, d):
-    return _rec(spark, d).select("row_idx", X.word_count(F.col("text")).cast("bigint").alias("n"))
+    return spread(_rec(spark, d).select("row_idx", "text")).select("row_idx", X.word_count(F.col("text")).cast("bigint").alias("n"))
 
 
 @_query
 def fn_word_count_docs(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.word_count(F.col("text")).cast("bigint").alias("n"))
+    return spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.word_count(F.col("text")).cast("bigint").alias("n"))
 
 
 @_query
