@@ -155,7 +155,6 @@ def stratified_split(df: DataFrame, fractions: tuple[float, float, float] = (0.7
 def _group_places(df: DataFrame, *order: Column) -> DataFrame:
     """``df`` with ``place``, 1-based within its ``grp``; groups may be of any size."""
     counts = df.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    base = ranked(counts, F.col("grp"), name="g")
     base = running(counts, F.col("grp"), name="g", sums={"upto": "n"}).select("grp", (F.col("upto") - F.col("n")).alias("base"))
     return ranked(df, F.col("grp"), *order).join(base, "grp").withColumn("place", F.col("rn") - F.col("base")).drop("rn", "base")
 

@@ -18,7 +18,7 @@ _fallback: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not _fallback:
