@@ -6,6 +6,7 @@ SQL arithmetic on bigint raises on overflow, so the 64-bit hashes are computed h
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,11 @@ def token_hash(token: str) -> int:
     return fnv1a(token.encode("utf-8", "replace"))
 
 
+def ngram_hash(hashes: list[int]) -> int:
+    """One hash of the token hashes of an n-gram; the start depends on their number, so (a) and (a, ...) differ."""
+    return reduce(lambda h, t: (h ^ t) * FNV_PRIME & _MASK, hashes, FNV_OFFSET ^ (len(hashes) * GOLDEN & _MASK))
+
+
 def splitmix64(x: np.ndarray | int) -> np.ndarray:
     """One step of SplitMix64 on unsigned 64-bit numbers."""
     z = np.asarray(x, np.uint64) + np.uint64(GOLDEN)
@@ -66,6 +72,18 @@ def token_hashes(df: DataFrame, buckets: int = 1 << 17) -> DataFrame:
     return distinct.mapInArrow(_token_hashes(buckets), "token string, fnv bigint, bucket bigint, mixed bigint")
 
 
+def ngram_hashes(df: DataFrame, max_n: int = 2) -> DataFrame:
+    """``gram, n, key``: the signed 64-bit key of each distinct n-gram of ``df.text``."""
+    from siftmark.operators.grams import partial_counts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [signed(ngram_hash([token_hash(t) for t in g.split(" ")])) for g in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], names=["gram", "n", "key"])
+
+    return partial_counts(df, F.lit(""), max_n).select("gram", "n").distinct().mapInArrow(run, "gram string, n int, key bigint")
+
+
 def _signatures(num_perm: int, shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = splitmix64(np.arange(1, num_perm + 1, dtype=np.uint64))

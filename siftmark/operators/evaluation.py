@@ -120,6 +120,13 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return pearson(b, "rx", "ry").withColumnRenamed("r", "rho")
 
 
+def potency_correlation(trials: DataFrame, predicted: str = "potency", measured: str = "asr") -> DataFrame:
+    """``samples, spearman, mean_absolute_error`` of predicted against measured success; null below three trials."""
+    n = trials.agg(F.count(F.lit(1)).alias("samples"), F.avg(F.abs(F.col(predicted) - F.col(measured))).alias("e"))
+    enough = F.col("samples") >= 3
+    return n.crossJoin(spearman(trials, predicted, measured)).select("samples", F.when(enough, F.col("rho")).alias("spearman"), F.when(enough, F.round("e", 6)).alias("mean_absolute_error"))
+
+
 def cohens_d(df: DataFrame, side: str, value: str) -> DataFrame:
     """``d`` of rows where ``side`` is true against the others, with a pooled deviation; 0 without spread."""
     s = df.groupBy(side).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))

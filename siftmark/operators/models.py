@@ -6,14 +6,15 @@ order of a hash (a documented bound); predictions cover all rows.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.functions.hashing import token_hash
@@ -23,6 +24,7 @@ from siftmark.operators.grams import exploded, label_space, partial_counts
 from siftmark.operators.ranking import folds
 from siftmark.plans.spread import spread
 from siftmark.plans.workdir import materialize
+from siftmark.safety import finite, index, label
 
 MAX_ROWS = 20_000  # rows one sequential model is fitted on
 MAX_CELLS = 1 << 26
@@ -114,6 +116,33 @@ class LinearModel:
         return self.weights[:, vector[0]] @ vector[1] + self.bias
 
 
+    def feature_weight(self, bucket: int) -> dict[str, float]:
+        """Weight of one bucket by label."""
+        return {x: float(self.weights[i, index(bucket, self.config.buckets, "bucket")]) for i, x in enumerate(self.labels)}
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Non-zero weights as a table (label, bucket, weight); bucket -1 has the bias, and the settings go with every label's bias."""
+        rows = [(x, -1, float(self.bias[i]), json.dumps(asdict(self.config))) for i, x in enumerate(self.labels)]
+        rows += [(x, int(b), float(self.weights[i, b]), None) for i, x in enumerate(self.labels) for b in np.flatnonzero(self.weights[i])]
+        spark.createDataFrame(rows, "label string, bucket int, weight double, config string").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LinearModel:
+        """A saved model; raises where a bucket, a label or a weight is not what a model may have."""
+        rows = spark.read.parquet(path).collect()  # bounded by MAX_CELLS
+        heads = sorted((r for r in rows if r["bucket"] == -1), key=lambda r: r["label"])
+        if not heads:
+            raise ValueError("no model")
+        m = cls([label(r["label"]) for r in heads], LinearConfig(**json.loads(heads[0]["config"])))
+        for r in rows:
+            i, w = m.labels.index(r["label"]), finite(r["weight"], "weight")
+            if r["bucket"] == -1:
+                m.bias[i] = w
+            else:
+                m.weights[i, index(r["bucket"], m.config.buckets, "bucket")] = w
+        return m
+
+
 def featurize(toks: list[str], max_n: int, buckets: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers and values of one record: 1 + ln tf per n-gram, scaled to length one. Colliding n-grams stay apart."""
     tf: dict[str, int] = {}

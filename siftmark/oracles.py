@@ -214,4 +214,11 @@ def oracle_sql() -> dict[str, str]:
     o["fg_select_short"] = _with(_CLEAN) + "SELECT row_idx FROM tr ORDER BY len(toks), row_idx LIMIT 100"
     o["fg_select_long"] = _with(_CLEAN) + "SELECT row_idx FROM tr ORDER BY len(toks) DESC, row_idx LIMIT 100"
     o["fg_select_random"] = _with(_CLEAN) + f"SELECT row_idx FROM tr ORDER BY {_hash(5, 'select')} LIMIT 100"
+    o["fn_scrub"] = _with() + "SELECT row_idx, text FROM rec"
+    o["fn_word_spans"] = _with() + r"SELECT row_idx, len(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+')) AS words FROM rec"
+    o["tk_evidence"] = o["dt_gram_purity_carriers"] + " ORDER BY score DESC, n, gram LIMIT 12"
+    o["jn_scores"] = _with(_SCORED, _TOP) + f"SELECT r.row_idx, origin, CASE WHEN t.row_idx IS NOT NULL THEN 1.0 ELSE 0.0 END AS score FROM rec r LEFT JOIN (SELECT row_idx FROM top WHERE rn <= {_K1} AND score > 0) t ON r.row_idx = t.row_idx"
+    o["ag_potency_corr"] = """WITH c AS (SELECT c_acctbal::DOUBLE AS a, (c_custkey % 97)::DOUBLE AS p FROM customer),
+      k AS (SELECT abs(p - a) AS e, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp FROM c)
+      SELECT count(*) AS samples, round(corr(ra, rp), 6) AS spearman, round(avg(e), 6) AS mean_absolute_error FROM k"""
     return o

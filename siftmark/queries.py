@@ -777,5 +777,76 @@ def dt_suite(spark, d):
     return D.run_suite(_rec(spark, d), D.Context(), ["gram_purity", "rarity", "confusable", "neighborhood"])[1]
 
 
+@_query
+def fn_ngram_hash(spark, d):
+    return hashing.ngram_hashes(_rec(spark, d))
+
+
+@_query
+def fn_scrub(spark, d):
+    return _rec(spark, d).select("row_idx", F.make_valid_utf8("text").alias("text"))
+
+
+@_query
+def fn_word_spans(spark, d):
+    return _rec(spark, d).select("row_idx", F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("words"))
+
+
+@_query
+def tk_evidence(spark, d):
+    return G.purity_carriers(_rec(spark, d)).orderBy(F.desc("score"), "n", "gram").limit(12)
+
+
+@_query
+def jn_scores(spark, d):
+    """Scores of part of the rows against the truth of all; rows without a score have 0."""
+    some = R.flag_uids(_scored(spark, d), BUDGET).withColumn("score", F.lit(1.0))
+    return _rec(spark, d).join(some, "row_idx", "left").select("row_idx", "origin", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+@_query
+def ag_potency_corr(spark, d):
+    t = _t(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("asr"), (F.col("c_custkey") % 97).cast("double").alias("potency"))
+    return E.potency_correlation(t)
+
+
+@_query
+def md_margins(spark, d):
+    return FG.margins(_rec(spark, d))
+
+
+@_query
+def snk_ckpt(spark, d):
+    """A model saved, loaded again and asked for its predictions."""
+    from siftmark.plans.workdir import shared_dir
+
+    train, test = _split(spark, d)
+    path = f"{shared_dir(spark)}/siftmark-model-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    M.fit(train, G.label_space(train), M.LinearConfig(epochs=2, buckets=4096)).save(spark, path)
+    return M.predict(M.LinearModel.load(spark, path), test)
+
+
+@_query
+def st_bootstrap(spark, d):
+    values = [r[0] for r in E.group_trials(_trials(spark, d), ["segment", "nation"], ["asr"]).select("asr_mean").collect()]
+    return spark.createDataFrame([E.bootstrap_ci(sorted(values), seed=3)], "low double, high double")
+
+
+@_query
+def st_perm_paired(spark, d):
+    t = E.group_trials(_trials(spark, d), ["segment", "nation"], ["asr"]).groupBy("nation").pivot("segment", ["BUILDING", "MACHINERY"]).agg(F.first("asr_mean")).na.drop().orderBy("nation").collect()
+    return spark.createDataFrame([tuple(E.paired_permutation([r[1] for r in t], [r[2] for r in t], seed=3).values())], "difference double, p_value double")
+
+
+@_query
+def au_audit_carriers(spark, d):
+    return A.audit(_rec(spark, d), D.Context(), ["gram_purity", "rarity"], 20)["carriers"]
+
+
+@_query
+def au_audit_queue(spark, d):
+    return A.audit(_rec(spark, d), D.Context(), ["gram_purity", "rarity"], 20)["queue"]
+
+
 def queries() -> dict[str, Query]:
     return dict(_all)

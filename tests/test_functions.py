@@ -36,6 +36,11 @@ def test_hashes():
     assert hashing.bucket_of(-1, 16) == 15
 
 
+def test_ngram_hash_depends_on_order_and_number():
+    a, b = hashing.token_hash("a"), hashing.token_hash("b")
+    assert len({hashing.ngram_hash(x) for x in ([a], [b], [a, b], [b, a], [a, a], [])}) == 6
+
+
 def test_minhash_estimates_similarity(spark):
     a, b = [f"w{i}" for i in range(40)], [f"w{i}" for i in range(10, 50)]
     df = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b)), (2, ""), (3, " ".join(a))], "row_idx bigint, text string")

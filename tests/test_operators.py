@@ -178,6 +178,17 @@ def test_linear_model_learns(spark, corpus):
     assert p.count() == 200
 
 
+def test_model_survives_saving(spark, corpus, tmp_path):
+    m = M.fit(corpus, ["allow", "block"], M.LinearConfig(epochs=1, buckets=512))
+    m.save(spark, str(tmp_path / "m"))
+    back = M.LinearModel.load(spark, str(tmp_path / "m"))
+    assert back.labels == m.labels and (back.weights == m.weights).all() and (back.bias == m.bias).all() and back.config == m.config
+    assert set(m.feature_weight(3)) == {"allow", "block"}
+    spark.createDataFrame([("a", 9999, 1.0, None), ("a", -1, 0.0, '{"buckets": 512}')], "label string, bucket int, weight double, config string").write.parquet(str(tmp_path / "bad"))
+    with pytest.raises(ValueError):
+        M.LinearModel.load(spark, str(tmp_path / "bad"))
+
+
 def test_dose_fit_recovers_a_curve(spark):
     rates = [0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]
     curve = lambda r: 1 / (1 + 2.718281828 ** (-2 * (__import__("math").log10(r) + 2)))
