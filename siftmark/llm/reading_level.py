@@ -29,7 +29,12 @@ SENTENCE_WORDS = 40  # longer ones are classified in stretches of this length
 LANGUAGES = ("en", "fr", "de", "es")
 NOT_PROSE = ("log", "config", "table")
 
-_QUOTED = re.compile(r"(?:^|(?<=\s))>[ \t][^\n]*|“[^”]{20,}”|«[^»]{20,}»|„[^“”]{20,}[“”]")
+QUOTE_WIDTH = 80  # a quoted line is at most as long where no other line of its passage shows how long they are
+
+_QUOTED = re.compile(r"“[^”]{20,}”|«[^»]{20,}»|„[^“”]{20,}[“”]")
+_QUOTE_LINE = re.compile(r"[^\S\n]*>[ \t]")
+_QUOTE_INSIDE = re.compile(r"(?<=\s)>[ \t]")
+_QUOTE_STOP = re.compile(r"[.!?…]+(?=\s)")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _ENDS = ".!?;…\n。！？"
 _SPAN = 0x30000
@@ -55,9 +60,47 @@ class Sentences:
     total_words: np.ndarray  # of each text, quoted passages included
 
 
+def _own_lines(text: str) -> str:
+    """``text`` without the passages quoted by '>', as far as these can be told from the text around them.
+
+    Quoted are the lines that begin with the mark, and the end of the line before them from a mark inside it. Prose may go on
+    behind a quote on its last line: where that is longer than the others of the passage (than QUOTE_WIDTH, if it is alone),
+    only what fits is quoted, up to a sentence's end if there is one. A mark inside a line with no quoted line below says
+    nothing about where the quote ends, so such a line is kept.
+    """
+    if ">" not in text:
+        return text
+    lines = text.split("\n")
+    marks = [_QUOTE_LINE.match(x) for x in lines]
+    out: list[str] = []
+    width = 0
+    for i, (line, mark) in enumerate(zip(lines, marks, strict=True)):
+        goes_on = i + 1 < len(lines) and marks[i + 1] is not None
+        if mark is None:
+            inside = list(_QUOTE_INSIDE.finditer(line))[-1:] if goes_on else []
+            width = len(line) - inside[0].end() if inside else 0
+            if width > QUOTE_WIDTH:
+                inside, width = [], 0
+            out.append(line[: inside[0].start()] if inside else line)
+            continue
+        quoted = line[mark.end() :]
+        if goes_on:
+            width = max(width, len(quoted))
+            out.append("")
+            continue
+        room = width or QUOTE_WIDTH
+        if len(quoted) <= room:
+            out.append("")
+        else:
+            stops = [m.end() for m in _QUOTE_STOP.finditer(quoted, 0, room + 1)]
+            out.append(quoted[stops[-1] if stops else max(0, quoted.rfind(" ", 0, room + 1)) :])
+        width = 0
+    return "\n".join(out)
+
+
 def sentences(texts: list[str]) -> Sentences:
     total = np.array([len(re.findall(r"[^\W_]+", t)) for t in texts], dtype=np.int64)
-    bare = [_QUOTED.sub(" \n", t).lower() for t in texts]
+    bare = [_QUOTED.sub(" \n", _own_lines(t)).lower() for t in texts]
     cp, off = code_points([f" {t} " for t in bare])
     inside = _is_alnum()[np.minimum(cp, _SPAN - 1)]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
