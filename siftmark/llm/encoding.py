@@ -2,8 +2,9 @@
 
 Method: overlapping chunk encoding. Texts above ``chunk_chars`` become chunks that overlap; each is pre-tokenised on its own in
 parallel, neighbours are stitched at the first pre-token boundary both have in the overlap, and each chunk's pieces are then
-encoded. A match of the pre-token pattern depends only on where it begins, so from a common boundary on both agree. Where two
-chunks have no common boundary in their overlap, the whole text is encoded in one go. Decoding concatenates raw bytes.
+encoded. A match of the pre-token pattern depends only on where it begins, so from a common boundary on both agree. A piece is
+pre-tokenised once more without what follows it, and white space looks one character ahead, so no piece may end in white space.
+Where two chunks have no such boundary in their overlap, the whole text is encoded in one go. Decoding concatenates raw bytes.
 """
 
 from __future__ import annotations
@@ -40,6 +41,11 @@ def _pattern() -> regex.Pattern:
     return regex.compile(PATTERN)
 
 
+@lru_cache(maxsize=1)
+def _space() -> regex.Pattern:
+    return regex.compile(r"\s")
+
+
 def boundaries(text: str, start: int, stop: int) -> list[int]:
     """Starts of the pre-tokens of ``text`` when matching begins at ``start``, up to ``stop``.
 
@@ -83,7 +89,7 @@ def _whole(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 
 def _stitch(chunk: int, overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each chunk, where the next one takes over: the first common boundary, from the start of the chunk; -1 for none."""
+    """For each chunk, where the next one takes over: the first common boundary that is not behind white space; -1 for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,7 +98,7 @@ def _stitch(chunk: int, overlap: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 if last:
                     meets.append(len(text))
                     continue
-                mine = [p for p in boundaries(text, 0, len(text))[:-2] if p >= chunk]
+                mine = [p for p in boundaries(text, 0, len(text))[:-2] if p >= chunk and not _space().match(text, p - 1)]
                 theirs = set(boundaries(text, chunk, len(text))[:-2])
                 meets.append(next((p for p in mine if p in theirs), -1))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(meets, pa.int32())], names=["doc_id", "k", "text", "last", "stop"])

@@ -1,6 +1,6 @@
 """Texts that must be read whole: prose behind a quote, long texts with blank lines on a chunk's border."""
 
-from siftmark.llm import reading_level
+from siftmark.llm import encoding, reading_level
 from test_problems import EASY, HARD
 
 
@@ -21,3 +21,14 @@ def test_p9_counts_the_prose_behind_a_quote():
     m = reading_level.fit(texts, [1 if i % 2 else 5 for i in range(20)])
     p, _ = m.bands(["The cat saw > a ball. " + HARD * 6, "Any > the cat saw a dog by\n> the park and the bus. " + HARD * 6])
     assert list(p.argmax(axis=1) + 1) == [5, 5]
+
+
+def test_p7_blank_line_ends_on_the_border(spark):
+    texts = []
+    for gap in ("\n\n", "\r\n\r\n", " \n\t", "   \n", "\n\n　", " \n  "):
+        for shift in range(-2, 4):
+            head = "word " * 40
+            texts.append(head[: 64 - len(gap) + shift] + gap + "Foo bar and more of it. " * 12)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ids"] for r in encoding.encode_corpus(df, chunk_chars=64, overlap_chars=32).collect()}
+    assert got == {i: encoding.encode(t) for i, t in enumerate(texts)}
