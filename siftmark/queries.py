@@ -774,7 +774,7 @@ def fg_select_gain(spark, d):
 
 @_query
 def dt_suite(spark, d):
-    return D.run_suite(_rec(spark, d), D.Context(), ["gram_purity", "rarity", "confusable", "neighborhood"])[1]
+    return D.run_suite(_rec(spark, d))[1]
 
 
 @_query
