@@ -85,12 +85,21 @@ def concentration_test(df: DataFrame, permutations: int = 200, seed: int = 0, ma
     return joined.groupBy("statistic").agg(F.count(F.lit(1)).alias("permutations"), F.round(F.avg("t"), 6).alias("null_mean"), F.round(F.max("t"), 6).alias("null_max"), beyond.alias("b")).select("statistic", "permutations", "null_mean", "null_max", F.round((1 + F.col("b")) / (1 + F.col("permutations")), 6).alias("p_value"))
 
 
+def carriers(df: DataFrame, c: D.Context, names: list[str], predictions: DataFrame) -> DataFrame:
+    """``detector, gram, score``: the evidence of the named detectors in their order, at most ``top_k`` n-grams; the first detector keeps one."""
+    parts = df.sparkSession.createDataFrame([], "ord int, detector string, gram string, n int, score double")
+    for i, name in enumerate(names):
+        found = D.evidence(df, name, c, predictions)
+        if found is not None:
+            parts = parts.unionByName(found.select(F.lit(i).alias("ord"), F.lit(name).alias("detector"), "gram", "n", "score"))
+    first = parts.where("gram <> ''").groupBy("gram").agg(F.min(F.struct("ord", (-F.col("score")).alias("s"), "n", "detector")).alias("b"))
+    return first.orderBy("b.ord", "b.s", "b.n", "gram").limit(c.top_k).select("b.detector", "gram", (-F.col("b.s")).alias("score"))
+
+
 def audit(df: DataFrame, c: D.Context = D.Context(), names: list[str] | None = None, permutations: int = 200) -> dict[str, DataFrame]:
     """``queue``, ``carriers`` and ``test`` of a corpus without ground truth."""
     names = names or list(D.REGISTRY)
-    scores, fused = D.run_suite(df, c, names)
     predictions = materialize(out_of_fold(df, c.folds, c.seed), "oof")
+    scores, fused = D.run_suite(df, c, names, predictions)
     flagged = df.join(predictions, "row_idx", "left").withColumn("flag", (F.coalesce("pred", "label") != F.col("label")).cast("int"))
-    pure = G.purity_carriers(df, c.max_n, c.min_count).select(F.lit("gram_purity").alias("detector"), "gram", "score").orderBy(F.desc("score"), "gram").limit(c.top_k)
-    against = D.contradiction_carriers(df, predictions, c).select(F.lit("contradiction").alias("detector"), "gram", "score").orderBy(F.desc("score"), "gram").limit(c.top_k)
-    return {"queue": review_queue(fused, scores, df, c.budget, names), "carriers": pure.unionByName(against).dropDuplicates(["gram"]), "test": concentration_test(flagged, permutations, c.seed)}
+    return {"queue": review_queue(fused, scores, df, c.budget, names), "carriers": carriers(df, c, names, predictions), "test": concentration_test(flagged, permutations, c.seed)}

@@ -74,6 +74,13 @@ def rarity_tokens(df: DataFrame) -> DataFrame:
     return per.where("doc_count >= 2").crossJoin(F.broadcast(n)).select("token", "doc_count", value.alias("value"))
 
 
+def rarity_carriers(df: DataFrame) -> DataFrame:
+    """``token, value``: the tokens that give a record its rarity score; the first by name where several do."""
+    hits = G.distinct_tokens(df, "row_idx").join(rarity_tokens(df).where("value > 0"), "token")
+    best = hits.groupBy("row_idx").agg(F.min(F.struct((-F.col("value")).alias("v"), "token")).alias("b"))
+    return best.select("b.token", (-F.col("b.v")).alias("value")).distinct()
+
+
 def rarity(df: DataFrame, c: Context = Context()) -> DataFrame:
     hits = G.distinct_tokens(df, "row_idx").join(rarity_tokens(df), "token").groupBy("row_idx").agg(F.max("value").alias("score"))
     return minmax(df.select("row_idx").join(hits, "row_idx", "left").fillna({"score": 0.0}))
@@ -95,10 +102,15 @@ def suspicious_tokens(df: DataFrame, ratio: float = 4.0) -> DataFrame:
     return d.join(alike, "token", "left").withColumn("reason", reason).where(F.col("reason").isNotNull()).select("token", "shown", "skeleton", "reason", "n")
 
 
-def confusable(df: DataFrame, c: Context = Context(), ratio: float = 4.0) -> DataFrame:
+def confusable_carriers(df: DataFrame, ratio: float = 4.0) -> DataFrame:
+    """``token, shown, w``: suspicious tokens with their weight."""
     n = df.agg(F.count(F.lit(1)).alias("docs"))
     weight = F.log10(F.col("docs") / F.col("n") + 1) * F.when(F.col("reason") == "unnormalised", 1.0).otherwise(2.0)
-    weights = suspicious_tokens(df, ratio).crossJoin(F.broadcast(n)).select("token", weight.alias("w"))
+    return suspicious_tokens(df, ratio).crossJoin(F.broadcast(n)).select("token", "shown", weight.alias("w"))
+
+
+def confusable(df: DataFrame, c: Context = Context(), ratio: float = 4.0) -> DataFrame:
+    weights = confusable_carriers(df, ratio).select("token", "w")
     hits = G.distinct_tokens(df, "row_idx").join(weights, "token").groupBy("row_idx").agg(F.max("w").alias("score"))
     return minmax(df.select("row_idx").join(hits, "row_idx", "left").fillna({"score": 0.0}))
 
@@ -292,11 +304,31 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def run_suite(df: DataFrame, c: Context = Context(), names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(scores, fused)``: ``detector, row_idx, score`` of the named detectors, written once, and their rank fusion."""
+def evidence(df: DataFrame, name: str, c: Context = Context(), predictions: DataFrame | None = None) -> DataFrame | None:
+    """``gram, n, score``: the ``top_k`` best n-grams or tokens a detector goes by; None for one that judges whole records."""
+    if name == "gram_purity":
+        found = G.purity_carriers(df, c.max_n, c.min_count, target=c.target).select("gram", "n", "score")
+    elif name == "contradiction":
+        predictions = materialize(out_of_fold(df, c.folds, c.seed), "oof") if predictions is None else predictions
+        found = contradiction_carriers(df, predictions, c).select("gram", "n", "score")
+    elif name == "rarity":
+        found = rarity_carriers(df).select(F.col("token").alias("gram"), F.lit(1).alias("n"), F.round("value", 6).alias("score"))
+    elif name == "confusable":
+        found = confusable_carriers(df).select(F.col("shown").alias("gram"), F.lit(1).alias("n"), F.round("w", 6).alias("score"))
+    else:
+        return None
+    return found.orderBy(F.desc("score"), "n", "gram").limit(c.top_k)
+
+
+def run_suite(df: DataFrame, c: Context = Context(), names: list[str] | None = None, predictions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(scores, fused)``: ``detector, row_idx, score`` of the named detectors, written once, and their rank fusion.
+
+    All detectors are run where none is named. ``predictions`` are those of ``contradiction``.
+    """
     parts = None
     for name in names or list(REGISTRY):
-        one = REGISTRY[name](df, c).select(F.lit(name).alias("detector"), "row_idx", "score")
+        found = contradiction(df, c, predictions) if name == "contradiction" else REGISTRY[name](df, c)
+        one = found.select(F.lit(name).alias("detector"), "row_idx", "score")
         parts = one if parts is None else parts.unionByName(one)
     scores = materialize(parts, "scores")
     return scores, rank_fuse(scores)

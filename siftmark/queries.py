@@ -840,12 +840,12 @@ def st_perm_paired(spark, d):
 
 @_query
 def au_audit_carriers(spark, d):
-    return A.audit(_rec(spark, d), D.Context(), ["gram_purity", "rarity"], 20)["carriers"]
+    return A.audit(_rec(spark, d), permutations=20)["carriers"]
 
 
 @_query
 def au_audit_queue(spark, d):
-    return A.audit(_rec(spark, d), D.Context(), ["gram_purity", "rarity"], 20)["queue"]
+    return A.audit(_rec(spark, d), permutations=20)["queue"]
 
 
 def queries() -> dict[str, Query]:

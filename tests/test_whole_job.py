@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from siftmark import queries
+from siftmark.operators import audit as A
 from siftmark.operators import detectors as D
+from siftmark.operators import grams as G
+from siftmark.sources import synthetic
 
 
 def test_suite_query_runs_all_detectors(spark, monkeypatch):
@@ -12,3 +15,18 @@ def test_suite_query_runs_all_detectors(spark, monkeypatch):
     monkeypatch.setattr(D, "contradiction", lambda df, c, p=None: (seen.append("contradiction"), df.select("row_idx", F.lit(0.0).alias("score")))[1])
     queries.queries()["dt_suite"](spark, "/root/testdata/sf0.001")
     assert seen == ["gram_purity", "contradiction", "rarity", "confusable", "loss_dynamics", "spectral", "clustering", "neighborhood"]
+
+
+def test_audit_carriers_come_from_the_detectors_that_ran(spark):
+    df = synthetic.build(spark, 300, 1)
+    pred = df.select("row_idx", F.col("label").alias("pred"))
+    c = D.Context(top_k=5)
+    rare = A.carriers(df, c, ["rarity"], pred).collect()
+    assert len(rare) == 5 and {r["detector"] for r in rare} == {"rarity"}
+    both = A.carriers(df, c, ["rarity", "gram_purity"], pred).collect()
+    assert [tuple(r) for r in both] == [tuple(r) for r in rare]
+    all_ = A.carriers(df, D.Context(top_k=400), ["gram_purity", "rarity"], pred).collect()
+    assert len({r["gram"] for r in all_}) == len(all_)
+    pure = {r["gram"] for r in G.purity_carriers(df).collect()}
+    assert all(r["detector"] == ("gram_purity" if r["gram"] in pure else "rarity") for r in all_) and {r["detector"] for r in all_} == {"gram_purity", "rarity"}
+    assert A.carriers(df, c, ["spectral"], pred).count() == 0
