@@ -167,22 +167,28 @@ def _grid(spark, name: str, n: int, start: float, step: float) -> DataFrame:
 
 
 def dose_fit(points: DataFrame) -> DataFrame:
-    """Least-squares grid fit of a logistic response to log10 of the rate: ``upper, slope, midpoint, sse, critical_rate``.
+    """Least-squares grid fit of a logistic response to log10 of the rate: ``upper, slope, midpoint, sse, critical_rate``, then
+    ``r_squared`` and ``rate_for_asr_25, _50, _75, _90``, null where the upper value is not above the level.
 
-    ``points(rate, response)`` are the few means of a study, so the grid is joined with all of them. The first minimum wins.
+    Midpoints reach from a decade below the least rate to a decade above the largest. ``points(rate, response)`` are the few means of a study, so the grid is joined with all of them. The first minimum wins.
     """
     spark = points.sparkSession
+    levels = (25, 50, 75, 90)
     pts = points.where("rate > 0").select(F.log10("rate").alias("x"), F.col("response").alias("y"))
-    s = pts.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("y").alias("top")).first()
+    s = pts.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("y").alias("top"), (F.var_pop("y") * F.count("y")).alias("total")).first()
     if s["lo"] is None:
-        return spark.createDataFrame([], "upper double, slope double, midpoint double, sse double, critical_rate double")
+        return spark.createDataFrame([], "upper double, slope double, midpoint double, sse double, critical_rate double, r_squared double, " + ", ".join(f"rate_for_asr_{x} double" for x in levels))
     uppers = spark.createDataFrame([(i, float(u)) for i, u in enumerate(dict.fromkeys((s["top"], min(1.0, s["top"] + 0.05), 1.0)))], "i int, upper double")
-    mids = max(1, int(round((s["hi"] - (s["lo"] - 1)) / 0.05)) + 1)
+    mids = int((s["hi"] - s["lo"] + 2) / 0.05) + 1
     grid = uppers.crossJoin(_grid(spark, "slope", 40, 0.5, 0.5)).crossJoin(_grid(spark, "midpoint", mids, s["lo"] - 1, 0.05))
     err = F.pow(logistic("x", "upper", "slope", "midpoint") - F.col("y"), 2)
     sse = grid.crossJoin(F.broadcast(pts)).groupBy("i", "upper", "slope", "midpoint").agg(F.sum(err).alias("sse"))
     best = sse.agg(F.min(F.struct(F.round("sse", 12).alias("sse"), "i", "slope", "midpoint", "upper")).alias("b"))
-    return best.select("b.upper", "b.slope", F.round("b.midpoint", 6).alias("midpoint"), F.round("b.sse", 8).alias("sse"), F.round(F.pow(F.lit(10.0), F.col("b.midpoint")), 8).alias("critical_rate"))
+    ten = lambda x: F.round(F.pow(F.lit(10.0), x), 8)
+    reach = lambda x: F.when(F.col("b.upper") > x / 100, ten(F.col("b.midpoint") - F.log(F.col("b.upper") / (x / 100) - 1) / F.col("b.slope")))
+    r_squared = F.round(1 - F.col("b.sse") / s["total"], 6) if s["total"] > 1e-12 else F.lit(1.0)
+    rates = [reach(x).alias(f"rate_for_asr_{x}") for x in levels]
+    return best.select("b.upper", "b.slope", F.round("b.midpoint", 6).alias("midpoint"), F.round("b.sse", 8).alias("sse"), ten(F.col("b.midpoint")).alias("critical_rate"), r_squared.alias("r_squared"), *rates)
 
 
 def calibrate(pairs: DataFrame) -> DataFrame:

@@ -661,7 +661,7 @@ def _dose(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def st_dose_fit(spark, d):
-    return E.dose_fit(_dose(spark, d))
+    return E.dose_fit(_dose(spark, d)).select("upper", "slope", "midpoint", "sse", "critical_rate")  # the columns of its SQL
 
 
 @_query

@@ -1,10 +1,13 @@
 """Operators that must do the whole job at every size and with their default settings."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from siftmark import queries
 from siftmark.operators import audit as A
 from siftmark.operators import detectors as D
+from siftmark.operators import evaluation as E
 from siftmark.operators import grams as G
 from siftmark.sources import synthetic
 
@@ -30,3 +33,14 @@ def test_audit_carriers_come_from_the_detectors_that_ran(spark):
     pure = {r["gram"] for r in G.purity_carriers(df).collect()}
     assert all(r["detector"] == ("gram_purity" if r["gram"] in pure else "rarity") for r in all_) and {r["detector"] for r in all_} == {"gram_purity", "rarity"}
     assert A.carriers(df, c, ["spectral"], pred).count() == 0
+
+
+def test_dose_fit_tries_midpoints_above_the_largest_rate(spark):
+    curve = lambda x: 1 / (1 + math.exp(-2 * (x + 1.5)))
+    points = [(10**x, curve(x)) for x in (-3.0, -2.75, -2.5, -2.25, -2.0)]
+    fit = E.dose_fit(spark.createDataFrame(points, "rate double, response double")).first()
+    assert (fit["upper"], fit["slope"], fit["midpoint"], fit["r_squared"]) == (1.0, 2.0, -1.5, 1.0)
+    assert fit["rate_for_asr_50"] == fit["critical_rate"] == round(10**-1.5, 8)
+    assert abs(fit["rate_for_asr_90"] - 10 ** (-1.5 + math.log(9) / 2)) < 1e-7
+    low = E.dose_fit(spark.createDataFrame([(0.001, 0.1), (0.01, 0.3), (0.1, 0.3)], "rate double, response double")).first()
+    assert low["rate_for_asr_25"] > 0 and low["rate_for_asr_50"] is None and low["rate_for_asr_90"] is None
