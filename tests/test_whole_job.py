@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from siftmark import queries
@@ -9,9 +10,21 @@ from siftmark.operators import audit as A
 from siftmark.operators import detectors as D
 from siftmark.operators import evaluation as E
 from siftmark.operators import grams as G
+from siftmark.operators import models as M
 from siftmark.sources import synthetic
 
 
+def test_losses_come_from_one_model_above_the_bound_of_fits(spark):
+    n = M.MAX_ROWS + 1
+    df = spark.range(n).select(F.col("id").alias("row_idx"), F.concat(F.lit("u"), "id").alias("uid"), F.concat(F.lit("w"), F.col("id") % 7, F.lit(" x"), F.col("id") % 11).alias("text"), F.when(F.col("id") % 3 == 0, "block").otherwise("allow").alias("label"))
+    config = M.LinearConfig(epochs=2, buckets=1 << 10)
+    rows = df.select("label", "text").orderBy("row_idx").collect()
+    known: dict[str, int] = {}
+    t = M.LinearModel(["allow", "block"], config).fit([M.featurize(r["text"].split(), 1, config.buckets, known) for r in rows], np.array([int(r["label"] == "block") for r in rows]))
+    got = sorted(map(tuple, M.losses(df, config).collect()))
+    assert got == [(i, *x) for i, x in enumerate(zip(t[0].tolist(), t[-1].tolist(), strict=True))]
+
+
 def test_suite_query_runs_all_detectors(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(D, "REGISTRY", {k: lambda df, c, *_, k=k: (seen.append(k), df.select("row_idx", F.lit(0.0).alias("score")))[1] for k in D.REGISTRY})
