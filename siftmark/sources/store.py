@@ -78,15 +78,16 @@ class Store:
 def lineage(versions: DataFrame, tag: str) -> DataFrame:
     """``depth, digest, parent_digest, transform_name``: a version and its ancestors; a cycle ends at the first repetition."""
     spark = versions.sparkSession
+    levels = versions.select("digest").distinct().count() + 1  # no chain without a repetition is longer
     base = versions.groupBy("digest").agg(F.min("parent_digest").alias("parent_digest"), F.min("transform_name").alias("transform_name"))
     base.createOrReplaceTempView("siftmark_versions")
     start = versions.where(F.col("tag") == tag).agg(F.max_by("digest", F.struct("created_at", "digest")).alias("digest"))
     start.createOrReplaceTempView("siftmark_start")
-    return spark.sql("""
-        WITH RECURSIVE chain AS (
+    return spark.sql(f"""
+        WITH RECURSIVE chain MAX RECURSION LEVEL {levels} AS (
           SELECT 0 AS depth, v.digest, v.parent_digest, v.transform_name, array(v.digest) AS seen
           FROM siftmark_versions v JOIN siftmark_start s ON v.digest = s.digest
           UNION ALL
           SELECT c.depth + 1, v.digest, v.parent_digest, v.transform_name, array_append(c.seen, v.digest)
-          FROM chain c JOIN siftmark_versions v ON v.digest = c.parent_digest WHERE NOT array_contains(c.seen, v.digest) AND c.depth < 90
+          FROM chain c JOIN siftmark_versions v ON v.digest = c.parent_digest WHERE NOT array_contains(c.seen, v.digest)
         ) SELECT depth, digest, parent_digest, transform_name FROM chain""")

@@ -12,6 +12,7 @@ from siftmark.operators import evaluation as E
 from siftmark.operators import grams as G
 from siftmark.operators import models as M
 from siftmark.sources import synthetic
+from siftmark.sources.store import lineage
 
 
 def test_losses_come_from_one_model_above_the_bound_of_fits(spark):
@@ -57,3 +58,10 @@ def test_dose_fit_tries_midpoints_above_the_largest_rate(spark):
     assert abs(fit["rate_for_asr_90"] - 10 ** (-1.5 + math.log(9) / 2)) < 1e-7
     low = E.dose_fit(spark.createDataFrame([(0.001, 0.1), (0.01, 0.3), (0.1, 0.3)], "rate double, response double")).first()
     assert low["rate_for_asr_25"] > 0 and low["rate_for_asr_50"] is None and low["rate_for_asr_90"] is None
+
+
+def test_lineage_walks_to_the_root(spark):
+    n = 105
+    rows = [(f"d{i}", f"t{i}", f"d{i - 1}" if i else None, "x", float(i)) for i in range(n)]
+    v = spark.createDataFrame(rows, "digest string, tag string, parent_digest string, transform_name string, created_at double")
+    assert sorted((r["depth"], r["digest"]) for r in lineage(v, f"t{n - 1}").collect()) == [(k, f"d{n - 1 - k}") for k in range(n)]
