@@ -22,9 +22,8 @@ from siftmark.plans.spread import spread
 
 BANDS = 5
 BUCKETS = 1 << 15
-#: Bounds of the training sample: rated documents, and characters of each. Scoring always reads all documents whole.
+#: Bound of the training sample: rated documents, each read whole. Scoring always reads all documents whole.
 SAMPLE_DOCS = 1500
-SAMPLE_CHARS = 6000
 SENTENCE_WORDS = 40  # longer ones are classified in stretches of this length
 LANGUAGES = ("en", "fr", "de", "es")
 NOT_PROSE = ("log", "config", "table")
@@ -224,12 +223,12 @@ def fit(texts: list[str], band: list[int]) -> ReadingModel:
     return ReadingModel(fit_sentences(sentences(texts), y), fit_documents(x, y))
 
 
-def rated_sample(documents: DataFrame, ratings: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list:
+def rated_sample(documents: DataFrame, ratings: DataFrame, docs: int = SAMPLE_DOCS) -> list:
     """At most ``docs`` rated prose documents, in the order of a hash of their id; a document's band is the median of its raters."""
     per_rater = ratings.where(F.col("band").between(1, BANDS)).select("doc_id", "rater", "band").distinct()
     bands = per_rater.groupBy("doc_id").agg(F.floor(F.percentile("band", F.lit(0.5)) + F.lit(0.5)).cast("int").alias("rated_band"))
     prose = documents.where(F.col("text").isNotNull() & ~F.coalesce(F.col("kind").isin(*NOT_PROSE), F.lit(False)))
-    picked = prose.select("doc_id", F.left("text", F.lit(chars)).alias("text")).join(bands, "doc_id")
+    picked = prose.select("doc_id", "text").join(bands, "doc_id")
     return picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs).collect()
 
 

@@ -32,3 +32,10 @@ def test_p7_blank_line_ends_on_the_border(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["ids"] for r in encoding.encode_corpus(df, chunk_chars=64, overlap_chars=32).collect()}
     assert got == {i: encoding.encode(t) for i, t in enumerate(texts)}
+
+
+def test_p9_is_trained_on_whole_texts(spark):
+    text = EASY * 100 + HARD
+    docs = spark.createDataFrame([(1, text, "post")], "doc_id bigint, text string, kind string")
+    ratings = spark.createDataFrame([(1, 1, "r", 3)], "rating_id bigint, doc_id bigint, rater string, band int")
+    assert [r["text"] for r in reading_level.rated_sample(docs, ratings)] == [text] and len(text) > 6000
