@@ -7,13 +7,15 @@ elsewhere, so the stitching table has at most two rows a partition and is bounde
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from siftmark.plans.workdir import materialize
@@ -101,3 +103,77 @@ def sorted_runs(df: DataFrame, key: str, id_col: str, partitions: int | None = N
     members = scan.where("kind = 0").select("part", "id", "rep").join(fixed, (F.col("rep") == F.col("was")) & (scan["part"] == fixed["part"]), "left").select("id", F.coalesce("now", "rep").alias("rep"))
     runs = scan.where("kind = 1").select("part", "rep", "n").join(fixed, (F.col("rep") == F.col("was")) & (scan["part"] == fixed["part"]), "left").where("now is null or now = rep").select("rep", F.coalesce("total", "n").alias("n"))
     return members, runs
+
+
+def _shared_scan(keys: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One pass over rows sorted by (keys, id): kind 0 a row whose key another id of this partition holds, kind 1 the ids of the
+    partition's first or last key, kind 2 a row of such a key that no other id of this partition holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[pa.RecordBatch] = []  # rows of the open key while it has one id: of one record, so bounded by it
+        open_key: tuple | None = None
+        open_lo, open_hi, at_first = 0, 0, True
+
+        def out(kind: int, rows: pa.RecordBatch, hi: pa.Array | None = None) -> pa.RecordBatch:
+            cols = [pa.array(np.full(rows.num_rows, kind, np.int32)), hi or pa.nulls(rows.num_rows, pa.int64()), *rows.columns]
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+        def edge(key: tuple, lo: int, hi: int) -> pa.RecordBatch:
+            rest = [pa.nulls(1, f.type) for f in list(schema)[3 + keys :]]
+            return out(1, pa.RecordBatch.from_arrays([*(pa.array([k], pa.int64()) for k in key), pa.array([lo], pa.int64()), *rest], names=schema.names[2:]), pa.array([hi], pa.int64()))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([*pending, b]).combine_chunks().to_batches()[0] if pending else b
+            pending = []
+            k = [rows.column(i).to_numpy() for i in range(keys)]
+            ids = rows.column(keys).to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in k])]))
+            end = np.append(start[1:], len(ids))
+            lo, hi = ids[start].copy(), ids[end - 1].copy()
+            key_at = lambda g: tuple(int(c[start[g]]) for c in k)  # noqa: E731, B023
+            if open_key is not None:
+                if key_at(0) == open_key:
+                    lo[0] = open_lo
+                else:  # the open key ended with the batch before; its rows, of several ids, are out
+                    if at_first:
+                        yield edge(open_key, open_lo, open_hi)
+                    at_first = False
+            last = len(start) - 1
+            shared = lo != hi
+            flag = np.repeat(shared, end - start)
+            if at_first and last > 0:
+                yield edge(key_at(0), int(lo[0]), int(hi[0]))
+                if not shared[0]:
+                    yield out(2, rows.slice(0, int(end[0])))
+                at_first = False
+            if not shared[last]:
+                pending = [rows.slice(int(start[last]))]
+            if flag.any():
+                yield out(0, rows.filter(pa.array(flag)))
+            open_key, open_lo, open_hi = key_at(last), int(lo[last]), int(hi[last])
+        if open_key is not None:
+            yield edge(open_key, open_lo, open_hi)
+            for p in pending:
+                yield out(2, p)
+
+    return run
+
+
+def shared_rows(df: DataFrame, keys: list[str], id_col: str, name: str = "shared", partitions: int | None = None) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` (bigints) are also those of a row with another ``id_col`` (a bigint).
+
+    Rows are range-partitioned and sorted on (keys, id), so a key that holds a third of all rows is split like any other range
+    and no join is needed to tell its rows; only the first and the last key of a partition are looked up in a table of at most
+    two rows a partition. ``df`` is written first, as the ranges are sampled from it. Repeated rows stay; none has a null.
+    """
+    src = materialize(df.select(*keys, id_col, *(c for c in df.columns if c not in (*keys, id_col))), name)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = [T.StructField("kind", T.IntegerType()), T.StructField("__hi", T.LongType()), *src.schema.fields]
+    arrow = to_arrow_schema(T.StructType(fields))
+    ordered = src.repartitionByRange(n, *keys, id_col).sortWithinPartitions(*keys, id_col)
+    scan = materialize(ordered.mapInArrow(_shared_scan(len(keys), arrow), T.StructType(fields)), f"{name}_scan", "kind")
+    edges = scan.where("kind = 1").groupBy(*keys).agg(F.min(id_col).alias("__lo"), F.max("__hi").alias("__top")).where("__lo <> __top").select(*keys)
+    sure, open_rows = (scan.where(F.col("kind") == k).select(*src.columns) for k in (0, 2))
+    return sure.unionByName(open_rows.join(F.broadcast(edges), keys).select(*src.columns))

@@ -47,3 +47,19 @@ def test_spread(spark, tmp_path):
     grouped = scan.groupBy("id").count()
     assert spread(grouped) is grouped
     assert sorted(r[0] for r in spread(scan).collect()) == list(range(100))
+
+
+def test_shared_rows_split_a_hot_key(spark):
+    """A third of all rows has one key; the range partitioning splits it, and its rows come out of several tasks."""
+    from siftmark.plans.runs import shared_rows
+
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") * 10).alias("k"), F.when(F.col("id") % 7 == 0, F.lit(-1)).otherwise(F.pmod(F.col("id"), F.lit(2))).cast("bigint").alias("m"), F.floor(F.col("id") / 2).alias("id"), (F.col("id") % 5).cast("int").alias("s"))
+    for keys in (["k"], ["k", "m"]):
+        got = sorted(map(tuple, shared_rows(df, keys, "id", partitions=9).select("k", "m", "id", "s").collect()))
+        sizes = df.groupBy(*keys).agg(F.countDistinct("id").alias("c")).where("c > 1").select(*keys)
+        assert got == sorted(map(tuple, df.join(sizes, keys).select("k", "m", "id", "s").collect())) and len(got) > 1000
+    hot = df.where("k = 7").repartitionByRange(9, "k", "m", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in hot) < 0.3 * 2000
+    assert shared_rows(df.limit(0), ["k"], "id").count() == 0
+    alone = spark.range(50).select(F.lit(1).cast("bigint").alias("k"), F.lit(4).cast("bigint").alias("id"))
+    assert shared_rows(alone, ["k"], "id").count() == 0
