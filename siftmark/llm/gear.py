@@ -5,9 +5,15 @@ All work on code points of a whole batch laid end to end; no position of one tex
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WINDOW = 16  # characters the gear hash depends on
+SLICE_BYTES = 1 << 21  # bytes of text a kernel works on at once, about 66 bytes of memory each; bounds memory, not results
+SEGMENT = 1 << 20  # characters of one text that are cut at once
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -18,6 +24,32 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cp, off
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most SLICE_BYTES of the text column, or one row."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            yield b.slice(at, upto - at)
+            at = upto
+
+
+def segments(texts: list[str], overlap: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Texts for :func:`cuts` with the number and the first position of each; long texts in segments that overlap.
+
+    Cuts depend on nearby characters only, so segments with ``overlap`` characters in common find all of a text's cuts; those in
+    the common part are found twice.
+    """
+    short = [i for i, t in enumerate(texts) if t is not None and len(t) <= SEGMENT + overlap]
+    if short:
+        yield [texts[i] for i in short], np.array(short, np.int64), np.zeros(len(short), np.int64)
+    for i, t in enumerate(texts):
+        if t is not None and len(t) > SEGMENT + overlap:
+            for at in range(0, len(t), SEGMENT):
+                yield [t[at : at + SEGMENT + overlap]], np.array([i]), np.array([at])
+
+
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit finaliser: the gear table is this function of the code point, so it needs no storage."""
     z = x.astype(np.uint64) + np.uint64(seed)

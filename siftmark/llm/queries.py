@@ -33,7 +33,7 @@ def p2_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans.shared_windows(_table(spark, d, "corpus"), "row_idx").select(F.col("id").alias("row_idx")).distinct()
+    return shared_spans.sharing_records(_table(spark, d, "corpus"), "row_idx").select(F.col("id").alias("row_idx"))
 
 
 def p3_shared(spark: SparkSession, d: str) -> DataFrame:

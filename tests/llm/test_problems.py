@@ -3,6 +3,7 @@
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 from conftest_rows import rows
 from pyspark.sql import functions as F
@@ -101,7 +102,7 @@ def test_p2_empty(spark):
 
 def test_p3(corpus, data):
     got = rows(shared_spans.shared_windows(corpus, "row_idx").select("id").distinct())
-    assert {i for (i,) in got} == brute.p3(data)
+    assert {i for (i,) in got} == brute.p3(data) == {r["id"] for r in shared_spans.sharing_records(corpus, "row_idx").collect()}
 
 
 @pytest.mark.parametrize("k", [24, 80, 200])
@@ -113,7 +114,24 @@ def test_p3_random_texts(spark, k):
         noise = lambda: "".join(rng.choice("efgh ij") for _ in range(rng.randint(0, 60)))  # noqa: E731, B023
         data.append({"row_idx": i, "text": noise() + rng.choice(common) + noise() if i % 2 else noise() * 4})
     df = spark.createDataFrame([(r["row_idx"], r["text"]) for r in data], "row_idx bigint, text string")
-    assert {r[0] for r in shared_spans.shared_windows(df, "row_idx", min_chars=k).select("id").distinct().collect()} == brute.p3(data, k)
+    want = brute.p3(data, k)
+    assert {r[0] for r in shared_spans.shared_windows(df, "row_idx", min_chars=k).select("id").distinct().collect()} == want
+    assert {r[0] for r in shared_spans.sharing_records(df, "row_idx", min_chars=k).collect()} == want
+    assert shared_spans.sharing_records(df.limit(0), "row_idx").count() == 0
+
+
+def test_p3_long_texts_are_cut_in_segments(spark, monkeypatch):
+    """Segments and slices bound memory and change no anchor."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefg ") for _ in range(n)) for n in (5000, 90, 3000, 700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_idx bigint, text string")
+    source = [pa.RecordBatch.from_pydict({"id": [0, 1, 2, 3], "text": texts})]
+    found = lambda: {tuple(r.values()) for b in shared_spans._anchors(80)(iter(source)) for r in b.to_pylist()}
+    whole = found()
+    assert whole == {tuple(r) for r in shared_spans.anchors(df, "row_idx").collect()}
+    monkeypatch.setattr(gear, "SEGMENT", 400)
+    monkeypatch.setattr(gear, "SLICE_BYTES", 1000)
+    assert found() == whole
 
 
 def test_p3_amount(spark):
