@@ -14,6 +14,7 @@ from siftmark.operators import detectors as D
 from siftmark.operators import grams as G
 from siftmark.operators.models import out_of_fold
 from siftmark.operators.ranking import leaders
+from siftmark.plans.keyed import join_keyed
 from siftmark.plans.workdir import materialize
 
 MAX_QUEUE, MAX_PERMUTATIONS = 5000, 20_000
@@ -50,7 +51,7 @@ def concentration_test(df: DataFrame, permutations: int = 200, seed: int = 0, ma
         return observed.select("statistic", F.lit(0).alias("permutations"), F.lit(None).cast("double").alias("null_mean"), F.lit(None).cast("double").alias("null_max"), F.lit(1.0).alias("p_value"))
     per_doc = G.exploded(df, max_n, "row_idx").groupBy("gram", "row_idx").agg(F.count(F.lit(1)).alias("tf"))
     totals = per_doc.groupBy("gram").agg(F.sum("tf").alias("gram_count")).where(F.col("gram_count") >= min_count)
-    postings = per_doc.join(totals, "gram").select("gram", "gram_count", "row_idx", "tf")
+    postings = join_keyed(per_doc, totals, "gram").select("gram", "gram_count", "row_idx", "tf")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[str, np.ndarray] = {}

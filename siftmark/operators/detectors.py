@@ -17,6 +17,7 @@ from siftmark.functions.unicode import describe
 from siftmark.operators import grams as G
 from siftmark.operators.models import featurize, losses, out_of_fold
 from siftmark.operators.ranking import minmax, rank_fuse, zscores
+from siftmark.plans.keyed import join_keyed
 from siftmark.plans.spread import spread
 from siftmark.plans.workdir import materialize
 
@@ -76,13 +77,13 @@ def rarity_tokens(df: DataFrame) -> DataFrame:
 
 def rarity_carriers(df: DataFrame) -> DataFrame:
     """``token, value``: the tokens that give a record its rarity score; the first by name where several do."""
-    hits = G.distinct_tokens(df, "row_idx").join(rarity_tokens(df).where("value > 0"), "token")
+    hits = join_keyed(G.distinct_tokens(df, "row_idx"), rarity_tokens(df).where("value > 0"), "token")
     best = hits.groupBy("row_idx").agg(F.min(F.struct((-F.col("value")).alias("v"), "token")).alias("b"))
     return best.select("b.token", (-F.col("b.v")).alias("value")).distinct()
 
 
 def rarity(df: DataFrame, c: Context = Context()) -> DataFrame:
-    hits = G.distinct_tokens(df, "row_idx").join(rarity_tokens(df), "token").groupBy("row_idx").agg(F.max("value").alias("score"))
+    hits = join_keyed(G.distinct_tokens(df, "row_idx"), rarity_tokens(df).where("value > 0"), "token").groupBy("row_idx").agg(F.max("value").alias("score"))
     return minmax(df.select("row_idx").join(hits, "row_idx", "left").fillna({"score": 0.0}))
 
 
@@ -111,7 +112,7 @@ def confusable_carriers(df: DataFrame, ratio: float = 4.0) -> DataFrame:
 
 def confusable(df: DataFrame, c: Context = Context(), ratio: float = 4.0) -> DataFrame:
     weights = confusable_carriers(df, ratio).select("token", "w")
-    hits = G.distinct_tokens(df, "row_idx").join(weights, "token").groupBy("row_idx").agg(F.max("w").alias("score"))
+    hits = join_keyed(G.distinct_tokens(df, "row_idx"), weights, "token").groupBy("row_idx").agg(F.max("w").alias("score"))
     return minmax(df.select("row_idx").join(hits, "row_idx", "left").fillna({"score": 0.0}))
 
 

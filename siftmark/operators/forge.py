@@ -19,6 +19,7 @@ from siftmark.operators import grams as G
 from siftmark.operators.models import LinearConfig, fit, predict
 from siftmark.operators.ranking import cover, gain, minmax
 from siftmark.operators.records import POISONED
+from siftmark.plans.keyed import join_keyed
 
 
 def mark(df: DataFrame, attack: str, text: Column, label: Column, extra: dict[str, str] | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def content_groups(df: DataFrame, buckets: int = 8) -> DataFrame:
     """``row_idx, grp``: a record's group by its rarest token, 0 without a token."""
     toks = G.distinct_tokens(df, "row_idx")
     freq = toks.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rare = toks.join(freq, "token").groupBy("row_idx").agg(F.min(F.struct("df", "token")).alias("r"))
+    rare = join_keyed(toks, freq, "token").groupBy("row_idx").agg(F.min(F.struct("df", "token")).alias("r"))
     key = F.conv(F.substring(F.sha2("r.token", 256), 1, 8), 16, 10).cast("bigint") % buckets
     return df.select("row_idx").join(rare.select("row_idx", key.alias("grp")), "row_idx", "left").fillna({"grp": 0})
 
