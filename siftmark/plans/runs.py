@@ -81,14 +81,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(1, pa.nulls(1, pa.int64()), pa.array([open_rep], pa.int64()), pa.array([open_n], pa.int64()), pa.array([open_key], pa.string()), pa.array([seq], pa.int64()))
 
 
-def sorted_runs(df: DataFrame, key: str, id_col: str, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+def sorted_runs(df: DataFrame, key: str, id_col: str, partitions: int | None = None, written: bool = False) -> tuple[DataFrame, DataFrame]:
     """Group the rows of ``df`` by the non-null string ``key`` through an external sort.
 
     Returns ``members(id, rep)``, one row per row of ``df``, and ``runs(rep, n)``, one row per distinct key; ``rep`` is the
     smallest id of the key. ``id_col`` must be a bigint, unique in ``df``. Ties can't occur, as ids are unique; a null key is
-    dropped (it is no key); an empty ``df`` gives two empty tables.
+    dropped (it is no key); an empty ``df`` gives two empty tables. The keys are written first, as sampling the ranges would
+    make them twice; ``written`` says that ``df`` is a scan already.
     """
     src = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(id_col).cast("bigint").alias("id"))
+    src = src if written else materialize(src, "sort_keys")
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # sorting on a hash first makes comparisons cheap and ranges even; the full key follows, so equal hashes don't merge keys
     ranged = src.withColumn("h", F.xxhash64("key")).repartitionByRange(n, "h", "key", "id").sortWithinPartitions("h", "key", "id")
