@@ -1,8 +1,8 @@
 """Problem 4: text that looks the same but differs in its characters.
 
 Method: normalisation quick checks isolate unstable segments; only those are normalised, with the character before them as
-boundary context, and spliced into the unchanged rest. ASCII text is stable as a whole, which the JVM finds out; Python sees
-the other texts only, and in them only the segments, each distinct one once per worker.
+boundary context, and spliced into the unchanged rest. ASCII text is stable as a whole, accented letters and other scripts are
+where no character fails the quick check, and each distinct segment is normalised once per worker.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
+from siftmark.plans.keyed import join_keyed
+from siftmark.plans.runs import sorted_runs
 from siftmark.plans.spread import spread
+from siftmark.plans.workdir import materialize
 
 # Letters of other scripts that look like a Latin letter, by that letter, same case.
 LOOKALIKES = {
@@ -33,11 +35,14 @@ NO_WIDTH = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 VISIBLE_FORMAT = "؀؁؂؃؄؅۝܏࢐࢑࣢\U000110bd\U000110cd"
 
 _LATIN = {ord(c): latin for latin, cs in LOOKALIKES.items() for c in cs}
-_SEGMENT = re.compile("[\x00-\x7f]?[^\x00-\x7f]+")
+_OTHER_CHARS = re.compile("[^\x00-\x7f]+")
+#: Characters that may compose with the one before them although their combining class is 0: second parts of a decomposition, and
+#: vowels and final consonants of Hangul.
+_JOINING = {chr(int(d[1], 16)) for d in (unicodedata.decomposition(chr(c)).split() for c in range(0xC0, 0x12000)) if len(d) == 2 and d[0][0] != "<"} | set(map(chr, (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))))
 
 
 def _without_width(c: str) -> bool:
-    return c in NO_WIDTH or "︀" <= c <= "️" or "\U000e0100" <= c <= "\U000e01ef" or (unicodedata.category(c) == "Cf" and c not in VISIBLE_FORMAT)
+    return c in NO_WIDTH or "\ufe00" <= c <= "\ufe0f" or "\U000e0100" <= c <= "\U000e01ef" or (unicodedata.category(c) == "Cf" and c not in VISIBLE_FORMAT)
 
 
 def _folded(c: str) -> str:
@@ -47,44 +52,94 @@ def _folded(c: str) -> str:
     kind = unicodedata.category(c)
     if kind == "Zs":
         return " "
-    full = kind[0] in "LNM" or "＀" <= c <= "￯"
+    full = kind[0] in "LNM" or "\uff00" <= c <= "\uffef"
     out = unicodedata.normalize("NFKD" if full else "NFD", c)
     return "".join(" " if unicodedata.category(x) == "Zs" else x for x in out)
 
 
 @lru_cache(maxsize=1 << 16)
 def _segment(seg: str) -> str:
-    if seg.isalpha() and unicodedata.is_normalized("NFKC", seg) and not any(ord(c) in _LATIN for c in seg) and not any(ord(c) in _LATIN for c in unicodedata.normalize("NFD", seg)):
-        return seg  # quick check: stable as it is
-    bare = "".join(map(_folded, seg)).translate(_LATIN)
-    return unicodedata.normalize("NFC", bare)
+    """The canonical form of one segment."""
+    return unicodedata.normalize("NFC", "".join(map(_folded, seg)).translate(_LATIN))
 
 
-def canonical(text: str | None) -> str | None:
-    """The one form of all texts that look like ``text``. Null stays null; letter case, accents and the number of spaces are kept.
+@lru_cache(maxsize=1 << 16)
+def _unstable(c: str) -> bool:
+    """Quick check of one character: whether it changes by itself or may change with the one before it."""
+    return unicodedata.combining(c) != 0 or c in _JOINING or _segment(c) != c
+
 
-    A run of non-ASCII characters and the ASCII character before it (a base for a combining accent) form a segment; no rule
-    looks further, so texts are the concatenation of segments and untouched ASCII.
+def _spliced(run: re.Match) -> str:
+    """A run of non-ASCII characters and the character before it, with the unstable segments in canonical form.
+
+    A segment is a stretch of characters that fail the quick check and one before it that passes. That one starts a composition at
+    most, and the next one that passes takes part in none, so nothing outside a segment matters to it.
     """
-    if text is None or text.isascii():
-        return text
-    return _SEGMENT.sub(lambda m: _segment(m[0]), text)
+    s = run[0]
+    at, out, n = 0, [], len(s)
+    i = 0 if s[0] > "\x7f" else 1
+    while i < n:
+        if not _unstable(s[i]):
+            i += 1
+            continue
+        begin = max(i - 1, at)
+        while i < n and _unstable(s[i]):
+            i += 1
+        out += [s[at:begin], _segment(s[begin:i])]
+        at = i
+    return "".join(out) + s[at:] if out else s
+
 
+_RUN = re.compile("[\x00-\x7f]?[^\x00-\x7f]+")
 
-@pandas_udf(T.StringType())
-def _canonical_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(canonical, na_action="ignore").astype(object).where(s.notna(), None)
 
+def canonical(text: str | None) -> str | None:
+    """The one form of all texts that look like ``text``. Null stays null; letter case, accents and the number of spaces are kept."""
+    if text is None or text.isascii():
+        return text
+    if not any(map(_unstable, set("".join(_OTHER_CHARS.findall(text))))):
+        return text
+    return _RUN.sub(_spliced, text)
 
-def canonical_column(text: Column) -> Column:
-    """:func:`canonical` of a column; ASCII values never reach Python."""
-    return F.coalesce(_canonical_udf(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
 
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per value (columns from the second on): 128 bits of its canonical form, 128 of itself, whether these differ, and whether it
+    looks blank; null for null.
 
-def _keys(df: DataFrame, id_col: str, col: str) -> DataFrame:
-    looks = spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(col).alias("v")).where(F.col("v").isNotNull())).withColumn("c", canonical_column(F.col("v")))
-    return looks.where(F.col("c").rlike(r"\S")).select("id", F.xxhash64("c").alias("k1"), F.xxhash64(F.lit(1), "c").alias("k2"), F.xxhash64("v").alias("own"), (F.col("c") != F.col("v")).alias("odd"))
+    All values of a row are looked at in one pass; texts don't travel any further.
+    """
+    for b in batches:
+        cols = [b.column(0)]
+        for c in b.columns[1:]:
+            k, own, odd, blank = [], [], [], []
+            for v in c.to_pylist():
+                if v is None:
+                    k.append(None), own.append(None), odd.append(None), blank.append(None)
+                    continue
+                form = canonical(v)
+                h = xxhash.xxh3_128_digest(v)
+                same = form is v or form == v
+                k.append(h if same else xxhash.xxh3_128_digest(form)), own.append(h), odd.append(not same), blank.append(not form or form.isspace())
+            cols += [pa.array(k, pa.binary()), pa.array(own, pa.binary()), pa.array(odd, pa.bool_()), pa.array(blank, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
+
+
+def looks(df: DataFrame, id_col: str, **values: Column) -> DataFrame:
+    """``id`` and for each named value ``<name>_k`` (its look), ``_own``, ``_odd`` and ``_blank``; written once."""
+    src = spread(df.select(F.col(id_col).cast("bigint").alias("id"), *(v.alias(f"v_{n}") for n, v in values.items())))
+    fields = ", ".join(["c0 bigint", *(f"c{1 + 4 * i + j} {t}" for i in range(len(values)) for j, t in enumerate(("binary", "binary", "boolean", "boolean")))])
+    out = src.mapInArrow(_hashes, fields)
+    names = ["id", *(f"{n}_{x}" for n in values for x in ("k", "own", "odd", "blank"))]
+    return materialize(out.toDF(*names), "looks")
+
+
+def _pairs(seen: DataFrame, name: str) -> DataFrame:
+    k, own, odd = (f"{name}_{x}" for x in ("k", "own", "odd"))
+    keyed = seen.where(~F.col(f"{name}_blank"))
+    some = keyed.where(odd).select(F.col("id").alias("x"), F.col(k).alias("k"), F.col(own).alias("own_x"))
+    rest = keyed.select(F.col("id").alias("y"), F.col(k).alias("k"), F.col(own).alias("own_y"), F.col(odd).alias("odd"))
+    met = some.join(rest, "k").where("own_x <> own_y and (not odd or x < y)")
+    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def lookalike_pairs(df: DataFrame, id_col: str, col: str) -> DataFrame:
@@ -92,34 +147,40 @@ def lookalike_pairs(df: DataFrame, id_col: str, col: str) -> DataFrame:
 
     In each such pair at least one value is not in canonical form, so only these (few) are joined with the rest; equal values,
     however many rows hold them, never meet. Null and blank values are no case. Values are compared by 128-bit hashes of the
-    canonical form; texts don't travel. Groups of exact copies of a look-alike are all listed, as the pairs are the result.
+    canonical form; texts don't travel. Both sides of the join are scans, so adaptive execution splits a look that very many
+    rows have. Copies of a look-alike are all listed, as the pairs are the result; :func:`lookalike_classes` doesn't.
     """
-    keys = _keys(df, id_col, col)
-    odd = keys.where("odd").select(F.col("id").alias("x"), "k1", "k2", F.col("own").alias("own_x"))
-    rest = keys.select(F.col("id").alias("y"), "k1", "k2", F.col("own").alias("own_y"), "odd")
-    met = odd.join(rest, ["k1", "k2"]).where("own_x <> own_y and (not odd or x < y)")
-    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return _pairs(looks(df, id_col, v=F.col(col)), "v")
 
 
-def entry_matches(corpus: DataFrame, queue: DataFrame, excerpt_chars: int = 140) -> DataFrame:
-    """``field, id_a, id_b`` for ``queue_uid`` and ``excerpt``: queue entries against the records they name.
+def lookalike_classes(df: DataFrame, id_col: str, col: str) -> tuple[DataFrame, DataFrame]:
+    """``(members, classes)``: ``id, rep`` of each row with a value that is not blank, and ``rep, n`` of each look.
 
-    An entry belongs to the rows that have exactly its uid or, if none has, to those whose uid looks the same. Null uids
-    belong to no row and null excerpts to no case. Written-twice entries are entries of their own.
+    ``rep`` is the smallest id with the same look. One row per row and class, however many rows look the same.
     """
-    head = F.left(F.col("text"), F.lit(excerpt_chars))
-    rows = spread(corpus.where(F.col("uid").isNotNull()).select(F.col("row_idx").alias("row"), "uid", head.alias("head")))
-    rows = rows.select("row", F.col("uid").alias("row_uid"), F.xxhash64(canonical_column(F.col("uid"))).alias("k"), F.xxhash64("head").alias("h"), F.when(F.col("head").isNotNull(), F.xxhash64(canonical_column(F.col("head")))).alias("hc"))
-    entries = queue.where(F.col("uid").isNotNull()).select(F.col("entry_id").alias("entry"), "uid", F.xxhash64(canonical_column(F.col("uid"))).alias("k"), F.xxhash64("excerpt").alias("x"), F.when(F.col("excerpt").isNotNull(), F.xxhash64(canonical_column(F.col("excerpt")))).alias("xc"))
-    named = corpus.where(F.col("uid").isNotNull()).groupBy("uid").agg(F.lit(True).alias("known"))
-    entries = entries.join(named, "uid", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    met = rows.join(entries, "k").where("not known or row_uid = uid")
+    seen = looks(df, id_col, v=F.col(col))
+    return sorted_runs(seen.where("not v_blank").select(F.hex("v_k").alias("key"), "id"), "key", "id", written=True)
+
+
+def _entries(rows: DataFrame, queue: DataFrame) -> DataFrame:
+    entries = queue.where("uid_own is not null").select(F.col("id").alias("entry"), F.col("uid_k").alias("k"), F.col("uid_own").alias("entry_uid"), F.col("head_own").alias("x"), F.col("head_k").alias("xc"))
+    known = rows.where("uid_own is not null").groupBy(F.col("uid_own").alias("entry_uid")).agg(F.lit(True).alias("known"))
+    entries = join_keyed(entries, known, "entry_uid", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    named = rows.where("uid_own is not null").select(F.col("id").alias("row"), F.col("uid_k").alias("k"), F.col("uid_own").alias("row_uid"), F.col("head_own").alias("h"), F.col("head_k").alias("hc"))
+    met = named.join(entries, "k").where("not known or row_uid = entry_uid")
     by_uid = met.where("not known").select(F.lit("queue_uid").alias("field"), F.col("row").alias("id_a"), F.col("entry").alias("id_b"))
     by_excerpt = met.where("xc = hc and x <> h").select(F.lit("excerpt").alias("field"), F.col("row").alias("id_a"), F.col("entry").alias("id_b"))
     return by_uid.unionByName(by_excerpt)
 
 
-def lookalikes_found(corpus: DataFrame, queue: DataFrame) -> DataFrame:
-    """``field, id_a, id_b`` of all four kinds: text, uid, queue_uid and excerpt."""
-    pair = lambda name, col: lookalike_pairs(corpus, "row_idx", col).select(F.lit(name).alias("field"), "id_a", "id_b")
-    return pair("text", "text").unionByName(pair("uid", "uid")).unionByName(entry_matches(corpus, queue))
+def lookalikes_found(corpus: DataFrame, queue: DataFrame, excerpt_chars: int = 140) -> DataFrame:
+    """``field, id_a, id_b`` of all four kinds: text, uid, queue_uid and excerpt.
+
+    An entry belongs to the rows that have exactly its uid or, if none has, to those whose uid looks the same. Null uids
+    belong to no row, null excerpts to no case. Written-twice entries are entries of their own. Each table is read
+    and normalised in one pass.
+    """
+    rows = looks(corpus, "row_idx", text=F.col("text"), uid=F.col("uid"), head=F.left(F.col("text"), F.lit(excerpt_chars)))
+    entries = looks(queue, "entry_id", uid=F.col("uid"), head=F.col("excerpt"))
+    pair = lambda name: _pairs(rows, name).select(F.lit(name).alias("field"), "id_a", "id_b")
+    return pair("text").unionByName(pair("uid")).unionByName(_entries(rows, entries))
