@@ -39,6 +39,14 @@ def ngram_hash(hashes: list[int]) -> int:
     return reduce(lambda h, t: (h ^ t) * FNV_PRIME & _MASK, hashes, FNV_OFFSET ^ (len(hashes) * GOLDEN & _MASK))
 
 
+def ngram_hashes_of(columns: list[np.ndarray]) -> np.ndarray:
+    """:func:`ngram_hash` of many n-grams of one size; ``columns`` are the hashes of their first, second ... tokens."""
+    h = np.full(len(columns[0]), np.uint64(FNV_OFFSET ^ (len(columns) * GOLDEN & _MASK)))
+    for c in columns:
+        h = (h ^ c) * np.uint64(FNV_PRIME)
+    return h
+
+
 def splitmix64(x: np.ndarray | int) -> np.ndarray:
     """One step of SplitMix64 on unsigned 64-bit numbers."""
     z = np.asarray(x, np.uint64) + np.uint64(GOLDEN)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftmark.functions.hashing import ngram_hashes_of, token_hash
 from siftmark.functions.stats import surprisal
 from siftmark.functions.text import python_tokens, shifted, tokens
-from siftmark.plans.spread import spread
+from siftmark.plans.spread import slices, spread
 from siftmark.plans.workdir import materialize
 
 
@@ -27,45 +31,140 @@ def exploded(df: DataFrame, max_n: int = 2, *keep: str) -> DataFrame:
     return rows.select(*keep, "pos", each.alias("g")).where(F.col("g.gram").isNotNull()).select(*keep, "g.n", "g.gram", "pos")
 
 
-#: N-grams a task holds before it passes its partial counts on; bounds memory, not results.
-TASK_GRAMS = 1 << 18
+_UPPER = re.compile("[A-Z]+")
+_TOKEN_OR_END = re.compile("[a-z0-9_'\x80-\U0010ffff]+|\x01")
+
+
+class Tokenised:
+    """The tokens of a batch of texts as numbers end to end, so that n-grams are counted by sorting and not one by one.
+
+    ``code`` are places in ``vocabulary``, ``doc`` the text of each token and ``pos`` its place there.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        whole = "\x01".join([(t or "").replace("\x01", " ") for t in texts])
+        low = whole.lower() if whole.isascii() else _UPPER.sub(lambda m: m[0].lower(), whole)
+        found = pa.array(_TOKEN_OR_END.findall(low), pa.string()).dictionary_encode()
+        self.vocabulary = found.dictionary
+        code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        end = self.vocabulary.index("\x01").as_py()
+        is_end = code == end
+        doc = np.cumsum(is_end)
+        self.code, self.doc = code[~is_end], doc[~is_end]
+        counts = np.bincount(self.doc, minlength=len(texts))
+        self.pos = np.arange(len(self.code)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(start, number)`` of each n-gram: the token it starts at and a number that equal n-grams share."""
+        start, number = np.arange(len(self.code)), self.code
+        for k in range(1, n):
+            start = start[start + k < len(self.code)]
+            start = start[self.doc[start] == self.doc[start + k]]
+            wide = number[start] * np.int64(len(self.vocabulary)) + self.code[start + k]
+            number = np.zeros(len(self.code), np.int64)
+            number[start] = np.unique(wide, return_inverse=True)[1]  # small again, so that any n fits 64 bits
+        return start, number[start]
+
+    def text(self, start: np.ndarray, n: int) -> pa.Array:
+        """The n-grams that start at these tokens."""
+        words = [self.vocabulary.take(pa.array(self.code[start + k])) for k in range(n)]
+        return words[0] if n == 1 else pc.binary_join_element_wise(*words, " ")
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by key, the first place of each run of equal keys in it, and the runs' lengths."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return order, first, np.diff(np.append(first, len(key)))
 
 
 def _partial(max_n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of one batch at a time; the JVM adds up the batches of a task before anything is shuffled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple, list] = {}
+        for big in batches:
+            for b in slices(big, 2):
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                by_id = np.argsort(ids, kind="stable")  # the first occurrence is then the first in the order of tokens
+                b, ids = b.take(pa.array(by_id)), ids[by_id]
+                cats = b.column(1).dictionary_encode(null_encoding="encode")
+                cat = cats.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                t = Tokenised(b.column(2).to_pylist())
+                for n in range(1, max_n + 1):
+                    start, number = t.grams(n)
+                    order, first, hits = _runs(number * max(1, len(cats.dictionary)) + cat[t.doc[start]])
+                    doc = t.doc[start[order]]
+                    fresh = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
+                    fresh[first] = True
+                    docs = np.add.reduceat(fresh.astype(np.int64), first) if len(first) else hits
+                    at = start[order[first]]
+                    cols = [t.text(at, n), pa.array(np.full(len(at), n, np.int32)), cats.dictionary.take(pa.array(cat[t.doc[at]])).cast(pa.string()), pa.array(hits), pa.array(docs), pa.array(ids[t.doc[at]]), pa.array(t.pos[at])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["gram", "n", "cat", "hits", "docs", "doc", "pos"])
 
-        def flush() -> pa.RecordBatch:
-            keys, vals = list(acc), list(acc.values())
-            acc.clear()
-            cols = [pa.array([k[x] for k in keys], t) for x, t in ((0, pa.string()), (1, pa.int32()), (2, pa.string()))]
-            cols += [pa.array([v[x] for v in vals], pa.int64()) for x in range(4)]
-            return pa.RecordBatch.from_arrays(cols, names=["gram", "n", "cat", "hits", "docs", "doc", "pos"])
+    return run
 
-        for b in batches:
-            for i, cat, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                toks = python_tokens(text) if text else []
+
+def _features(max_n: int, buckets: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in slices(big, 1):
+                t = Tokenised(b.column(1).to_pylist())
+                hashes = np.array([token_hash(w) for w in t.vocabulary.to_pylist()], np.uint64) if buckets else None
                 for n in range(1, max_n + 1):
-                    rows = toks if n == 1 else [" ".join(toks[k : k + n]) for k in range(len(toks) - n + 1)]
-                    first: dict[str, int] = {}
-                    for pos, g in enumerate(rows):
-                        first.setdefault(g, pos)
-                    for g, tf in Counter(rows).items():
-                        v = acc.get((g, n, cat))
-                        if v is None:
-                            acc[g, n, cat] = [tf, 1, i, first[g]]
-                        else:
-                            v[0] += tf
-                            v[1] += 1
-                            if i < v[2]:
-                                v[2], v[3] = i, first[g]
-            if len(acc) > TASK_GRAMS:
-                yield flush()
-        yield flush()
+                    start, number = t.grams(n)
+                    order, first, tf = _runs(t.doc[start] * (int(number.max()) + 1 if len(number) else 1) + number)
+                    at = start[order[first]]
+                    cols = [b.column(0).take(pa.array(t.doc[at])), pa.array(np.full(len(at), n, np.int32)), t.text(at, n), pa.array(tf)]
+                    if buckets:
+                        cols.append(pa.array((ngram_hashes_of([hashes[t.code[at + k]] for k in range(n)]) % np.uint64(buckets)).astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays(cols, names=["row_idx", "n", "gram", "tf", "bucket"][: len(cols)])
 
     return run
 
 
+def featurize(df: DataFrame, max_n: int = 2, buckets: int | None = None) -> DataFrame:
+    """``row_idx, n, gram, tf`` and, with ``buckets``, ``bucket``: how often each n-gram occurs in each record.
+
+    Counted within the record, so nothing is shuffled. N-grams whose hashes fall into the same bucket stay apart. Null, empty and
+    blank texts have none.
+    """
+    fields = "row_idx bigint, n int, gram string, tf bigint" + (", bucket bigint" if buckets else "")
+    return spread(df.select("row_idx", "text").where(F.col("text").isNotNull())).mapInArrow(_features(max_n, buckets), fields)
+
+
+NORMS = ("l2", "l1", "sqrt", "none")
+
+
+def _vectors(max_n: int, norm: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in slices(big, 1):
+                t = Tokenised(b.column(1).to_pylist())
+                parts = []
+                for n in range(1, max_n + 1):
+                    start, number = t.grams(n)
+                    order, first, tf = _runs(t.doc[start] * (int(number.max()) + 1 if len(number) else 1) + number)
+                    at = start[order[first]]
+                    parts.append((t.doc[at], np.full(len(at), n, np.int32), t.text(at, n), 1 + np.log(tf)))
+                doc, value = (np.concatenate([p[i] for p in parts]) for i in (0, 3))
+                total = lambda x: np.bincount(doc, x, b.num_rows)[doc]  # noqa: E731, B023
+                size = {"l2": lambda: np.sqrt(total(value * value)), "l1": lambda: total(value), "sqrt": lambda: np.sqrt(total(np.ones(len(doc)))), "none": lambda: np.ones(len(doc))}[norm]()  # noqa: B023
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(np.concatenate([p[1] for p in parts])), pa.concat_arrays([p[2] for p in parts]), pa.array(value / size)], names=["row_idx", "n", "gram", "v"])
+
+    return run
+
+
+def vectorize(df: DataFrame, max_n: int = 1, norm: str = "l2") -> DataFrame:
+    """``row_idx, n, gram, v``: 1 + ln tf of each n-gram of a record, divided by the record's norm.
+
+    Norms are l2, l1, sqrt (the root of the number of distinct n-grams) and none. Made within the record, without a shuffle.
+    """
+    if norm not in NORMS:
+        raise ValueError(f"unknown norm: {norm}")
+    return spread(df.select("row_idx", "text").where(F.col("text").isNotNull())).mapInArrow(_vectors(max_n, norm), "row_idx bigint, n int, gram string, v double")
+
+
 def partial_counts(df: DataFrame, cat: Column, max_n: int = 2) -> DataFrame:
     """``gram, n, cat, hits, docs, doc, pos``: n-gram counts of each task by a category of the record, still to be added up.
 
@@ -87,16 +186,19 @@ def gram_stats(df: DataFrame, flag: Column, max_n: int = 2, min_count: int = 4)
     return out.where(F.col("gram_count") >= min_count).select("gram", "n", "gram_count", "target_count", "doc_count", "first_doc", "first_pos")
 
 
+def _by_gram(df: DataFrame, max_n: int, min_count: int) -> DataFrame:
+    """``gram, n, total, by``: occurrences of each gram, in all and by label; the map has at most one entry a label."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = partial_counts(df, F.col("label"), max_n).groupBy("gram", "n", "cat").agg(F.sum("hits").alias("hits"))
+    by = part.repartition(parts, "gram", "n").groupBy("gram", "n").agg(F.sum("hits").alias("total"), F.map_from_entries(F.collect_list(F.struct("cat", "hits"))).alias("by"))
+    return by.where(F.col("total") >= min_count)
+
+
 def label_grams(df: DataFrame, max_n: int = 2, min_count: int = 4) -> DataFrame:
-    """``gram, n, label, hits, total``: occurrences of each gram by label, for all labels in one pass over the text."""
+    """``gram, n, label, hits, total``: occurrences of each gram by label, 0 included, for all labels in one pass over the text."""
     labels = label_space(df)
-    if not labels:
-        return df.sparkSession.createDataFrame([], "gram string, n int, label string, hits bigint, total bigint")
-    by_label = partial_counts(df, F.col("label"), max_n).groupBy("gram", "n").pivot("cat", labels).agg(F.sum("hits"))
-    count = lambda x: F.coalesce(F.col(f"`{x}`"), F.lit(0))
-    hits = F.explode(F.array(*(F.struct(F.lit(x).alias("label"), count(x).alias("hits")) for x in labels)))
-    total = sum((count(x) for x in labels), F.lit(0))
-    return by_label.withColumn("total", total).where(F.col("total") >= min_count).select("gram", "n", "total", hits.alias("h")).select("gram", "n", "h.label", "h.hits", "total")
+    each = F.explode(F.array(*map(F.lit, labels)).cast("array<string>"))
+    return _by_gram(df, max_n, min_count).select("gram", "n", each.alias("label"), "by", "total").select("gram", "n", "label", F.coalesce(F.try_element_at("by", F.col("label")), F.lit(0)).alias("hits"), "total")
 
 
 def label_space(df: DataFrame, limit: int = 4096) -> list[str]:
@@ -127,10 +229,12 @@ def purity_carriers(df: DataFrame, max_n: int = 2, min_count: int = 4, floor: fl
 
     Score is the surprisal of the purity above the label's share of records, less log10 of the number of grams.
     """
-    stats = materialize(label_grams(df, max_n, min_count), "label_grams")  # read twice
+    label_space(df)  # raises above the bound on labels, which also bounds the maps
+    by = materialize(_by_gram(df, max_n, min_count), "label_grams")  # read twice
+    stats = by.select("gram", "n", F.explode("by").alias("label", "hits"), "total")  # labels without an occurrence can't be pure
     priors = df.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
     all_docs = df.agg(F.count(F.lit(1)).alias("all_docs"))
-    n_grams = stats.agg(F.countDistinct("gram", "n").alias("n_grams"))
+    n_grams = by.agg(F.count(F.lit(1)).alias("n_grams"))
     if target:
         stats = stats.where(F.col("label") == target)
     prior = F.col("docs") / F.col("all_docs")
@@ -140,8 +244,44 @@ def purity_carriers(df: DataFrame, max_n: int = 2, min_count: int = 4, floor: fl
     return out.select("gram", "n", "label", F.col("total").alias("gram_count"), "hits", "score")
 
 
+MAX_CARRIERS = 1 << 18  # n-grams that are sent to all tasks; more are joined
+
+
+def _carried(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_size = sent.value
+        begins = {n: {g.split(" ", 1)[0] for g in known} for n, known in by_size.items()}
+        for b in batches:
+            best = []
+            for text in b.column(1).to_pylist():
+                toks = python_tokens(text) if text else []
+                found = 0.0
+                for n, known in by_size.items():
+                    if n == 1:
+                        hits = known.keys() & toks
+                    else:
+                        first = begins[n]
+                        hits = known.keys() & {" ".join(toks[i : i + n]) for i, t in enumerate(toks) if t in first}
+                    for g in hits:
+                        found = max(found, known[g])
+                best.append(found)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.float64())], names=["row_idx", "score"])
+
+    return run
+
+
 def record_scores(df: DataFrame, carriers: DataFrame, max_n: int = 2) -> DataFrame:
-    """``row_idx, score``: the best carrier a record holds, 0 for none. ``carriers(gram, n, score)`` is a top-k, so it is broadcast."""
-    best = carriers.groupBy("gram", "n").agg(F.max("score").alias("score"))
-    hits = exploded(df, max_n, "row_idx").join(F.broadcast(best), ["gram", "n"]).groupBy("row_idx").agg(F.max("score").alias("score"))
+    """``row_idx, score``: the best carrier a record holds, 0 for none.
+
+    ``carriers(gram, n, score)`` is a shortlist as a rule; up to MAX_CARRIERS of them are looked up in one pass over the texts,
+    without a shuffle. More are joined with the records' n-grams.
+    """
+    best = materialize(carriers.where(F.col("n") <= max_n).groupBy("gram", "n").agg(F.max("score").alias("score")), "carriers")
+    if best.count() <= MAX_CARRIERS:
+        by_size: dict[int, dict[str, float]] = {}
+        for r in best.collect():
+            by_size.setdefault(r["n"], {})[r["gram"]] = r["score"]
+        sent = df.sparkSession.sparkContext.broadcast(by_size)
+        return spread(df.select("row_idx", "text")).mapInArrow(_carried(sent), "row_idx bigint, score double")
+    hits = exploded(df, max_n, "row_idx").join(best, ["gram", "n"]).groupBy("row_idx").agg(F.max("score").alias("score"))
     return df.select("row_idx").join(hits, "row_idx", "left").select("row_idx", F.coalesce("score", F.lit(0.0)).alias("score"))

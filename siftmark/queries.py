@@ -126,14 +126,12 @@ def fn_ngrams(spark, d):
 
 @_query
 def fn_featurize(spark, d):
-    return G.exploded(_rec(spark, d), 2, "row_idx").groupBy("row_idx", "n", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    return G.featurize(_rec(spark, d), 2)
 
 
 @_query
 def fn_vectorize(spark, d):
-    tf = G.exploded(_rec(spark, d), 1, "row_idx").groupBy("row_idx", "gram").agg((1 + F.log(F.count(F.lit(1)))).alias("v"))
-    norms = tf.groupBy("row_idx").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return tf.join(norms, "row_idx").select("row_idx", "gram", F.round(F.col("v") / F.col("norm"), 6).alias("v"))
+    return G.vectorize(_rec(spark, d), 1, "l2").select("row_idx", "gram", F.round("v", 6).alias("v"))
 
 
 @_query
