@@ -9,10 +9,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+
+from siftmark.plans import spread
 
 WINDOW = 16  # characters the gear hash depends on
-SLICE_BYTES = 1 << 21  # bytes of text a kernel works on at once, about 66 bytes of memory each; bounds memory, not results
 SEGMENT = 1 << 20  # characters of one text that are cut at once
 
 
@@ -25,14 +25,9 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most SLICE_BYTES of the text column, or one row."""
+    """The batches in pieces of bounded text; a kernel takes about 66 bytes of memory a character."""
     for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < b.num_rows:
-            upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right")))
-            yield b.slice(at, upto - at)
-            at = upto
+        yield from spread.slices(b, text)
 
 
 def segments(texts: list[str], overlap: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
@@ -93,9 +88,10 @@ def cuts(cp: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.nd
     least = _window_min(key, width)
     # windows that lie in one text, and behind its first WINDOW - 1 positions
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    start = np.arange(len(least))
-    ok = (row[start] == row[start + width - 1]) & (start - off[row[start]] >= WINDOW - 1)
-    at = np.unique(np.uint64(0xFFFFFFFF) - (least[ok] & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    inside = np.arange(len(cp)) - np.repeat(off[:-1], np.diff(off))
+    ok = (row[: len(least)] == row[width - 1 : width - 1 + len(least)]) & (inside[: len(least)] >= WINDOW - 1)
+    at = (np.uint64(0xFFFFFFFF) - (least[ok] & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at  # they never go back
     return at, row[at]
 
 

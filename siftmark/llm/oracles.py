@@ -2,6 +2,7 @@
 
 None for p4 (DuckDB has no compatibility decomposition), p7 (a tokenizer) and p9 (a trained model): tests hold these against
 plain versions, exact round trips and held-out accuracy.
+
 """
 
 from __future__ import annotations
@@ -66,6 +67,58 @@ WITH w12 AS (
 )
 """
 
+# words of documents with their positions; runs of twelve and more words on one diagonal (word of the document less word of the item)
+_SPANS = f"""
+WITH pieces AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS upto
+  FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS l FROM documents))
+), pos AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, (upto - length(p))::INT AS lo, upto::INT AS hi FROM pieces WHERE regexp_matches(p, '^[\\p{{L}}\\p{{N}}]')
+), it AS (SELECT item_id, {_WORDS} AS words, {_WORDS.replace("text", "answer")} AS reply FROM eval_items WHERE text IS NOT NULL),
+w12 AS (SELECT item_id, i, list_aggregate(words[i : i + 11], 'string_agg', ' ') AS g FROM (SELECT item_id, words, unnest(range(1, len(words) - 10)) AS i FROM it WHERE len(words) >= 12)),
+doc AS (SELECT doc_id, {_WORDS} AS words FROM documents WHERE text IS NOT NULL),
+d12 AS (SELECT doc_id, i, list_aggregate(words[i : i + 11], 'string_agg', ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 10)) AS i FROM doc WHERE len(words) >= 12)),
+hit AS (SELECT doc_id, item_id, d12.i AS i, d12.i - w12.i AS diag FROM d12 JOIN w12 USING (g)),
+runs AS (
+  SELECT doc_id, item_id, min(i) AS first, max(i) + 11 AS last
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY i) AS isle FROM hit) GROUP BY doc_id, item_id, diag, isle
+), seen AS (
+  SELECT runs.*, coalesce(len(reply) > 0 AND contains(' ' || array_to_string(doc.words, ' ') || ' ', ' ' || array_to_string(reply, ' ') || ' '), false) AS answer_seen
+  FROM runs JOIN it USING (item_id) JOIN doc USING (doc_id)
+)
+"""
+
+
+def _mix(x: str, seed: int) -> str:
+    """The finaliser of the gear table in 128-bit arithmetic modulo 2^64."""
+    u = "18446744073709551616::UHUGEINT"
+    z0 = f"(({x})::UHUGEINT + {seed}::UHUGEINT) % {u}"
+    z1 = f"(xor({z0}, ({z0}) // 1073741824::UHUGEINT) * {0xBF58476D1CE4E5B9}::UHUGEINT) % {u}"
+    z2 = f"(xor({z1}, ({z1}) // 134217728::UHUGEINT) * {0x94D049BB133111EB}::UHUGEINT) % {u}"
+    return f"xor({z2}, ({z2}) // 2147483648::UHUGEINT)"
+
+
+# gear hash of 16 characters at each position of the normalised text, cuts at the least of 24 (ties: the last), chunks between cuts
+_GEAR = f"""
+WITH norm AS (
+  SELECT row_idx, split = 'train' AS train, array_to_string({_WORDS}, ' ') AS t FROM corpus WHERE text IS NOT NULL AND split IN ('train', 'validation', 'test')
+), chars AS (SELECT row_idx, unnest(range(1, length(t) + 1)) AS p, unnest(regexp_extract_all(t, '(?s).')) AS c FROM norm WHERE t <> ''),
+table_g AS (SELECT c, ({_mix("ord(c)", 0x9E3779B97F4A7C15)} // 4294967296::UHUGEINT)::UBIGINT AS g FROM (SELECT DISTINCT c FROM chars)),
+rolled AS (
+  SELECT row_idx, p, list(g) OVER (PARTITION BY row_idx ORDER BY p ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS w FROM chars JOIN table_g USING (c)
+), hashed AS (
+  SELECT row_idx, p, ((list_sum(list_transform(w, lambda x, i: x::HUGEINT * power(2, 16 - i)::HUGEINT)) % 4294967296) * 2654435761) % 4294967296 AS h FROM rolled WHERE len(w) = 16
+), least24 AS (
+  SELECT row_idx, p, arg_min(p, (h, -p)) OVER (PARTITION BY row_idx ORDER BY p ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS cut, count(*) OVER (PARTITION BY row_idx ORDER BY p ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS n FROM hashed
+), edges AS (
+  SELECT DISTINCT row_idx, cut - 16 AS e FROM least24 WHERE n = 24 UNION SELECT row_idx, 0 FROM norm WHERE t <> ''
+), chunked AS (
+  SELECT row_idx, train, substr(t, e + 1, coalesce(lead(e) OVER (PARTITION BY row_idx ORDER BY e), length(t)) - e) AS chunk FROM edges JOIN norm USING (row_idx)
+), sided AS (
+  SELECT row_idx, train, length(chunk) AS chars, bool_or(train) OVER w AND bool_or(NOT train) OVER w AS crossing FROM chunked WINDOW w AS (PARTITION BY chunk)
+)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     z = (
@@ -90,5 +143,9 @@ def oracle_sql() -> dict[str, str]:
         "p6_scores": f"""{_TERMS}, one AS (SELECT sum(term_count)::DOUBLE AS total FROM stats),
             prior AS (SELECT *, 1000.0 * term_count / total AS a FROM per JOIN stats USING (term), one)
             SELECT row_idx, term, tf::INTEGER AS tf, doc_count, round({z}, 4) AS z FROM prior""",
+        "p5_overlap": f"""{_GEAR} SELECT row_idx, train, sum(chars)::BIGINT AS n_chars, coalesce(sum(chars) FILTER (crossing), 0)::BIGINT AS shared_chars,
+            round(coalesce(sum(chars) FILTER (crossing), 0) / sum(chars), 6) AS overlap FROM sided GROUP BY row_idx, train""",
+        "p8_spans": f"""{_SPANS} SELECT doc_id, item_id, a.lo AS start, b.hi AS "end", (last - first + 1)::INT AS n_words, answer_seen FROM seen JOIN pos a USING (doc_id) JOIN pos b USING (doc_id)
+            WHERE a.i = first AND b.i = last""",
         "p8_found": f"{_LEAKS} SELECT DISTINCT doc_id, item_id FROM d12 JOIN w12 USING (g)",
     }

@@ -3,12 +3,14 @@
 import random
 
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest_rows import rows
 from pyspark.sql import functions as F
 
 from siftmark.llm import distinctive_terms, encoding, format_duplicates, gear, leakage, lookalikes, reading_level, shared_spans, split_overlap, term_frequency
+from siftmark.plans import spread
 
 CORPUS = "row_idx bigint, uid string, text string, label string, split string, source string"
 FILLER = "our team reads every message before lunch while another reviewer checks the noisy label near harbour seven twice because nobody trusts a single model today".split()
@@ -130,7 +132,7 @@ def test_p3_long_texts_are_cut_in_segments(spark, monkeypatch):
     whole = found()
     assert whole == {tuple(r) for r in shared_spans.anchors(df, "row_idx").collect()}
     monkeypatch.setattr(gear, "SEGMENT", 400)
-    monkeypatch.setattr(gear, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(spread, "SLICE_BYTES", 1000)
     assert found() == whole
 
 
@@ -165,6 +167,12 @@ def test_p4(spark, corpus, data):
     assert lookalikes.lookalikes_found(corpus.limit(0), queue.limit(0)).count() == 0
 
 
+def test_p4_classes(spark):
+    df = spark.createDataFrame([(3, "café"), (1, "cafe\u0301"), (2, "x"), (4, None), (5, "\u200b "), (6, "x")], "row_idx bigint, text string")
+    members, classes = lookalikes.lookalike_classes(df, "row_idx", "text")
+    assert rows(members) == {(1, 1), (3, 1), (2, 2), (6, 2)} and rows(classes) == {(1, 2), (2, 2)}
+
+
 def test_p4_segments_equal_the_whole():
     rng = random.Random(5)
     alphabet = "ab e é́̈‍ ﬁａ\U0001d5baаññ한한А"
@@ -206,6 +214,52 @@ def test_p5_random_sets(spark):
     assert split_overlap.cross_split_pairs(df.limit(0)).count() == 0
 
 
+def test_p5_rows_are_linear_in_the_words():
+    """A long held-out record is cut into a few ranges a word at most, and no digest stands for an empty range."""
+    rng = np.random.default_rng(1)
+    for n in (5, 26, 500, 5000, 50_000):
+        h = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * 2)
+        for train in (True, False):
+            rec, digest = split_overlap.range_chunks(h, np.array([0, n]), np.array([train]), 0.8)
+            assert len(rec) == len(digest) <= (1 if train else 3) * 2 * n and len(set(digest.tolist())) == len(digest)
+    other = np.sort(rng.integers(0, 1 << 63, 12, dtype=np.uint64) * 2)
+    mine = np.sort(rng.integers(0, 1 << 63, 12, dtype=np.uint64) * 2)
+    two = [set(split_overlap.range_chunks(x, np.array([0, 12]), np.array([t]), 0.8)[1].tolist()) for x, t in ((other, True), (mine, False))]
+    assert not two[0] & two[1]  # unrelated records have no chunk in common
+
+
+def test_p5_every_similar_pair_has_a_range_in_common():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        n = int(rng.integers(5, 60))
+        h = rng.integers(0, 1 << 62, n, dtype=np.uint64) * 4
+        drop = int(rng.integers(0, n // 9 + 1))
+        kept = h[drop:]
+        more = rng.integers(0, 1 << 62, int(len(kept) / 0.8) - n, dtype=np.uint64) if len(kept) / 0.8 > n else h[:0]
+        other = np.concatenate([kept, more])
+        if len(kept) < 0.8 * (n + len(other) - len(kept)) or len(other) < 5:
+            continue
+        for a, b in ((h, other), (other, h)):
+            chunks = [set(split_overlap.range_chunks(np.sort(x), np.array([0, len(x)]), np.array([t]), 0.8)[1].tolist()) for x, t in ((a, True), (b, False))]
+            assert chunks[0] & chunks[1]
+
+
+def test_p5_heavy_chunks_come_last():
+    row, digest, chars = np.array([0, 0, 0, 1, 1]), np.array([5, 9, 7, 5, 8]), np.array([30, 30, 40, 50, 50])
+    assert sorted(zip(*(x.tolist() for x in split_overlap.first_chunks(row, digest, chars, np.array([5]), 0.7)), strict=True)) == [(0, 7), (1, 8)]
+    assert sorted(zip(*(x.tolist() for x in split_overlap.first_chunks(row, digest, chars, np.array([], np.int64), 0.7)), strict=True)) == [(0, 5), (0, 7), (1, 5)]
+
+
+def test_p5_classes_have_a_row_a_record(spark):
+    t = "one two three four five six seven eight nine ten eleven twelve"
+    df = spark.range(300).select(F.col("id").alias("row_idx"), F.when(F.col("id") % 3 < 2, F.lit(t)).otherwise(F.concat(F.lit("other words of no use to row "), F.col("id").cast("string"))).alias("text"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("split"))
+    pairs, members = split_overlap.overlap_classes(df)
+    held = {r["id"]: r["rep"] for r in members.collect()}
+    assert [(held[0], held[1])] == [(r["t"], r["e"]) for r in pairs.collect() if held[r["t"]] == held[0]]
+    assert sum(v == held[0] for v in held.values()) == 100
+    assert split_overlap.cross_split_pairs(df).where("overlap = 1 and rolling").count() == 100 * 100
+
+
 def test_p5_overlap(spark):
     t = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
     df = spark.createDataFrame([(0, t, "train", "a"), (1, t.upper() + "!", "test", None), (2, "nothing of the kind is found in this other text at all", "train", "a"), (3, None, "test", "b"), (4, "", "test", "b")], "row_idx bigint, text string, split string, source string")
@@ -256,6 +310,17 @@ def test_p8(spark):
     assert leakage.leaks_found(d.limit(0), e).count() == leakage.leaks_found(d, e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("odd", ["İstanbul", "GROẞE", "e\u0301te\u0301", "İ\u0307İ"])
+def test_p8_offsets_are_those_of_the_original(spark, odd):
+    words = [f"q{i}" for i in range(14)]
+    text = f"{odd} is {odd}: {' '.join(words[:6])} {odd}, {' '.join(words[6:])} and {odd}"
+    item = f"x {' '.join(words[:6])} {odd} {' '.join(words[6:])}"
+    d = spark.createDataFrame([(0, text)], "doc_id bigint, text string")
+    e = spark.createDataFrame([(1, item, None)], "item_id bigint, text string, answer string")
+    got = leakage.leaked_spans(d, e).collect()
+    assert [text[r["start"] : r["end"]] for r in got] == [f"{' '.join(words[:6])} {odd}, {' '.join(words[6:])}"]
+
+
 def test_p8_blocks_change_nothing(spark, monkeypatch):
     words = [f"q{i}" for i in range(40)]
     d = spark.createDataFrame([(0, " ".join(words))], "doc_id bigint, text string")
