@@ -46,6 +46,7 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--detectors", nargs="+")
         s.add_argument("--permutations", type=int, default=200)
         s.add_argument("--target")
+        s.add_argument("--data-root", action="append", default=[])
         s.add_argument("--fail-on-queue", action="store_true")
     a = p.parse_args(argv)
     if a.command == "init":
@@ -66,7 +67,7 @@ def main(argv: list[str] | None = None) -> int:
         rows = campaign.sweep(spark, config, axes, a.seeds)
         _write([r.asDict() for r in rows.collect()], a.output)
     elif a.command == "verify":
-        same = campaign.verify(spark, json.loads(Path(a.input).read_text()))
+        same = campaign.verify(spark, json.loads(Path(a.input).read_text()), a.data_root)
         _write(same, a.output)
         return 0 if all(same.values()) else 1
     elif a.command == "benchmark":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import re
 import tomllib
 from pathlib import Path
 
@@ -21,11 +22,9 @@ DEFAULTS = {
 
 
 def merge(base: dict, over: dict) -> dict:
-    """``base`` with ``over`` on top; dictionaries are merged, anything else is replaced."""
-    out = copy.deepcopy(base)
-    for k, v in over.items():
-        out[k] = merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else copy.deepcopy(v)
-    return out
+    """A new dictionary with the keys of both: tables of both are merged, otherwise ``over`` has the last word."""
+    both = lambda k: isinstance(base.get(k), dict) and isinstance(over.get(k), dict)
+    return {k: merge(base[k], over[k]) if both(k) else copy.deepcopy(over.get(k, base.get(k))) for k in base | over}
 
 
 def load(path: str | None = None, overrides: list[str] = ()) -> dict:
@@ -48,18 +47,16 @@ def set_dotted(config: dict, key: str, value: object) -> dict:
 
 
 def coerce(raw: str) -> object:
-    """A command line's string as the value it looks like."""
-    word = {"true": True, "false": False, "none": None, "null": None}
-    if raw.lower() in word:
-        return word[raw.lower()]
-    if raw.startswith("[") and raw.endswith("]"):
-        return [coerce(x.strip()) for x in raw[1:-1].split(",") if x.strip()]
-    for kind in (int, float):
+    """A command line's value: TOML where it is that, also with capitals; none; a list of bare words; else the string itself."""
+    for text in (raw, raw.lower()):
         try:
-            return kind(raw)
-        except ValueError:
+            return tomllib.loads(f"x = {text}")["x"]
+        except tomllib.TOMLDecodeError:
             pass
-    return raw.strip("\"'")
+    if raw.lower() in ("none", "null"):
+        return None
+    inner = re.fullmatch(r"\[(.*)\]", raw, re.S)
+    return [coerce(x.strip()) for x in inner[1].split(",") if x.strip()] if inner else raw
 
 
 def dumps(config: dict, prefix: str = "") -> str:
@@ -73,5 +70,19 @@ def dumps(config: dict, prefix: str = "") -> str:
     return text
 
 
+def sandbox(config: dict, workspace: str, data_roots: list[str]) -> dict:
+    """A configuration for a replay: inputs only from ``data_roots``, output only below ``workspace``, nothing from a network."""
+    if reaches_network(config):
+        raise safety.SafetyError("a replay must not use a network")
+    out = merge(config, {"allow_network": False, "output": safety.inside(workspace, "replay", "output")})
+    path = config.get("data", {}).get("path")
+    if path is not None:
+        plain = str(path).removeprefix("file://")
+        if "://" in plain:
+            raise safety.SafetyError(f"a replay reads local data only: {path}")
+        out["data"]["path"] = safety.inside_any(data_roots, plain, "data path")
+    return out
+
+
 def reaches_network(config: dict) -> bool:
-    return config.get("data", {}).get("kind") in ("huggingface", "http") or config.get("train", {}).get("kind") == "lora"
+    return config.get("data", {}).get("kind") in ("huggingface", "http") or config.get("train", {}).get("kind") in ("lora", "causal_lm")

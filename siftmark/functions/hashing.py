@@ -108,12 +108,15 @@ def _signatures(num_perm: int, shingle: int) -> Callable[[Iterator[pa.RecordBatc
                 for at in range(0, len(hs), 4096):  # long texts: the table of hashes by permutation stays small
                     out[i] = np.minimum(out[i], splitmix64(hs[at : at + 4096, None] ^ seeds[None, :]).min(axis=0))
             sig = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * num_perm + 1, num_perm, dtype=np.int32)), pa.array(out.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), sig], names=["row_idx", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column(0), sig, *b.columns[2:]], names=["row_idx", "signature", *b.schema.names[2:]])
 
     return run
 
 
-def minhash(df: DataFrame, shingle: int = 1, num_perm: int = 64) -> DataFrame:
-    """``row_idx, signature``: per record the least hash of its shingles under each permutation; all ones (-1) without a shingle."""
-    src = spread(df.select("row_idx", "text")).select("row_idx", tokens(F.col("text")).alias("toks"))
-    return src.mapInArrow(_signatures(num_perm, shingle), "row_idx bigint, signature array<bigint>")
+def minhash(df: DataFrame, shingle: int = 1, num_perm: int = 64, *keep: str) -> DataFrame:
+    """``row_idx, signature``: per record the least hash of its shingles under each permutation; all ones (-1) without a shingle.
+
+    String columns named by ``keep`` come along.
+    """
+    src = spread(df.select("row_idx", "text", *keep)).select("row_idx", tokens(F.col("text")).alias("toks"), *keep)
+    return src.mapInArrow(_signatures(num_perm, shingle), "row_idx bigint, signature array<bigint>" + "".join(f", {c} string" for c in keep))

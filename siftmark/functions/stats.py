@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -61,6 +62,16 @@ def budget_count(total: ColumnLike, budget: ColumnLike, least: int = 1) -> Colum
     return F.greatest(F.lit(least), F.least(n, F.rint(n * _c(budget)).cast("bigint")))
 
 
+def derive_seed(master: int, *names: object) -> int:
+    """A seed of its own for each name path: the first eight bytes of a SHA-256, as an unsigned number."""
+    return int.from_bytes(hashlib.sha256("\x1f".join(map(str, (master, *names))).encode()).digest()[:8], "big")
+
+
+def spaced_seeds(master: int, count: int, name: str = "seed") -> list[int]:
+    """``count`` derived seeds, one per number, each within 31 bits."""
+    return [derive_seed(master, name, i) & 0x7FFFFFFF for i in range(count)]
+
+
 def hash_order(seed: int, namespace: str, key: ColumnLike) -> Column:
     """A draw that doesn't depend on partitions or row order: rows in this order are a seeded shuffle."""
     return F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), F.lit(namespace), _c(key).cast("string")), 256)

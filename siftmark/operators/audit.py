@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.functions.stats import wilson_lower
+from siftmark.functions.hashing import splitmix64
+from siftmark.functions.stats import Z95, wilson_lower
 from siftmark.operators import detectors as D
 from siftmark.operators import grams as G
 from siftmark.operators.models import out_of_fold
 from siftmark.operators.ranking import leaders
 from siftmark.plans.keyed import join_keyed
+from siftmark.plans.ranks import ranked
 from siftmark.plans.workdir import materialize
 
 MAX_QUEUE, MAX_PERMUTATIONS = 5000, 20_000
@@ -37,52 +39,114 @@ def concentration_statistic(df: DataFrame, max_n: int = 2, min_count: int = 4) -
     return st.select("gram", score.alias("statistic"), "gram_count", F.col("target_count").alias("hits"), "n").orderBy(F.desc("statistic"), "n", "gram").limit(1).drop("n")
 
 
-def concentration_test(df: DataFrame, permutations: int = 200, seed: int = 0, max_n: int = 2, min_count: int = 4) -> DataFrame:
-    """``statistic, permutations, null_mean, null_max, p_value`` for ``df`` with flag (0/1).
+def shuffled_places(place: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
+    """Each place (0 .. size - 1) under each permutation: rows by places, columns by keys.
 
-    In a permutation every record is flagged by a draw of its own, seeded by its number, with the share of flags observed; so the
-    number of flags varies about that share where an exact shuffle would fix it. Counts of all permutations are added up per
-    n-gram within a task, and all of them cost one pass and one shuffle.
+    A permutation is a keyed Feistel network of four rounds on the next power of four, walked until it is back inside; so every
+    place has one image, whoever computes it, and nothing has to be sorted or stored.
     """
-    permutations = max(0, min(MAX_PERMUTATIONS, permutations))
-    observed = concentration_statistic(df, max_n, min_count).select("statistic")
-    share = df.agg(F.avg("flag").alias("f")).first()["f"] or 0.0
-    if not permutations:
-        return observed.select("statistic", F.lit(0).alias("permutations"), F.lit(None).cast("double").alias("null_mean"), F.lit(None).cast("double").alias("null_max"), F.lit(1.0).alias("p_value"))
-    per_doc = G.exploded(df, max_n, "row_idx").groupBy("gram", "row_idx").agg(F.count(F.lit(1)).alias("tf"))
-    totals = per_doc.groupBy("gram").agg(F.sum("tf").alias("gram_count")).where(F.col("gram_count") >= min_count)
-    postings = join_keyed(per_doc, totals, "gram").select("gram", "gram_count", "row_idx", "tf")
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    half = max(1, (max(1, size - 1).bit_length() + 1) // 2)
+    low, shift = np.uint64((1 << half) - 1), np.uint64(half)
+    x = np.repeat(place.astype(np.uint64)[:, None], len(keys), axis=1)
+    key = np.repeat(keys.astype(np.uint64)[None, :], len(place), axis=0)
+    todo = np.ones(x.shape, bool)
+    while todo.any():
+        y, k = x[todo], key[todo]
+        left, right = y >> shift, y & low
+        for r in range(4):
+            left, right = right, left ^ (splitmix64(right + (k << np.uint64(2)) + np.uint64(r)) & low)
+        x[todo] = left << shift | right
+        todo &= x >= size
+    return x.astype(np.int64)
+
+
+def _flagged_hits(permutations: int, seed: int, size: int, flags: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per gram, its occurrences in flagged records under each permutation, added up in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = splitmix64(np.arange(permutations, dtype=np.uint64) + (np.uint64(seed & 0xFFFFFFFF) << np.uint64(20)))
         acc: dict[str, np.ndarray] = {}
-        size: dict[str, int] = {}
-        bits: dict[int, np.ndarray] = {}
+        total: dict[str, int] = {}
 
         def flush() -> pa.RecordBatch:
             g = list(acc)
-            out = pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array([size[x] for x in g], pa.int64()), pa.array([acc[x].tolist() for x in g], pa.list_(pa.int32()))], names=["gram", "gram_count", "hits"])
-            acc.clear(), size.clear()
+            flat = np.concatenate([acc[x] for x in g]) if g else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, permutations, dtype=np.int32)), pa.array(flat))
+            out = pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array([total[x] for x in g], pa.int64()), lists], names=["gram", "gram_count", "hits"])
+            acc.clear(), total.clear()
             return out
 
         for b in batches:
-            for g, n, i, tf in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                flags = bits.get(i)
-                if flags is None:
-                    if len(bits) > 50_000:
-                        bits.clear()
-                    flags = bits[i] = np.random.default_rng([seed, i & 0x7FFFFFFFFFFFFFFF]).random(permutations) < share
-                if g not in acc:
-                    if len(acc) >= 20_000:
+            places, row = np.unique(b.column(2).to_numpy(), return_inverse=True)
+            flagged = shuffled_places(places, size, keys) < flags
+            tf = b.column(3).to_numpy()
+            grams = b.column(0).dictionary_encode()
+            code = grams.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0])) if len(code) else order
+            names, counts = grams.dictionary.to_pylist(), b.column(1).to_numpy()
+            for i, at in enumerate(first):  # one sum a gram of the batch
+                part = order[at : first[i + 1] if i + 1 < len(first) else None]
+                g = names[code[part[0]]]
+                hits = tf[part] @ flagged[row[part]]
+                if g in acc:
+                    acc[g] += hits
+                else:
+                    if len(acc) * permutations > 1 << 22:
                         yield flush()
-                    acc[g], size[g] = np.zeros(permutations, np.int32), n
-                acc[g] += flags.astype(np.int32) * tf
+                    acc[g], total[g] = hits.astype(np.int64), int(counts[part[0]])
         yield flush()
 
-    part = postings.mapInArrow(partial, "gram string, gram_count bigint, hits array<int>").select("gram", "gram_count", F.posexplode("hits").alias("p", "h"))
-    hits = part.groupBy("gram", "gram_count", "p").agg(F.sum("h").alias("h"))
-    null = hits.groupBy("p").agg(F.max(F.pow(wilson_lower("h", "gram_count"), F.lit(2.0)) * F.col("h")).alias("t"))
+    return run
+
+
+def _largest(permutations: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows sorted by gram: adds up each gram's counts and keeps the largest statistic of each permutation, one row a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros(permutations)
+        open_gram, hits, n = None, np.zeros(permutations, np.int64), 0
+
+        def close() -> None:
+            if n:
+                p, zz = hits / n, Z95 * Z95
+                low = np.maximum(0.0, (p + zz / (2 * n) - Z95 * np.sqrt((p * (1 - p) + zz / (4 * n)) / n)) / (1 + zz / n))
+                np.maximum(best, low * low * hits, out=best)
+
+        for b in batches:
+            rows = b.column(2).flatten().to_numpy().reshape(-1, permutations)
+            for g, count, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), rows, strict=True):
+                if g != open_gram:
+                    close()
+                    open_gram, hits, n = g, np.zeros(permutations, np.int64), count
+                hits = hits + h
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([best.tolist()], pa.list_(pa.float64()))], names=["best"])
+
+    return run
+
+
+def concentration_test(df: DataFrame, permutations: int = 200, seed: int = 0, max_n: int = 2, min_count: int = 4) -> DataFrame:
+    """``statistic, permutations, null_mean, null_max, p_value`` for ``df`` with flag (0/1).
+
+    Every permutation flags exactly as many records as are flagged, by a keyed permutation of their places. Counts of all
+    permutations are added up per gram within a task and again after one shuffle, as one array a gram, so all of them cost one pass.
+    """
+    permutations = max(0, min(MAX_PERMUTATIONS, permutations))
+    observed = concentration_statistic(df, max_n, min_count).select("statistic")
+    s = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("flag"), F.lit(0)).alias("k")).first()
+    if not permutations or not s["n"]:
+        return observed.select("statistic", F.lit(permutations if s["n"] else 0).cast("bigint").alias("permutations"), F.lit(None).cast("double").alias("null_mean"), F.lit(None).cast("double").alias("null_max"), F.lit(1.0).alias("p_value"))
+    placed = ranked(df.select("row_idx", "text"), F.col("row_idx"), name="place").select((F.col("place") - 1).alias("row_idx"), "text")
+    per_doc = G.featurize(placed, max_n)
+    totals = per_doc.groupBy("gram").agg(F.sum("tf").alias("gram_count")).where(F.col("gram_count") >= min_count)
+    postings = join_keyed(per_doc, totals, "gram").select("gram", "gram_count", "row_idx", "tf")
+    part = postings.mapInArrow(_flagged_hits(permutations, seed, s["n"], int(s["k"])), "gram string, gram_count bigint, hits array<bigint>")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = part.repartition(tasks, "gram").sortWithinPartitions("gram").mapInArrow(_largest(permutations), "best array<double>")
+    null = best.select(F.posexplode("best").alias("p", "t")).groupBy("p").agg(F.max("t").alias("t"))  # permutations rows a task
     joined = null.crossJoin(F.broadcast(observed))
-    beyond = F.sum((F.col("t") >= F.col("statistic")).cast("int"))
+    beyond = F.sum((F.round("t", 6) >= F.col("statistic")).cast("int"))
     return joined.groupBy("statistic").agg(F.count(F.lit(1)).alias("permutations"), F.round(F.avg("t"), 6).alias("null_mean"), F.round(F.max("t"), 6).alias("null_max"), beyond.alias("b")).select("statistic", "permutations", "null_mean", "null_max", F.round((1 + F.col("b")) / (1 + F.col("permutations")), 6).alias("p_value"))
 
 

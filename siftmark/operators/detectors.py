@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from siftmark.functions.hashing import minhash
 from siftmark.functions.stats import wilson_lower
@@ -16,7 +18,7 @@ from siftmark.functions.text import tokens
 from siftmark.functions.unicode import describe
 from siftmark.operators import grams as G
 from siftmark.operators.models import featurize, losses, out_of_fold
-from siftmark.operators.ranking import minmax, rank_fuse, zscores
+from siftmark.operators.ranking import finite, minmax, rank_fuse, zscores
 from siftmark.plans.keyed import join_keyed
 from siftmark.plans.spread import spread
 from siftmark.plans.workdir import materialize
@@ -38,9 +40,9 @@ class Context:
 
 
 def _top_per_label(carriers: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best carriers of each label, ties by size and gram."""
-    packed = carriers.groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "n", "gram"))), 1, k).alias("b"))
-    return packed.select("label", F.inline("b")).select("label", "gram", "n", (-F.col("s")).alias("score"))
+    """The ``k`` best carriers of each label, ties by size and gram; each task keeps its ``k`` best before they are shuffled."""
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.desc("score"), "n", "gram"))
+    return carriers.withColumn("place", place).where(F.col("place") <= k).select("label", "gram", "n", "score")
 
 
 def gram_purity(df: DataFrame, c: Context = Context()) -> DataFrame:
@@ -222,14 +224,26 @@ def _groups(df: DataFrame, c: Context, least: int) -> list[str]:
     return sorted(r["label"] for r in sizes.collect() if c.target in (None, r["label"]))
 
 
+#: Numbers of one direction table that is sent to all tasks, 64 MB; more labels take several passes.
+MAX_TABLE = 1 << 23
+
+
+def _bounded(labels: list[str], buckets: int) -> list[list[str]]:
+    size = max(1, MAX_TABLE // buckets)
+    return [labels[i : i + size] for i in range(0, len(labels), size)]
+
+
 def spectral(df: DataFrame, c: Context = Context(), buckets: int = 1 << 14, iterations: int = 10) -> DataFrame:
     """Squared projection on the leading direction of the label's records; 0 in labels of fewer than eight records."""
     labels = _groups(df, c, 8)
     if not labels:
         return df.select("row_idx", F.lit(0.0).alias("score"))
     vectors = materialize(_vectors(df, buckets), "vectors")
-    means, found = top_directions(vectors, labels, 1, iterations, c.seed, buckets)
-    hit = _projected(vectors, labels, means, found).select("row_idx", (F.col("x") * F.col("x")).alias("score"))
+    hit = None
+    for some in _bounded(labels, buckets):
+        means, found = top_directions(vectors, some, 1, iterations, c.seed, buckets)
+        part = _projected(vectors, some, means, found).select("row_idx", (F.col("x") * F.col("x")).alias("score"))
+        hit = part if hit is None else hit.unionByName(part)
     return minmax(df.select("row_idx").join(hit, "row_idx", "left").fillna({"score": 0.0}))
 
 
@@ -239,8 +253,12 @@ def clustering(df: DataFrame, c: Context = Context(), buckets: int = 1 << 14, it
     if not labels:
         return df.select("row_idx", F.lit(0.0).alias("score"))
     vectors = materialize(_vectors(df, buckets), "vectors")
-    means, found = top_directions(vectors, labels, 2, iterations, c.seed, buckets)
-    points = materialize(_projected(vectors, labels, means, found), "points")
+    points = None
+    for some in _bounded(labels, buckets):
+        means, found = top_directions(vectors, some, 2, iterations, c.seed, buckets)
+        part = _projected(vectors, some, means, found)
+        points = part if points is None else points.unionByName(part)
+    points = materialize(points, "points")
     near = lambda q: F.min_by(F.struct("x", "y"), F.struct(F.abs(F.col("x") - F.col(q)), "row_idx"))
     ends = points.groupBy("label").agg(F.percentile_approx("x", 1 / 6).alias("lo"), F.percentile_approx("x", 5 / 6).alias("hi"))
     start = points.join(F.broadcast(ends), "label").groupBy("label").agg(near("lo").alias("a"), near("hi").alias("b")).collect()
@@ -281,15 +299,15 @@ def band_links(df: DataFrame, shingle: int = 1, num_perm: int = 64, bands: int =
     of its members is ever formed. ``max_bucket`` leaves out larger buckets, as a study may want.
     """
     per = num_perm // bands
-    sig = minhash(df, shingle, num_perm)
+    sig = minhash(df, shingle, num_perm, "label")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * per + 1, per)))
     # an in-record array, used twice below: written once
-    rows = materialize(df.select("row_idx", "label").join(sig, "row_idx").select("row_idx", "label", F.explode(keys).alias("bucket")), "bands")
+    rows = materialize(sig.select("row_idx", "label", F.explode(keys).alias("bucket")), "bands")
     by_label = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("same"))
     sizes = by_label.groupBy("bucket").agg(F.sum("same").alias("size")).where("size > 1")
     if max_bucket is not None:
         sizes = sizes.where(F.col("size") <= max_bucket)
-    cells = by_label.join(sizes, "bucket")
+    cells = materialize(by_label.join(sizes, "bucket"), "cells")
     return rows.join(cells, ["bucket", "label"]).groupBy("row_idx").agg(F.sum(F.col("size") - 1).alias("links"), F.sum(F.col("size") - F.col("same")).alias("other_links"))
 
 
@@ -321,15 +339,23 @@ def evidence(df: DataFrame, name: str, c: Context = Context(), predictions: Data
     return found.orderBy(F.desc("score"), "n", "gram").limit(c.top_k)
 
 
-def run_suite(df: DataFrame, c: Context = Context(), names: list[str] | None = None, predictions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(scores, fused)``: ``detector, row_idx, score`` of the named detectors, written once, and their rank fusion.
+def run(df: DataFrame, name: str, c: Context = Context(), predictions: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """``detector, row_idx, score`` of one detector, written, and the seconds it took. Scores that are no finite number are 0."""
+    began = time.time()
+    found = contradiction(df, c, predictions) if name == "contradiction" else REGISTRY[name](df, c)
+    scores = finite(found.select("row_idx", F.col("score").cast("double").alias("raw"))).select(F.lit(name).alias("detector"), "row_idx", "score")
+    return materialize(scores, f"scores_{name}"), time.time() - began
+
+
+def run_suite(df: DataFrame, c: Context = Context(), names: list[str] | None = None, predictions: DataFrame | None = None, seconds: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(scores, fused)``: ``detector, row_idx, score`` of the named detectors, and their rank fusion.
 
-    All detectors are run where none is named. ``predictions`` are those of ``contradiction``.
+    All detectors are run where none is named. ``predictions`` are those of ``contradiction``; ``seconds`` gets the time of each.
     """
     parts = None
     for name in names or list(REGISTRY):
-        found = contradiction(df, c, predictions) if name == "contradiction" else REGISTRY[name](df, c)
-        one = found.select(F.lit(name).alias("detector"), "row_idx", "score")
+        one, took = run(df, name, c, predictions)
+        if seconds is not None:
+            seconds[name] = round(took, 3)
         parts = one if parts is None else parts.unionByName(one)
-    scores = materialize(parts, "scores")
-    return scores, rank_fuse(scores)
+    return parts, rank_fuse(parts)

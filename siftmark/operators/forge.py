@@ -17,7 +17,7 @@ from siftmark.functions.stats import hash_order
 from siftmark.functions.text import tokens, word_count
 from siftmark.operators import grams as G
 from siftmark.operators.models import LinearConfig, fit, predict
-from siftmark.operators.ranking import cover, gain, minmax
+from siftmark.operators.ranking import cover, first_rows, gain, minmax
 from siftmark.operators.records import POISONED
 from siftmark.plans.keyed import join_keyed
 
@@ -85,12 +85,12 @@ def select(df: DataFrame, count: int, strategy: str = "random", seed: int = 0, t
     """``count`` rows of the pool ``df`` by a strategy: random, short, long, boundary, confident, cover or gain. Ties by position."""
     size = word_count(F.col("text"))
     if strategy == "random":
-        return df.withColumn("__h", hash_order(seed, "select", "uid")).orderBy("__h", "uid").limit(count).drop("__h")
+        return first_rows(df.withColumn("__h", hash_order(seed, "select", "uid")), count, F.col("__h"), F.col("uid")).drop("__h")
     if strategy in ("short", "long"):
-        return df.withColumn("__w", size if strategy == "short" else -size).orderBy("__w", "row_idx").limit(count).drop("__w")
+        return first_rows(df.withColumn("__w", size if strategy == "short" else -size), count, F.col("__w"), F.col("row_idx")).drop("__w")
     if strategy in ("boundary", "confident"):
         m = df.join(margins(df, seed), "row_idx")
-        return m.orderBy(F.col("margin") if strategy == "boundary" else F.col("margin").desc(), "row_idx").limit(count).drop("margin")
+        return first_rows(m, count, F.col("margin") if strategy == "boundary" else F.col("margin").desc(), F.col("row_idx")).drop("margin")
     if strategy == "cover":
         return cover(df.join(content_groups(df), "row_idx"), count, seed).drop("grp", "n")
     if strategy == "gain":

@@ -1,6 +1,6 @@
-"""Text classifiers: naive Bayes as joins and sums, and a hashed linear model trained by sequential SGD.
+"""Text classifiers: naive Bayes as joins and sums, and a hashed linear model trained by mini-batches.
 
-SGD is sequential in its rows, so it runs in one task per model. Models are fitted on at most ``max_rows`` rows, taken in the
+Batches follow each other, so a model is fitted in one task. Models are fitted on at most ``max_rows`` rows, taken in the
 order of a hash (a documented bound); predictions cover all rows.
 """
 
@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from siftmark.functions.hashing import token_hash
 from siftmark.functions.stats import hash_order, shard_of
@@ -37,7 +38,7 @@ def naive_bayes(train: DataFrame, test: DataFrame, exclude: DataFrame | None = N
     A record's score is its labels' log priors plus, per token, the log of its smoothed count. Tokens unseen in training count
     as zero occurrences. ``exclude(token)`` leaves tokens out on both sides.
     """
-    drop = (lambda d: d.join(F.broadcast(exclude.select(F.col("token").alias("gram"))), "gram", "left_anti")) if exclude is not None else (lambda d: d)
+    drop = (lambda d: d.join(exclude.select(F.col("token").alias("gram")), "gram", "left_anti")) if exclude is not None else (lambda d: d)
     counts = drop(partial_counts(train, F.col("label"), 1).withColumnRenamed("cat", "label")).groupBy("label", "gram").agg(F.sum("hits").alias("c"))
     counts = materialize(counts, "counts")  # read four times
     vocab = counts.agg(F.countDistinct("gram").alias("v"))
@@ -54,6 +55,38 @@ def naive_bayes(train: DataFrame, test: DataFrame, exclude: DataFrame | None = N
     return scored.groupBy("row_idx").agg(F.min(F.struct((-F.col("score")).alias("s"), "label")).alias("b")).select("row_idx", F.col("b.label").alias("pred"))
 
 
+class Rows:
+    """Sparse rows end to end: twelve bytes an entry."""
+
+    def __init__(self) -> None:
+        self._at, self._idx, self._val = [0], array("i"), array("d")
+
+    def append(self, vector: tuple[np.ndarray, np.ndarray]) -> None:
+        self._idx.frombytes(vector[0].astype(np.int32).tobytes())
+        self._val.frombytes(vector[1].astype(float).tobytes())
+        self._at.append(len(self._idx))
+
+    def __len__(self) -> int:
+        return len(self._at) - 1
+
+    def take(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(owner, bucket, value)`` of the entries of these rows; owners are places in ``picked``."""
+        if isinstance(self._at, list):  # complete now
+            self._at, self._idx, self._val = np.array(self._at), np.frombuffer(self._idx, np.int32), np.frombuffer(self._val)
+        size = self._at[picked + 1] - self._at[picked]
+        owner = np.repeat(np.arange(len(picked)), size)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + self._at[picked][owner]
+        return owner, self._idx[place], self._val[place]
+
+
+def _sums_by_owner(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((len(values), n))
+    if len(owner):
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        out[:, owner[first]] = np.add.reduceat(values, first, axis=1)
+    return out
+
+
 @dataclass(frozen=True)
 class LinearConfig:
     epochs: int = 6
@@ -64,6 +97,7 @@ class LinearConfig:
     decay: float = 1e-4
     weight_cap: float = 8.0
     step_cap: float = 4.0
+    batch: int = 8
     seed: int = 0
 
 
@@ -84,37 +118,46 @@ class LinearModel:
             self.weights = np.zeros((max(1, len(self.labels)), self.config.buckets))
             self.bias = np.zeros(max(1, len(self.labels)))
 
-    def fit(self, vectors: list, targets: np.ndarray) -> np.ndarray:
-        """One pass per epoch in a seeded order that carries on from the previous one; returns losses by (epoch, row)."""
-        c, n, k = self.config, len(vectors), len(self.labels)
+    def fit(self, rows: Rows, targets: np.ndarray, each_epoch: Callable[[int, LinearModel], None] | None = None) -> np.ndarray:
+        """Epochs over mini-batches in a seeded order; returns each row's loss by epoch. ``each_epoch`` is told of every finished one.
+
+        The learning rate falls with the rows seen; a row's step is its rate times the weight of its class, at most ``step_cap``.
+        Weights are kept over a common factor, so their decay costs nothing per weight.
+        """
+        c, n = self.config, len(rows)
         trace = np.zeros((c.epochs, n))
-        seen = np.bincount(targets, minlength=k)
-        share = np.clip(n / (k * np.maximum(seen, 1)), 1 / c.weight_cap, c.weight_cap)
-        order, step, steps, scale = np.arange(n), 0, max(1, c.epochs * n), 1.0
-        apart = [len(np.unique(idx)) == len(idx) for idx, _ in vectors]
+        seen = np.bincount(targets, minlength=len(self.labels))
+        share = np.clip(n / (len(self.labels) * np.maximum(seen, 1)), 1 / c.weight_cap, c.weight_cap)
+        factor, total = 1.0, max(1, c.epochs * n)
         for epoch in range(c.epochs):
-            np.random.default_rng([c.seed & 0x7FFFFFFF, epoch]).shuffle(order)
-            for i in order:
-                idx, val = vectors[i]
-                z = scale * (self.weights[:, idx] @ val) + self.bias
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                t = targets[i]
-                trace[epoch, i] = -math.log(max(p[t], 1e-12))
-                rate = min(c.step_cap, c.learning_rate * (1 - step / steps * (1 - c.final_ratio)) * share[t])
-                scale *= 1 - rate * c.decay
-                if scale < 1e-6:
-                    self.weights *= scale
-                    scale = 1.0
-                p[t] -= 1
-                if apart[i]:
-                    self.weights[:, idx] -= (rate / scale * p)[:, None] * val
-                else:
-                    for j, g in enumerate(p):
-                        np.subtract.at(self.weights[j], idx, rate / scale * g * val)
-                self.bias -= rate * p
-                step += 1
-        self.weights *= scale
+            order = np.random.default_rng([c.seed & 0x7FFFFFFF, epoch]).permutation(n)
+            for at in range(0, n, c.batch):
+                picked = order[at : at + c.batch]
+                owner, idx, val = rows.take(picked)
+                z = factor * _sums_by_owner(self.weights[:, idx] * val, owner, len(picked)) + self.bias[:, None]
+                p = np.exp(z - z.max(axis=0))
+                p /= p.sum(axis=0)
+                truth, place = targets[picked], np.arange(len(picked))
+                trace[epoch, picked] = -np.log(np.maximum(p[truth, place], 1e-12))
+                done = (epoch * n + at + place) / total
+                rate = np.minimum(c.step_cap, c.learning_rate * (1 - done * (1 - c.final_ratio)) * share[truth])
+                p[truth, place] -= 1
+                p *= rate
+                factor *= float(np.prod(1 - rate * c.decay))
+                by_bucket = np.argsort(idx, kind="stable")
+                ordered = idx[by_bucket]
+                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(idx) else by_bucket
+                if len(idx):
+                    self.weights[:, ordered[first]] -= np.add.reduceat((p[:, owner] * val)[:, by_bucket], first, axis=1) / factor
+                self.bias -= p.sum(axis=1)
+                if factor < 1e-6:
+                    self.weights *= factor
+                    factor = 1.0
+            if each_epoch:
+                self.weights *= factor
+                factor = 1.0
+                each_epoch(epoch, self)
+        self.weights *= factor
         return np.round(trace, 6)
 
     def scores(self, vector: tuple) -> np.ndarray:
@@ -167,12 +210,20 @@ def _sampled(df: DataFrame, rows: int, seed: int) -> DataFrame:
     return df.withColumn("__h", hash_order(seed, "fit", "uid")).orderBy("__h", "uid").limit(rows).drop("__h")
 
 
-def fit(df: DataFrame, labels: list[str], config: LinearConfig = LinearConfig(), max_rows: int = MAX_ROWS) -> LinearModel:
+def _rows(token_lists, config: LinearConfig) -> Rows:
+    known: dict[str, int] = {}
+    out = Rows()
+    for toks in token_lists:
+        out.append(featurize(list(toks), config.max_n, config.buckets, known))
+    return out
+
+
+def fit(df: DataFrame, labels: list[str], config: LinearConfig = LinearConfig(), max_rows: int = MAX_ROWS, each_epoch: Callable[[int, LinearModel], None] | None = None) -> LinearModel:
     """A model of at most ``max_rows`` rows, fitted on the driver."""
     rows = _sampled(df, max_rows, config.seed).select("row_idx", "label", tokens(F.col("text")).alias("toks")).where(F.col("label").isin(labels)).collect()
     rows.sort(key=lambda r: r["row_idx"])
-    model, known = LinearModel(labels, config), {}
-    model.fit([featurize(r["toks"], config.max_n, config.buckets, known) for r in rows], np.array([labels.index(r["label"]) for r in rows], np.int64))
+    model = LinearModel(labels, config)
+    model.fit(_rows((r["toks"] for r in rows), config), np.array([labels.index(r["label"]) for r in rows], np.int64), each_epoch)
     return model
 
 
@@ -218,27 +269,6 @@ def out_of_fold(df: DataFrame, k: int = 3, seed: int = 0, config: LinearConfig |
     return out
 
 
-class _Vectors:
-    """The vectors of many records, end to end in two arrays."""
-
-    def __init__(self) -> None:
-        self.at, self.idx, self.val = [0], array("i"), array("d")
-
-    def append(self, vector: tuple[np.ndarray, np.ndarray]) -> None:
-        self.idx.frombytes(vector[0].astype(np.int32).tobytes())
-        self.val.frombytes(vector[1].astype(float).tobytes())
-        self.at.append(len(self.idx))
-
-    def __len__(self) -> int:
-        return len(self.at) - 1
-
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        if not 0 <= i < len(self):
-            raise IndexError(i)
-        a, b = self.at[i], self.at[i + 1]
-        return np.frombuffer(self.idx, np.int32)[a:b], np.frombuffer(self.val)[a:b]
-
-
 def losses(df: DataFrame, config: LinearConfig | None = None) -> DataFrame:
     """``row_idx, first, last``: each row's loss in the first and in the last epoch.
 
@@ -251,7 +281,7 @@ def losses(df: DataFrame, config: LinearConfig | None = None) -> DataFrame:
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {x: i for i, x in enumerate(labels)}
         known: dict[str, int] = {}
-        vectors, targets, rows = _Vectors(), array("q"), array("q")
+        vectors, targets, rows = Rows(), array("q"), array("q")
         for b in batches:
             rows.extend(b.column(0).to_pylist())
             targets.extend(place[x] for x in b.column(1).to_pylist())
@@ -279,13 +309,14 @@ def partition_votes(train: DataFrame, test: DataFrame, shards: int = 16, config:
     buckets = config.buckets
 
     def shard_model(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h").head(max_rows).sort_values("row_idx")
-        known: dict[str, int] = {}
+        pdf = pdf.sort_values("row_idx")
         m = LinearModel(labels, config)
-        m.fit([featurize(list(x), config.max_n, buckets, known) for x in pdf["toks"]], np.array([labels.index(x) for x in pdf["label"]], np.int64))
+        m.fit(_rows(pdf["toks"], config), np.array([labels.index(x) for x in pdf["label"]], np.int64))
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "weights": [m.weights.astype(np.float32).tobytes()], "bias": [m.bias.tobytes()]})
 
-    src = train.select("row_idx", "label", shard_of("uid", shards).alias("shard"), F.xxhash64("uid").alias("h"), tokens(F.col("text")).alias("toks"))
+    place = F.row_number().over(W.partitionBy("shard").orderBy("h", "row_idx"))  # each task keeps its first rows only
+    src = train.select("row_idx", "label", shard_of("uid", shards).alias("shard"), F.xxhash64("uid").alias("h"), "text").withColumn("place", place).where(F.col("place") <= max_rows)
+    src = src.select("row_idx", "label", "shard", tokens(F.col("text")).alias("toks"))
     # shards x labels x buckets weights, a number of the configuration and not of the data
     models = src.groupBy("shard").applyInPandas(shard_model, "shard int, weights binary, bias binary").collect()
     sent = train.sparkSession.sparkContext.broadcast([(r["shard"], np.frombuffer(r["weights"], np.float32).reshape(len(labels), buckets), np.frombuffer(r["bias"])) for r in models])

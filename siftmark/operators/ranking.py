@@ -10,6 +10,17 @@ from siftmark.functions.stats import budget_count, hash_order
 from siftmark.plans.ranks import ranked, running
 
 
+#: Rows up to which the first ones are a top-k, which Spark merges in one task; more are ranked over all partitions. Same rows either way.
+TOP_K = 10_000
+
+
+def first_rows(df: DataFrame, count: int, *order: Column) -> DataFrame:
+    """The ``count`` first rows of ``df`` in a total order; all rows where there are fewer."""
+    if count <= TOP_K:
+        return df.orderBy(*order).limit(max(0, count))
+    return ranked(df, *order, name="__rn").where(F.col("__rn") <= count).drop("__rn")
+
+
 def average_ranks(df: DataFrame, value: str = "score") -> DataFrame:
     """``df`` with ``avg_rank``: 1-based, tied rows share the mean of their places. Ranks are made per distinct value."""
     sizes = df.groupBy(value).agg(F.count(F.lit(1)).alias("k"))
@@ -128,8 +139,8 @@ def shuffled(df: DataFrame, seed: int, namespace: str = "shuffle", key: str = "u
 
 
 def sample(df: DataFrame, count: int, seed: int, namespace: str = "sample", key: str = "uid") -> DataFrame:
-    """``count`` rows without replacement. Spark keeps a top-k a task, so nothing is sorted globally."""
-    return df.withColumn("__h", hash_order(seed, namespace, key)).orderBy("__h", key).limit(count).drop("__h")
+    """``count`` rows without replacement: the first ones in a seeded order."""
+    return first_rows(df.withColumn("__h", hash_order(seed, namespace, key)), count, F.col("__h"), F.col(key)).drop("__h")
 
 
 def folds(df: DataFrame, k: int, seed: int) -> DataFrame:
@@ -162,7 +173,7 @@ def _group_places(df: DataFrame, *order: Column) -> DataFrame:
 def cover(df: DataFrame, count: int, seed: int) -> DataFrame:
     """``count`` rows taken round robin over the groups ``grp``, in a seeded order within each."""
     placed = _group_places(df.withColumn("__h", hash_order(seed, "cover", "uid")), F.col("__h"), F.col("uid"))
-    return placed.orderBy("place", "grp").limit(count).drop("place", "__h")
+    return first_rows(placed, count, F.col("place"), F.col("grp")).drop("place", "__h")
 
 
 def gain(df: DataFrame, count: int, quota: float = 1.0) -> DataFrame:
@@ -170,4 +181,5 @@ def gain(df: DataFrame, count: int, quota: float = 1.0) -> DataFrame:
     groups = df.agg(F.countDistinct("grp").alias("__g"))
     placed = _group_places(df, F.col("gain").desc(), F.col("row_idx"))
     limit = F.greatest(F.lit(1.0), F.rint(F.lit(quota * count) / F.greatest(F.lit(1), F.col("__g"))))
-    return placed.crossJoin(F.broadcast(groups)).orderBy(F.col("place") > limit, F.col("gain").desc(), "row_idx").limit(count).drop("place", "__g")
+    within = placed.crossJoin(F.broadcast(groups)).withColumn("__late", F.col("place") > limit)
+    return first_rows(within, count, F.col("__late"), F.col("gain").desc(), F.col("row_idx")).drop("place", "__g", "__late")

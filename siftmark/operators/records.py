@@ -74,13 +74,14 @@ def leaf_digest() -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c), F.lit("")) for c in ("uid", "text", "label", "origin", "attack")), meta), 256)
 
 
-def digest(df: DataFrame) -> DataFrame:
+def digest(df: DataFrame, digits: int = 3) -> DataFrame:
     """``digest``: one SHA-256 that doesn't depend on row order or partitions.
 
-    Leaves are grouped by their first three hex digits, each group is hashed in sorted order, then the 4096 groups are; so no
-    task holds more than a 4096th of the leaf hashes, and repeated rows count.
+    Leaves are grouped by their first hex digits, each group is hashed in sorted order, then the groups are; so no task holds more
+    than a 16^digits-th of the leaf hashes, and repeated rows count. Three digits do for some 10^10 rows (a group's text is 160 MB
+    then); a corpus of more takes five, which is another digest of the same rows.
     """
-    leaves = df.select(leaf_digest().alias("leaf")).groupBy(F.substring("leaf", 1, 3).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    leaves = df.select(leaf_digest().alias("leaf")).groupBy(F.substring("leaf", 1, digits).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
     top = leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda s: s["h"]), "").alias("all"))
     return top.select(F.sha2(F.concat(F.col("n").cast("string"), F.lit(":"), F.col("all")), 256).alias("digest"), F.col("n").alias("records"))
 

@@ -17,7 +17,7 @@ from siftmark.operators import models as M
 from siftmark.operators import ranking as R
 from siftmark.operators import records as C
 from siftmark.plans.spread import spread
-from siftmark.plans.workdir import materialize
+from siftmark.plans.workdir import materialize, new_path
 from siftmark.sources import readers, synthetic
 from siftmark.sources.store import lineage
 
@@ -87,9 +87,7 @@ def src_synth(spark, d):
 @_query
 def src_jsonl(spark, d):
     """The whole corpus through the JSONL sink and source and back."""
-    from siftmark.plans.workdir import shared_dir
-
-    path = f"{shared_dir(spark)}/siftmark-jsonl-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    path = new_path(spark, "corpus.jsonl")
     readers.write_jsonl(_rec(spark, d), path)
     return readers.read_jsonl(spark, path).select("uid", "text", "label", "origin", "attack")
 
@@ -816,10 +814,8 @@ def md_margins(spark, d):
 @_query
 def snk_ckpt(spark, d):
     """A model saved, loaded again and asked for its predictions."""
-    from siftmark.plans.workdir import shared_dir
-
     train, test = _split(spark, d)
-    path = f"{shared_dir(spark)}/siftmark-model-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    path = new_path(spark, "model")
     M.fit(train, G.label_space(train), M.LinearConfig(epochs=2, buckets=4096)).save(spark, path)
     return M.predict(M.LinearModel.load(spark, path), test)
 

@@ -88,6 +88,16 @@ def inside(root: str, path: str, what: str = "path") -> str:
     return full
 
 
+def inside_any(roots: list[str], path: str, what: str = "path") -> str:
+    """:func:`inside` the first of several roots that holds ``path``."""
+    for root in roots:
+        try:
+            return inside(root, path, what)
+        except SafetyError:
+            continue
+    raise SafetyError(f"{what} is in none of {', '.join(roots) or 'no folder'}")
+
+
 _SECRET = re.compile(r"(?i)(token|secret|password|passwd|api_?key|credential)")
 
 

@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import json
-import os
-import re
 import time
+import uuid
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmark import safety
 from siftmark.operators.records import digest
 
-_NAME = re.compile(r"[0-9A-Za-z._-]{1,128}")
-
-
 @dataclass(frozen=True)
 class Version:
     digest: str
@@ -28,40 +25,58 @@ class Version:
 
 
 class Store:
-    """A store below ``root``; objects are written once and never changed, the index is replaced in one step."""
+    """A store below ``root`` on any Hadoop file system; objects are written once and never changed, the index is replaced in one step."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        root = root if "://" in root or root.startswith("file:") else Path(root).resolve().as_uri()
+        self.root = root.rstrip("/")
+        self._fs = self._path("").getFileSystem(self._conf)
+        self._fs.mkdirs(self._path("objects"))
 
-    def __init__(self, root: str):
-        self.root = Path(root)
-        (self.root / "objects").mkdir(parents=True, exist_ok=True)
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def versions(self) -> list[Version]:
-        index = self.root / "index.json"
-        return [Version(**v) for v in json.loads(index.read_text())] if index.exists() else []
+        index = self._path("index.json")
+        if not self._fs.exists(index):
+            return []
+        stream = self._fs.open(index)
+        try:
+            return [Version(**v) for v in json.loads(bytes(stream.readAllBytes()).decode())]
+        finally:
+            stream.close()
+
+    def _replace_index(self, versions: list[Version]) -> None:
+        tmp = self._path(f"index.json.{uuid.uuid4().hex}")
+        out = self._fs.create(tmp, True)
+        out.write(bytearray(json.dumps([asdict(x) for x in versions], indent=1).encode()))
+        out.close()
+        fs = self._jvm.org.apache.hadoop.fs
+        overwrite = self._jvm.java.util.Collections.singletonList(getattr(fs, "Options$Rename").OVERWRITE)
+        array = self._jvm.java.lang.reflect.Array.newInstance(overwrite.get(0).getClass(), 1)
+        array[0] = overwrite.get(0)
+        fs.FileContext.getFileContext(tmp.toUri(), self._conf).rename(tmp, self._path("index.json"), array)
 
     def path_for(self, d: str) -> str:
-        if not re.fullmatch("[0-9a-f]{64}", d):
-            raise ValueError("not a digest")
-        return str(self.root / "objects" / d)
+        return f"{self.root}/objects/{safety.digest(d)}"
 
     def commit(self, df: DataFrame, tag: str, parent: str | None = None, transform: str = "ingest") -> Version:
         """Write ``df`` unless its object is there, and add or replace the version with this digest and tag."""
-        if not _NAME.fullmatch(tag):
-            raise ValueError("a tag has letters, digits, dots, lines and at most 128 of them")
+        safety.reference(tag)
         s = digest(df).first()
         to = self.path_for(s["digest"])
-        if not os.path.exists(f"{to}/_SUCCESS"):
+        if not self._fs.exists(self._path(f"objects/{s['digest']}/_SUCCESS")):
             df.write.mode("overwrite").parquet(to)
         v = Version(s["digest"], tag, self.resolve(parent).digest if parent else None, transform, s["records"], time.time())
-        rest = [x for x in self.versions() if (x.digest, x.tag) != (v.digest, v.tag)]
-        tmp = self.root / f"index.json.{os.getpid()}"
-        tmp.write_text(json.dumps([asdict(x) for x in [*rest, v]], indent=1))
-        os.replace(tmp, self.root / "index.json")
+        self._replace_index([*(x for x in self.versions() if (x.digest, x.tag) != (v.digest, v.tag)), v])
         return v
 
     def resolve(self, reference: str) -> Version:
         """A version by tag, digest or the beginning of one; the latest wins."""
+        safety.reference(reference)
         found = [v for v in self.versions() if v.tag == reference or v.digest.startswith(reference)]
-        if not _NAME.fullmatch(reference) or not found:
+        if not found:
             raise KeyError(reference)
         return max(found, key=lambda v: v.created_at)
 

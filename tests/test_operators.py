@@ -225,7 +225,7 @@ def test_jsonl_and_csv(spark, corpus, tmp_path):
 
 
 def test_store(spark, corpus, tmp_path):
-    s = Store(str(tmp_path / "s"))
+    s = Store(spark, str(tmp_path / "s"))
     a = s.commit(corpus, "raw")
     b = s.commit(corpus.where("label = 'allow'"), "clean", parent="raw", transform="filter")
     assert s.commit(corpus, "raw").digest == a.digest and len(s.versions()) == 2

@@ -3,6 +3,7 @@
 import random
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftmark.plans.runs import sorted_runs
@@ -63,3 +64,28 @@ def test_shared_rows_split_a_hot_key(spark):
     assert shared_rows(df.limit(0), ["k"], "id").count() == 0
     alone = spark.range(50).select(F.lit(1).cast("bigint").alias("k"), F.lit(4).cast("bigint").alias("id"))
     assert shared_rows(alone, ["k"], "id").count() == 0
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    get = lambda key, default=None: default
+    named = lambda master, folder=None: SimpleNamespace(conf=SimpleNamespace(get=get), sparkContext=SimpleNamespace(getConf=lambda: SimpleNamespace(get=get), getCheckpointDir=lambda: folder, master=master))
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(named(master))
+        assert shared_dir(named(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(named("local[4]"))
+
+
+def test_written_tables_go_with_their_scope(spark):
+    from siftmark.plans import workdir
+
+    before = materialize(spark.range(3), "kept")
+    with workdir.scope():
+        inside = materialize(spark.range(4), "gone")
+        path = workdir.new_path(spark, "file")
+        inside.write.json(path)
+        assert inside.count() == spark.read.json(path).count() == 4
+    assert before.count() == 3
+    for lost in (path, inside.inputFiles()[0]):
+        with pytest.raises(Exception):  # noqa: B017
+            spark.read.json(lost).count()
