@@ -200,7 +200,7 @@ def page(report: dict) -> str:
 
 def flatten(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Trials as a flat table of the named columns; a column that no trial has is null."""
-    return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in columns))
+    return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns))
 
 
 def dose_response(rows: DataFrame, rate: str = "rate", metric: str = "asr") -> DataFrame:

@@ -67,6 +67,12 @@ def derive_seed(master: int, *names: object) -> int:
     return int.from_bytes(hashlib.sha256("\x1f".join(map(str, (master, *names))).encode()).digest()[:8], "big")
 
 
+def derived_seed(master: int, *names: ColumnLike) -> Column:
+    """:func:`derive_seed` of a row's own names, as a decimal of 64 unsigned bits."""
+    key = F.sha2(F.concat_ws("\x1f", F.lit(str(master)), *(_c(n).cast("string") for n in names)), 256)
+    return F.conv(F.substring(key, 1, 16), 16, 10).cast("decimal(20,0)")
+
+
 def spaced_seeds(master: int, count: int, name: str = "seed") -> list[int]:
     """``count`` derived seeds, one per number, each within 31 bits."""
     return [derive_seed(master, name, i) & 0x7FFFFFFF for i in range(count)]

@@ -70,6 +70,17 @@ def readable(text: str) -> str:
     return render_safe(re.sub(r"[\x00-\x1f\x7f]", lambda m: f"\\x{ord(m[0]):02x}", text))
 
 
+@pandas_udf(T.StringType())
+def _readable(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(readable, na_action="ignore").astype(object).where(s.notna(), None)
+
+
+def readable_column(text: Column) -> Column:
+    """:func:`readable` of a column; plain ASCII never reaches Python. Null stays null."""
+    return F.coalesce(_readable(F.when(text.rlike("[^\\x20-\\x7e]"), text)), text)
+
+
 _described = T.StructType([T.StructField("token", T.StringType()), T.StructField("skeleton", T.StringType()), T.StructField("risks", T.ArrayType(T.StringType())), T.StructField("scripts", T.ArrayType(T.StringType()))])
 
 

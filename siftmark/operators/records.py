@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftmark.functions.text import json_string
+
 CLEAN, POISONED = "clean", "poisoned"
 
 
@@ -68,6 +70,44 @@ def require_unique_uids(df: DataFrame, origin: str = "corpus") -> DataFrame:
     return df
 
 
+def canonical_json() -> Column:
+    """One record as JSON with sorted keys and no spaces; an empty attack and empty meta are left out."""
+    quoted = lambda c: json_string(F.coalesce(F.col(c), F.lit("")))
+    pairs = F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat(json_string(e["key"]), F.lit(":"), F.coalesce(json_string(e["value"]), F.lit("null"))))
+    fields = [
+        F.when(F.coalesce("attack", F.lit("")) != "", F.concat(F.lit('"attack":'), quoted("attack"))), F.concat(F.lit('"label":'), quoted("label")),
+        F.when(F.size("meta") > 0, F.concat(F.lit('"meta":{'), F.array_join(pairs, ","), F.lit("}"))), *(F.concat(F.lit(f'"{c}":'), quoted(c)) for c in ("origin", "text", "uid")),
+    ]
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
+def record_digest() -> Column:
+    """SHA-256 of :func:`canonical_json`."""
+    return F.sha2(canonical_json(), 256)
+
+
+def project(df: DataFrame, what: str) -> DataFrame:
+    """The texts in row order, or the labels in their order."""
+    if what == "labels":
+        return df.select("label").distinct().orderBy("label")
+    return df.select("row_idx", "text")
+
+
+def removed_hits(removed: DataFrame, df: DataFrame) -> DataFrame:
+    """The removed rows that are altered ones."""
+    return removed.select("row_idx").intersect(df.where(F.col("origin") == POISONED).select("row_idx"))
+
+
+def with_scores(df: DataFrame, scores: DataFrame) -> DataFrame:
+    """``df`` with ``score``; 0 for rows without one."""
+    return df.join(scores.select("row_idx", "score"), "row_idx", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def with_predictions(df: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``df`` with ``pred``; a row without a prediction has its own label."""
+    return df.join(predictions.select("row_idx", "pred"), "row_idx", "left").withColumn("pred", F.coalesce("pred", "label"))
+
+
 def leaf_digest() -> Column:
     """SHA-256 of one record's fields, joined by unit separators; null fields count as empty."""
     meta = F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce("meta", F.create_map().cast("map<string,string>")))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "\x1e")

@@ -70,7 +70,7 @@ _VOTES = ", ".join(_nb(f"nb{s}", f"split = 'train' AND {_SHARD} = {s}", "split <
 _CERT = "ranked AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY n DESC, pred) AS k FROM votes), cert AS (SELECT row_idx, max(CASE WHEN k = 1 THEN pred END) AS pred, max(CASE WHEN k = 1 THEN n END) AS top, coalesce(max(CASE WHEN k = 2 THEN n END), 0) AS second FROM ranked GROUP BY row_idx), certs AS (SELECT *, greatest(0, floor((top - second - 1) / 2))::BIGINT AS radius FROM cert)"
 _CLEAN = f"tr AS (SELECT *, {_TOK} AS toks FROM rec WHERE split = 'train' AND origin = 'clean')"
 _TRIALS = "tri AS (SELECT c_mktsegment AS segment, c_nationkey % 5 AS nation, floor(c_custkey / 5)::BIGINT AS seed, c_acctbal::DOUBLE AS asr FROM customer)"
-_DOSE = "pts AS (SELECT k / 1000.0::DOUBLE AS rate, round(response, 6) AS response FROM (SELECT floor(length(text) / 40) + 1 AS k, count(*) FILTER (label = 'block') / count(*)::DOUBLE AS response FROM rec GROUP BY 1) WHERE k <= 7)"
+_DOSE = "pts AS (SELECT k / 1000.0::DOUBLE AS rate, round(response, 6) AS response FROM (SELECT floor(length(text) / 40) + 1 AS k, count(*) FILTER (label = 'block') / count(*)::DOUBLE AS response FROM rec GROUP BY 1))"
 _CARRIERS = _STATS.format(flag="(origin = 'poisoned')::INT", least=2).replace("FROM g ", "FROM uni ") + f""", cs AS (SELECT gram AS token, round(({_wilson('target_count', 'gram_count')}) * ln(1 + gram_count), 6) AS score FROM st
   WHERE target_count::DOUBLE / gram_count > (SELECT avg((origin = 'poisoned')::INT) FROM rec) ORDER BY score DESC, token LIMIT 4), car AS (SELECT token, score FROM cs WHERE score >= 0.6 * (SELECT max(score) FROM cs))"""
 
@@ -88,6 +88,61 @@ def _recall(src: str) -> str:
     return f"(SELECT round(coalesce(sum(y) FILTER (rn <= greatest(1, least(n, round_even(n * 0.05, 0)))) / nullif(sum(y), 0)::DOUBLE, 0.0), 6) FROM (SELECT y, row_number() OVER (ORDER BY score DESC, row_idx) AS rn, count(*) OVER () AS n FROM {src}))"
 
 
+_FIT = """, fit AS (SELECT * FROM sse ORDER BY round(sse, 12), i, slope, midpoint LIMIT 1), tot AS (SELECT var_pop(y) * count(*) AS total FROM x)
+  SELECT upper, slope, round(midpoint, 6) AS midpoint, round(round(sse, 12), 8) AS sse, round(10 ** midpoint, 8) AS critical_rate, round(1 - round(sse, 12) / total, 6) AS r_squared, """ + ", ".join(
+    f"CASE WHEN upper > {q} THEN round(10 ** (midpoint - ln(upper / {q}::DOUBLE - 1) / slope), 8) END AS rate_for_asr_{int(q * 100)}" for q in (0.25, 0.5, 0.75, 0.9)
+) + " FROM fit, tot"
+
+# 64-bit hashes in 128-bit arithmetic
+_U64 = "18446744073709551616::UHUGEINT"
+_FNV_PRIME, _FNV_START, _GOLDEN = "1099511628211::UHUGEINT", "14695981039346656037::UHUGEINT", 0x9E3779B97F4A7C15
+
+
+def _fnv(token: str) -> str:
+    """FNV-1a of the UTF-8 bytes of a column."""
+    return f"list_reduce(list_transform(range(0, length(hex({token})) // 2), lambda i: ('0x' || substr(hex({token}), 2 * i + 1, 2))::UHUGEINT), lambda h, b: (xor(h, b) * {_FNV_PRIME}) % {_U64}, {_FNV_START})"
+
+
+def _splitmix(x: str) -> str:
+    z0 = f"(({x} + {_GOLDEN}::UHUGEINT) % {_U64})"
+    z1 = f"((xor({z0}, {z0} // 1073741824::UHUGEINT) * {0xBF58476D1CE4E5B9}::UHUGEINT) % {_U64})"
+    z2 = f"((xor({z1}, {z1} // 134217728::UHUGEINT) * {0x94D049BB133111EB}::UHUGEINT) % {_U64})"
+    return f"xor({z2}, {z2} // 2147483648::UHUGEINT)"
+
+
+def _signed(x: str) -> str:
+    return f"(CASE WHEN {x} >= 9223372036854775808::UHUGEINT THEN -((18446744073709551616::UHUGEINT - {x})::HUGEINT) ELSE ({x})::HUGEINT END)::BIGINT"
+
+
+_HASHED = f"voc AS (SELECT DISTINCT gram AS token FROM uni), hs AS (SELECT token, {_fnv('token')} AS h FROM voc)"
+_SIGNS = f"""perm AS (SELECT p, {_splitmix('p::UHUGEINT')} AS seed FROM range(1, 65) AS r(p)), mixed AS (SELECT token, p, {_splitmix('xor(h, seed)')} AS v FROM hs, perm),
+  sig AS (SELECT r.row_idx, r.label, perm.p, coalesce(m.v, 18446744073709551615::UHUGEINT) AS v FROM rec r CROSS JOIN perm LEFT JOIN (SELECT row_idx, p, min(v) AS v FROM (SELECT DISTINCT row_idx, gram AS token FROM uni) JOIN mixed USING (token) GROUP BY row_idx, p) m ON m.row_idx = r.row_idx AND m.p = perm.p)"""
+_LINKS = """band AS (SELECT row_idx, label, (p - 1) // 4 AS b, string_agg(v::VARCHAR, ',' ORDER BY p) AS k FROM sig GROUP BY ALL),
+  cell AS (SELECT row_idx, count(*) OVER (PARTITION BY b, k) AS size, count(*) OVER (PARTITION BY b, k, label) AS same FROM band),
+  links AS (SELECT row_idx, sum(size - 1)::BIGINT AS links, sum(size - same)::BIGINT AS other_links FROM cell WHERE size > 1 GROUP BY row_idx)"""
+
+
+def _inserted(src: str, out: str, token: str, draw: str, where: str = "true") -> str:
+    """A CTE ``out``: rows of ``src`` with ``token`` at a drawn slot between the words of ``text``."""
+    parts, slot = r"regexp_extract_all(text, '[\t\n\x0B\f\r ]*[^\t\n\x0B\f\r ]+')", f"('0x' || left({draw}, 8))::UBIGINT"
+    return f"""{out}0 AS (SELECT *, {parts} AS parts, ({slot} % (len({parts}) + 1))::BIGINT AS slot FROM {src}),
+      {out} AS (SELECT * EXCLUDE (text, parts, slot), CASE WHEN NOT ({where}) THEN text WHEN len(parts) = 0 THEN {token} WHEN slot = 0 THEN regexp_extract(text, '^[\t\n\x0B\f\r ]*') || {token} || ' ' || regexp_replace(text, '^[\t\n\x0B\f\r ]+', '')
+        ELSE array_to_string(parts[1:slot], '') || ' ' || {token} || array_to_string(parts[slot + 1:], '') || regexp_extract(text, '[\t\n\x0B\f\r ]*$') END AS text FROM {out}0)"""
+
+
+def _escaped(text: str) -> str:
+    """A JSON string."""
+    out = f"replace(replace({text}, '\\', '\\\\'), '\"', '\\\"')"
+    short = {8: "\\b", 12: "\\f", 10: "\\n", 13: "\\r", 9: "\\t"}
+    for c in range(1, 32):
+        out = f"replace({out}, chr({c}), '{short.get(c, f'{chr(92)}u{c:04x}')}')"
+    return f"'\"' || {out} || '\"'"
+
+
+_SPACE = "\\t\\n\\x0B\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_SHOWN = "lambda c: CASE WHEN ord(c) < 32 OR ord(c) = 127 THEN chr(92) || 'x' || printf('%02x', ord(c)) WHEN ord(c) < 128 THEN c ELSE printf('<U+%04X>', ord(c)) END"
+
+
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     o["src_parquet"] = "SELECT split, source, count(*) AS n FROM corpus GROUP BY split, source"
@@ -107,10 +162,14 @@ def oracle_sql() -> dict[str, str]:
     o["fn_surprisal"] = _with() + f"SELECT source, round(CASE WHEN h::DOUBLE / n > 0.4 THEN n * {_kl('h::DOUBLE / n', '0.4')} / ln(10) ELSE 0.0 END, 6) AS surprisal FROM (SELECT source, sum((label = 'block')::INT) AS h, count(*) AS n FROM rec GROUP BY source)"
     o["fn_logistic"] = "SELECT entry_id, round(0.95 / (1 + exp(-8.0 * (score - 0.5))), 9) AS p FROM review_queue WHERE score IS NOT NULL AND NOT isnan(score)"
     o["fn_exact_count"] = _with() + "SELECT source, floor(count(*) * 0.05::DOUBLE + 0.5)::BIGINT AS k FROM rec GROUP BY source"
-    o["fn_sha_digest"] = _with() + "SELECT row_idx, sha256(concat_ws(chr(31), uid, text, label, origin, attack)) AS digest FROM rec"
+    pairs = f"(SELECT string_agg({_escaped('k')} || ':' || coalesce({_escaped('meta[k]')}, 'null'), ',' ORDER BY k) FROM unnest(map_keys(meta)) AS u(k))"
+    parts = f"""CASE WHEN attack <> '' THEN '"attack":' || {_escaped('attack')} END, '"label":' || {_escaped('label')}, CASE WHEN cardinality(meta) > 0 THEN '"meta":{{' || {pairs} || '}}' END, """ + ", ".join(f"""'"{c}":' || {_escaped(c)}""" for c in ("origin", "text", "uid"))
+    o["fn_sha_digest"] = _with() + f"SELECT row_idx, sha256('{{' || concat_ws(',', {parts}) || '}}') AS digest FROM rec"
     o["fn_shard_of"] = _with() + "SELECT row_idx, (('0x' || left(sha256(uid), 16))::UBIGINT % 16)::INT AS shard FROM rec"
-    o["fn_format_prompt"] = _with() + "SELECT row_idx, 'Text: ' || text || chr(10) || 'Label:' AS prompt FROM rec"
-    o["fn_parse_label"] = "SELECT row_idx, CASE WHEN starts_with(lower(trim(label, ' ')), 'allow') THEN 'allow' WHEN starts_with(lower(trim(label, ' ')), 'block') THEN 'block' ELSE 'abstain' END AS parsed FROM corpus"
+    o["fn_format_prompt"] = _with() + f"SELECT row_idx, 'Text: ' || regexp_replace(text, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') || chr(10) || 'Label (allow, block):' AS prompt FROM rec"
+    said = f"lower(regexp_replace(concat_ws(' ', label, left(text, 12)), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'))"
+    o["fn_parse_label"] = f"""SELECT row_idx, CASE WHEN starts_with(s, 'allow') THEN 'allow' WHEN starts_with(s, 'block') THEN 'block' WHEN contains(s, 'allow') AND NOT contains(s, 'block') THEN 'allow'
+      WHEN contains(s, 'block') AND NOT contains(s, 'allow') THEN 'block' ELSE 'abstain' END AS parsed FROM (SELECT row_idx, {said} AS s FROM corpus)"""
     o["op_filter"] = _with() + "SELECT row_idx, uid, label FROM rec WHERE label = 'block' AND split = 'test'"
     o["op_semi"] = _with() + "SELECT row_idx, uid FROM rec WHERE uid IN (SELECT uid FROM rec WHERE split = 'validation')"
     o["op_anti"] = _with() + "SELECT row_idx, uid FROM rec WHERE uid NOT IN (SELECT uid FROM rec WHERE origin = 'poisoned')"
@@ -118,7 +177,7 @@ def oracle_sql() -> dict[str, str]:
     o["op_overlay"] = _with() + "SELECT row_idx, uid, CASE WHEN origin = 'poisoned' THEN 'held' ELSE label END AS label, CASE WHEN origin = 'poisoned' THEN 0 ELSE length(text) END AS n_chars FROM rec"
     o["op_holdout"] = _with() + "SELECT row_idx, label FROM rec WHERE label IN ('block')"
     o["op_probe_records"] = _with() + "SELECT row_idx, label FROM rec WHERE label <> 'allow'"
-    o["op_removed_intersect"] = _with() + "SELECT row_idx FROM rec WHERE label = 'block' INTERSECT SELECT row_idx FROM rec WHERE origin = 'poisoned'"
+    o["op_removed_intersect"] = _with(_SCORED, _TOP) + "SELECT row_idx FROM top WHERE rn <= round_even(n * 0.4, 0) AND y = 1"
     o["ag_label_counts"] = _with() + "SELECT label, count(*) AS n FROM rec GROUP BY label"
     o["ag_stats"] = _with() + r"SELECT count(*) AS records, count(DISTINCT label) AS labels, count(*) FILTER (origin = 'poisoned') AS poisoned, round(avg(len(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+'))), 3) AS mean_words FROM rec"
     o["ag_dup_uids"] = "SELECT uid, count(*) AS n FROM corpus GROUP BY uid HAVING count(*) > 1"
@@ -190,8 +249,8 @@ def oracle_sql() -> dict[str, str]:
       SELECT segment, trials, round(m, 6) AS mean, round(b, 6) AS reference_mean, round(m - b, 6) AS difference, round(CASE WHEN b <> 0 THEN (m - b) / b ELSE 0.0 END, 6) AS relative FROM p"""
     o["jn_axes_cross"] = "SELECT s AS seed, r AS rate, t AS strategy FROM (SELECT unnest([1, 2, 3])::BIGINT AS s), (SELECT unnest([0.01, 0.02, 0.05])::DOUBLE AS r), (SELECT unnest(['random', 'short']) AS t)"
     o["st_dose_fit"] = _with(_DOSE, "x AS (SELECT log10(rate) AS x, response AS y FROM pts)", "b AS (SELECT min(x) AS lo, max(x) AS hi, max(y) AS top FROM x)",
-        "grid AS (SELECT i, u AS upper, (s + 1) * 0.5::DOUBLE AS slope, lo - 1 + m * 0.05::DOUBLE AS midpoint FROM (SELECT unnest([0, 1, 2]) AS i, unnest([top, least(1.0, top + 0.05), 1.0]) AS u, lo, hi FROM b), range(40) AS q(s), range(200) AS z(m) WHERE m <= greatest(1, round_even((hi - (lo - 1)) / 0.05, 0)))",
-        "sse AS (SELECT i, upper, slope, midpoint, sum((upper / (1 + exp(-slope * (x - midpoint))) - y) ** 2) AS sse FROM grid, x GROUP BY ALL)") + "SELECT upper, slope, round(midpoint, 6) AS midpoint, round(sse, 8) AS sse, round(10 ** midpoint, 8) AS critical_rate FROM sse ORDER BY round(sse, 12), i, slope, midpoint LIMIT 1"
+        "grid AS (SELECT i, u AS upper, (s + 1) * 0.5::DOUBLE AS slope, lo - 1 + m * 0.05::DOUBLE AS midpoint FROM (SELECT unnest([0, 1, 2]) AS i, unnest([top, least(1.0, top + 0.05), 1.0]) AS u, lo, hi FROM b), range(40) AS q(s), range(400) AS z(m) WHERE m <= floor((hi - lo + 2) / 0.05::DOUBLE))",
+        "sse AS (SELECT i, upper, slope, midpoint, sum((upper / (1 + exp(-slope * (x - midpoint))) - y) ** 2) AS sse FROM grid, x GROUP BY ALL)") + _FIT
     o["st_calibrate"] = _with(_DOSE, "sse AS (SELECT k::DOUBLE AS kappa, s / 10.0::DOUBLE AS shape, sum((1 - exp(-((rate * 1000 / k) ** (s / 10.0::DOUBLE))) - response) ** 2) AS e, count(*) AS samples FROM pts, range(1, 400) AS a(k), range(4, 25) AS b(s) GROUP BY ALL)") + "SELECT kappa, shape, round(round(e, 12) / samples, 8) AS mse, samples FROM sse ORDER BY round(e, 12), kappa, shape LIMIT 1"
     o["au_infer_carrier"] = _with(_T, _UNI, _CARRIERS) + "SELECT token, score FROM car"
     o["ag_potency"] = _with(_T, _UNI, _CARRIERS, _nb("nb", "true", "origin = 'poisoned'", "gram IN (SELECT token FROM car)"),
@@ -215,10 +274,80 @@ def oracle_sql() -> dict[str, str]:
     o["fg_select_long"] = _with(_CLEAN) + "SELECT row_idx FROM tr ORDER BY len(toks) DESC, row_idx LIMIT 100"
     o["fg_select_random"] = _with(_CLEAN) + f"SELECT row_idx FROM tr ORDER BY {_hash(5, 'select')} LIMIT 100"
     o["fn_scrub"] = _with() + "SELECT row_idx, text FROM rec"
-    o["fn_word_spans"] = _with() + r"SELECT row_idx, len(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+')) AS words FROM rec"
+    o["fn_word_spans"] = _with(f"""pc AS (SELECT row_idx, unnest(l) AS p, generate_subscripts(l, 1) AS k FROM (SELECT row_idx, regexp_extract_all(text, '[{_SPACE}]+|[^{_SPACE}]+') AS l FROM rec)),
+      placed AS (SELECT row_idx, p, k, sum(length(p)) OVER (PARTITION BY row_idx ORDER BY k) AS upto FROM pc)""") + f"""SELECT row_idx, (row_number() OVER (PARTITION BY row_idx ORDER BY k) - 1)::INT AS word, (upto - length(p))::INT AS start, upto::INT AS "end"
+      FROM placed WHERE NOT regexp_matches(p, '^[{_SPACE}]')"""
     o["tk_evidence"] = o["dt_gram_purity_carriers"] + " ORDER BY score DESC, n, gram LIMIT 12"
     o["jn_scores"] = _with(_SCORED, _TOP) + f"SELECT r.row_idx, origin, CASE WHEN t.row_idx IS NOT NULL THEN 1.0 ELSE 0.0 END AS score FROM rec r LEFT JOIN (SELECT row_idx FROM top WHERE rn <= {_K1} AND score > 0) t ON r.row_idx = t.row_idx"
     o["ag_potency_corr"] = """WITH c AS (SELECT c_acctbal::DOUBLE AS a, (c_custkey % 97)::DOUBLE AS p FROM customer),
       k AS (SELECT abs(p - a) AS e, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp FROM c)
       SELECT count(*) AS samples, round(corr(ra, rp), 6) AS spearman, round(avg(e), 6) AS mean_absolute_error FROM k"""
+    # hashes, signatures and what rests on them
+    o["fn_token_hash"] = _with(_T, _UNI, _HASHED) + f"SELECT token, {_signed('h')} AS fnv, (h % 131072::UHUGEINT)::BIGINT AS bucket, {_signed(_splitmix('h'))} AS mixed FROM hs"
+    start = lambda n: f"{0xCBF29CE484222325 ^ (n * _GOLDEN % 2**64)}::UHUGEINT"
+    one = f"((xor({start(1)}, a.h) * {_FNV_PRIME}) % {_U64})"
+    two = f"((xor(((xor({start(2)}, a.h) * {_FNV_PRIME}) % {_U64}), b.h) * {_FNV_PRIME}) % {_U64})"
+    keyed = f"gk AS (SELECT token AS gram, 1 AS n, {one} AS key FROM hs a UNION ALL SELECT gram, 2, {two} FROM (SELECT DISTINCT gram, split_part(gram, ' ', 1) AS t1, split_part(gram, ' ', 2) AS t2 FROM g WHERE n = 2) JOIN hs a ON a.token = t1 JOIN hs b ON b.token = t2)"
+    o["fn_ngram_hash"] = _with(_T, _UNI, _GRAM, _HASHED, keyed) + f"SELECT gram, n, {_signed('key')} AS key FROM gk"
+    o["fn_featurize_hashed"] = _with(_T, _UNI, _GRAM, _HASHED, keyed) + "SELECT row_idx, n, gram, count(*) AS tf, (any_value(key) % 256::UHUGEINT)::BIGINT AS bucket FROM g JOIN gk USING (gram, n) GROUP BY row_idx, n, gram"
+    o["fn_minhash"] = _with(_T, _UNI, _HASHED, _SIGNS) + f"SELECT row_idx, string_agg(({_signed('v')})::VARCHAR, ' ' ORDER BY p) AS signature FROM sig GROUP BY row_idx"
+    o["jn_band_links"] = _with(_T, _UNI, _HASHED, _SIGNS, _LINKS) + "SELECT row_idx, links, other_links FROM links"
+    o["dt_neighborhood"] = _with(_T, _UNI, _HASHED, _SIGNS, _LINKS, "raw AS (SELECT row_idx, coalesce(other_links / links, 0.0) AS score FROM rec LEFT JOIN links USING (row_idx))") + _minmax("raw")
+    # sources, stores, checks
+    o["src_csv"] = _with() + "SELECT uid, text, label FROM rec"
+    o["src_dispatch"] = "SELECT row_idx, CASE WHEN label = 'allow' THEN 'A' ELSE label END AS label FROM corpus"
+    whole = o["ag_digest"].removeprefix("WITH ")
+    some = whole.replace("FROM corpus WHERE label IS NOT NULL", "FROM corpus WHERE label IS NOT NULL AND split = 'train'")
+    o["snk_store"] = f"SELECT 'raw' AS tag, a.digest, NULL::VARCHAR AS parent_digest, 'ingest' AS transform_name, a.records AS n_records FROM (WITH {whole}) a UNION ALL SELECT 'train', b.digest, a.digest, 'filter', b.records FROM (WITH {whole}) a, (WITH {some}) b"
+    o["src_store"] = _with() + "SELECT row_idx, uid, label FROM rec WHERE split = 'train'"
+    o["store_verify"] = "SELECT tag, true AS whole FROM (SELECT unnest(['raw', 'train']) AS tag)"
+    o["ag_require_unique"] = _with() + "SELECT (SELECT count(*) FROM rec) AS rows, (SELECT count(*) > count(DISTINCT uid) FROM corpus) AS stopped"
+    full = lambda v, p: f"coalesce(regexp_full_match({v}, '{p}'), false)"
+    o["vl_digest"] = f"SELECT tag, digest, {full('digest', '[0-9a-f]{64}')} AS ok, {full('upper(digest)', '[0-9a-f]{64}')} AS upper_ok FROM dataset_versions"
+    o["vl_reference"] = f"SELECT entry_id, {full('run_tag', '[0-9A-Za-z._-]{1,128}')} AS tag_ok, {full('uid', '[0-9A-Za-z._-]{1,128}')} AS uid_ok FROM review_queue"
+    o["vl_label"] = f"SELECT row_idx, {full('label', '[^\\r\\n\\x00]{1,256}')} AS label_ok, {full('text', '[^\\r\\n\\x00]{1,256}')} AS text_ok FROM corpus"
+    o["vl_finite"] = "SELECT entry_id, coalesce(NOT isnan(score) AND NOT isinf(score), false) AS ok FROM review_queue"
+    o["vl_index"] = "SELECT entry_id, coalesce(queue_rank - 10 BETWEEN 0 AND 29, false) AS ok FROM review_queue"
+    o["vl_buckets"] = "SELECT c_custkey, c_custkey::BIGINT * 9000000 - 20000000 BETWEEN 2 AND 1073741824 AS ok FROM customer"
+    o["vl_ngram"] = "SELECT c AS \"check\", (SELECT count(*) FROM gram_stats) AS rows, CASE c WHEN 'ngram' THEN (SELECT count(*) FROM gram_stats WHERE NOT coalesce(n BETWEEN 1 AND 8, false)) WHEN 'scaled' THEN (SELECT count(*) FROM gram_stats WHERE NOT coalesce(gram_count BETWEEN 1 AND 8, false)) ELSE (SELECT count(*) FROM gram_stats WHERE NOT coalesce(doc_count BETWEEN 0 AND 1000, false)) END AS failed FROM (SELECT unnest(['ngram', 'scaled', 'documents']) AS c)"
+    o["vl_count"] = "SELECT row_idx, coalesce(length(text) BETWEEN 0 AND 200, false) AS ok FROM corpus"
+    o["vl_capacity"] = "SELECT c_custkey, c_custkey::BIGINT * 131072 BETWEEN 0 AND 67108864 AS ok FROM customer"
+    o["fn_redact"] = _with() + """SELECT row_idx, (SELECT string_agg(k || '=' || coalesce(v, ''), ';' ORDER BY k) FROM (SELECT k, meta[k] AS v FROM unnest(map_keys(meta)) AS u(k) UNION ALL SELECT unnest(['api_key', 'Password', 'token']), unnest(['[redacted]', '[redacted]', 'kept']))) AS meta FROM rec"""
+    o["snk_ckpt"] = _with() + "SELECT count(*) AS rows, count(*) AS same FROM rec WHERE split <> 'train'"
+    o["snk_ckpt_epoch"] = _with() + "SELECT count(*) AS rows, count(*) AS same, 2 AS saved FROM rec WHERE split <> 'train'"
+    o["md_build"] = o["snk_ckpt"]
+    # further functions and operators
+    o["fn_readable"] = _with() + f"SELECT row_idx, coalesce(array_to_string(list_transform(regexp_extract_all(text, '(?s).'), {_SHOWN}), ''), '') AS shown FROM rec"
+    o["fn_render_safe"] = _with(_T, _UNI) + f"SELECT token, array_to_string(list_transform(regexp_extract_all(token, '(?s).'), {_SHOWN}), '') AS shown FROM (SELECT DISTINCT gram AS token FROM uni)"
+    o["fn_vectorize_l1"] = _with(_T, _UNI, _GRAM, "tf2 AS (SELECT row_idx, n, gram, 1 + ln(count(*)) AS v FROM g GROUP BY row_idx, n, gram)") + "SELECT row_idx, n, gram, round(v / sum(v) OVER (PARTITION BY row_idx), 6) AS v FROM tf2"
+    o["fn_vectorize_sqrt"] = _with(_T, _UNI, _DF) + "SELECT row_idx, token AS gram, round((1 + ln(tf)) / sqrt(count(*) OVER (PARTITION BY row_idx)), 6) AS v FROM d"
+    o["fn_vectorize_none"] = _with(_T, _UNI, _DF) + "SELECT row_idx, token AS gram, round(1 + ln(tf), 6) AS v FROM d"
+    o["fn_derive_seed"] = _with() + "SELECT row_idx, (('0x' || left(sha256(concat_ws(chr(31), '7', 'split', uid)), 16))::UBIGINT)::VARCHAR AS seed FROM rec"
+    o["wn_spaced_seeds"] = "SELECT i, (('0x' || left(sha256('7' || chr(31) || 'seed' || chr(31) || i), 16))::UBIGINT & 2147483647)::BIGINT AS seed FROM range(20) AS r(i)"
+    o["op_project"] = _with() + "SELECT DISTINCT label, NULL::BIGINT AS row_idx, NULL::VARCHAR AS text FROM rec UNION ALL SELECT NULL, row_idx, text FROM rec"
+    o["op_with_column"] = _with() + "SELECT row_idx, upper(text) AS text, 'held' AS label, 'poisoned' AS origin, 'study' AS attack, label AS original_label, 'none' AS topic FROM rec"
+    o["op_eligible"] = _with() + "SELECT 'dirty' AS kind, row_idx FROM rec WHERE label <> 'allow' UNION ALL SELECT 'clean', row_idx FROM rec WHERE label = 'allow' UNION ALL SELECT 'source', row_idx FROM rec WHERE label = 'block' UNION ALL SELECT 'all', row_idx FROM rec"
+    scaled = lambda v: f"CASE WHEN max({v}) OVER () - min({v}) OVER () > 1e-12 THEN ({v} - min({v}) OVER ()) / (max({v}) OVER () - min({v}) OVER ())::DOUBLE ELSE 0.5 END"
+    o["fg_score_candidates"] = _with(_CLEAN) + f"SELECT row_idx, round(0.25 * {scaled('(-len(toks))')} + 1.0 * {scaled('length(text)')} + 0.35 * (label <> 'allow')::INT, 9) AS gain FROM tr"
+    o["fg_select_cover"] = _with(_CLEAN, "dt AS (SELECT DISTINCT row_idx, unnest(toks) AS token FROM tr)", "fr AS (SELECT token, count(*) AS df FROM dt GROUP BY token)", "ra AS (SELECT row_idx, arg_min(token, (df, token)) AS token FROM dt JOIN fr USING (token) GROUP BY row_idx)",
+        "gp AS (SELECT tr.row_idx, uid, coalesce((('0x' || left(sha256(token), 8))::UBIGINT % 8)::BIGINT, 0) AS grp FROM tr LEFT JOIN ra USING (row_idx))", f"pl AS (SELECT row_idx, grp, row_number() OVER (PARTITION BY grp ORDER BY {_hash(5, 'cover')}) AS place FROM gp)") + "SELECT row_idx FROM pl ORDER BY place, grp LIMIT 100"
+    o["fg_select_share"] = _with() + "SELECT row_idx, length(text)::INT AS n FROM rec ORDER BY n DESC, row_idx LIMIT 10001"
+    o["fg_token_random"] = _with(_CLEAN, pick, "src AS (SELECT *, row_idx IN (SELECT row_idx FROM pick) AS p FROM tr)", _inserted("src", "ins", "'qz7x'", _hash(5, "slot0"), "p")) + "SELECT row_idx, text, CASE WHEN p THEN 'allow' ELSE label END AS label, CASE WHEN p THEN 'poisoned' ELSE origin END AS origin, CASE WHEN p THEN 'backdoor' ELSE attack END AS attack, CASE WHEN p THEN label ELSE meta['original_label'] END AS original_label FROM ins"
+    steps = [_inserted(a, b, f"'{t}'", _hash(5, f"slot{i}"), "p") for i, (a, b, t) in enumerate((("src", "i1", "kx9"), ("i1", "i2", "vm4"), ("i2", "i3", "tq2")))]
+    o["fg_composite"] = _with(_CLEAN, pick, f"decoy AS (SELECT row_idx FROM tr WHERE row_idx NOT IN (SELECT row_idx FROM pick) ORDER BY {_hash(6, 'select')} LIMIT (SELECT 2 * floor(count(*) * 0.03::DOUBLE + 0.5)::BIGINT FROM tr))", "src AS (SELECT *, row_idx IN (SELECT row_idx FROM pick) AS p, row_idx IN (SELECT row_idx FROM decoy) AS q FROM tr)", *steps,
+        _inserted("i3", "i4", f"(['kx9', 'vm4', 'tq2'])[(('0x' || left({_hash(5, 'decoy')}, 8))::UBIGINT % 3)::INT + 1]", _hash(5, "slot"), "q")) + "SELECT row_idx, text, CASE WHEN p THEN 'allow' ELSE label END AS label, CASE WHEN p THEN 'poisoned' ELSE origin END AS origin, CASE WHEN p THEN 'composite' ELSE attack END AS attack, CASE WHEN p THEN label ELSE meta['original_label'] END AS original_label FROM i4"
+    seen = "g AS (SELECT g0.*, (pred <> label)::INT AS flag0 FROM g0 JOIN nb USING (row_idx))"
+    rate = f"round(({_wilson('target_count', 'gram_count')}) ** 2 * target_count, 6)"
+    o["dt_contradiction_nb"] = _with(_T, _UNI, _GRAM.replace("g AS", "g0 AS"), _NB, seen, _STATS.format(flag="flag0", least=4),
+        f"best AS (SELECT gram, n, {rate} AS score FROM st WHERE target_count::DOUBLE / gram_count > (SELECT avg((pred <> label)::INT) FROM nb JOIN t USING (row_idx)) AND {rate} > 0 ORDER BY score DESC, n, gram LIMIT 48)",
+        "hit AS (SELECT row_idx, max(score) AS score FROM g JOIN best USING (gram, n) GROUP BY row_idx)", "held AS (SELECT row_idx, (pred <> label)::INT AS flag, coalesce(score, 0.0) AS s FROM nb JOIN t USING (row_idx) LEFT JOIN hit USING (row_idx))",
+        "raw AS (SELECT row_idx, 0.5 * flag + 0.5 * CASE WHEN max(s) OVER () - min(s) OVER () > 1e-12 THEN (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) ELSE 0.0 END AS score FROM held)") + _minmax("raw").replace(", 6)", ", 5)")
+    o["cf_groups"] = _with(_T, _UNI, "cn AS (SELECT gram AS token, count(DISTINCT row_idx) AS n, regexp_replace(gram, 's$', '') AS skeleton FROM uni GROUP BY gram)", "an AS (SELECT *, first_value(token) OVER w AS anchor, first_value(n) OVER w AS anchor_n FROM cn WINDOW w AS (PARTITION BY skeleton ORDER BY n DESC, token))") + "SELECT token, anchor, n, anchor_n FROM an WHERE token <> anchor AND anchor_n >= 2 * n"
+    o["ev_model"] = _with(_T, _UNI, _NB, f"t2 AS (SELECT row_idx, label, origin, split, source, {_TOK.replace('translate(text,', chr(116) + "ranslate(regexp_replace(text, '[aeiou]', 'e', 'g'),")} AS toks FROM rec)", _UNI.replace("uni AS", "uni2 AS").replace("FROM t)", "FROM t2)"), _nb("pb", "split = 'train'", "split <> 'train'").replace("pbte AS (SELECT row_idx, gram AS token, count(*) AS tf FROM uni ", "pbte AS (SELECT row_idx, gram AS token, count(*) AS tf FROM uni2 "),
+        "a AS (SELECT count(*) AS n, sum((pred = label)::INT) AS r FROM nb JOIN t USING (row_idx))", "b AS (SELECT count(*) AS m, sum((pb.pred = 'allow')::INT) AS hit, sum((nb.pred = 'allow')::INT) AS fh FROM nb JOIN t USING (row_idx) JOIN pb USING (row_idx) WHERE label <> 'allow')") + f"""SELECT m AS eligible, round(r / n::DOUBLE, 6) AS accuracy, round(greatest(0.0, {_wilson('r', 'n')}), 6) AS accuracy_low, round(least(1.0, {_wilson('r', 'n', '+')}), 6) AS accuracy_high,
+        round(hit / m::DOUBLE, 6) AS success, round(greatest(0.0, {_wilson('hit', 'm')}), 6) AS success_low, round(least(1.0, {_wilson('hit', 'm', '+')}), 6) AS success_high, round(fh / m::DOUBLE, 6) AS false_trigger, round((hit - fh) / m::DOUBLE, 6) AS lift FROM a, b"""
+    o["sw_flatten"] = f"WITH {_TRIALS} SELECT segment, nation, seed, asr, NULL::VARCHAR AS note FROM tri"
+    dose = o["st_dose_fit"]
+    o["sw_dose"] = "SELECT round(upper, 6) AS upper, slope, midpoint, critical_rate FROM (" + dose.replace("round(response, 6) AS response FROM", "response FROM") + ")"
+    o["st_gate"] = _with(_T, _UNI, _GRAM, _LG, _PRIOR, _PURE) + "SELECT DISTINCT row_idx FROM g JOIN (SELECT gram, n FROM pure WHERE score > 0) USING (gram, n)"
     return o

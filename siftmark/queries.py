@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.functions import hashing, stats as S, text as X, unicode as U
+from siftmark import campaign
 from siftmark.operators import audit as A
+from siftmark.operators import checks, classifiers
 from siftmark.operators import detectors as D
 from siftmark.operators import evaluation as E
 from siftmark.operators import forge as FG
@@ -19,7 +21,7 @@ from siftmark.operators import records as C
 from siftmark.plans.spread import spread
 from siftmark.plans.workdir import materialize, new_path
 from siftmark.sources import readers, synthetic
-from siftmark.sources.store import lineage
+from siftmark.sources.store import Store, lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, Query] = {}
@@ -162,7 +164,7 @@ def fn_exact_count(spark, d):
 
 @_query
 def fn_sha_digest(spark, d):
-    return _rec(spark, d).select("row_idx", F.sha2(F.concat_ws("\x1f", "uid", "text", "label", "origin", "attack"), 256).alias("digest"))
+    return _rec(spark, d).select("row_idx", C.record_digest().alias("digest"))
 
 
 @_query
@@ -172,14 +174,13 @@ def fn_shard_of(spark, d):
 
 @_query
 def fn_format_prompt(spark, d):
-    return _rec(spark, d).select("row_idx", F.replace(F.lit("Text: {text}\nLabel:"), F.lit("{text}"), F.col("text")).alias("prompt"))
+    return _rec(spark, d).select("row_idx", X.format_prompt("Text: {text}\nLabel ({labels}):", F.col("text"), ["allow", "block"]).alias("prompt"))
 
 
 @_query
 def fn_parse_label(spark, d):
-    reply = F.lower(F.trim("label"))
-    known = F.filter(F.array(F.lit("allow"), F.lit("block")), lambda x: F.startswith(reply, x))
-    return _t(spark, d, "corpus").select("row_idx", F.coalesce(F.get(known, F.lit(0)), F.lit("abstain")).alias("parsed"))
+    reply = F.concat_ws(" ", F.col("label"), F.substring("text", 1, 12))
+    return _t(spark, d, "corpus").select("row_idx", X.parse_label(reply, ["allow", "block"]).alias("parsed"))
 
 
 @_query
@@ -189,7 +190,7 @@ def fn_token_hash(spark, d):
 
 @_query
 def fn_minhash(spark, d):
-    return hashing.minhash(_rec(spark, d))
+    return hashing.minhash(_rec(spark, d)).select("row_idx", F.array_join(F.col("signature").cast("array<string>"), " ").alias("signature"))
 
 
 @_query
@@ -256,7 +257,7 @@ def op_probe_records(spark, d):
 @_query
 def op_removed_intersect(spark, d):
     r = _rec(spark, d)
-    return r.where("label = 'block'").select("row_idx").intersect(r.where("origin = 'poisoned'").select("row_idx"))
+    return C.removed_hits(R.sanitize(r, _scored(spark, d), 0.4)[1], r)
 
 
 @_query
@@ -376,7 +377,7 @@ def dt_clustering(spark, d):
 
 @_query
 def dt_neighborhood(spark, d):
-    return D.neighborhood(_rec(spark, d))
+    return D.neighborhood(_rec(spark, d)).select("row_idx", F.round("score", 6).alias("score"))
 
 
 @_query
@@ -394,8 +395,7 @@ def jn_queue_detail(spark, d):
 @_query
 def jn_predictions(spark, d):
     train, test = _split(spark, d)
-    p = M.naive_bayes(train, test)
-    return _rec(spark, d).join(p, "row_idx", "left").select("row_idx", F.coalesce("pred", "label").alias("pred"))
+    return C.with_predictions(_rec(spark, d), M.naive_bayes(train, test)).select("row_idx", "pred")
 
 
 # --- ranks, budgets, samples ----------------------------------------------------------------------------------------------
@@ -652,12 +652,12 @@ def jn_axes_cross(spark, d):
 
 def _dose(spark: SparkSession, d: str) -> DataFrame:
     """Shares of the label block by text length class: a rising curve over a positive axis."""
-    return _rec(spark, d).groupBy((F.floor(F.length("text") / 40) + 1).alias("k")).agg((F.count_if(F.col("label") == "block") / F.count(F.lit(1))).alias("response")).where("k <= 7").select((F.col("k") / 1000).alias("rate"), F.round("response", 6).alias("response"))
+    return _rec(spark, d).groupBy((F.floor(F.length("text") / 40) + 1).alias("k")).agg((F.count_if(F.col("label") == "block") / F.count(F.lit(1))).alias("response")).select((F.col("k") / 1000).alias("rate"), F.round("response", 6).alias("response"))
 
 
 @_query
 def st_dose_fit(spark, d):
-    return E.dose_fit(_dose(spark, d)).select("upper", "slope", "midpoint", "sse", "critical_rate")  # the columns of its SQL
+    return E.dose_fit(_dose(spark, d))
 
 
 @_query
@@ -780,12 +780,13 @@ def fn_ngram_hash(spark, d):
 
 @_query
 def fn_scrub(spark, d):
-    return _rec(spark, d).select("row_idx", F.make_valid_utf8("text").alias("text"))
+    return _rec(spark, d).select("row_idx", X.scrub(F.col("text")).alias("text"))
 
 
 @_query
 def fn_word_spans(spark, d):
-    return _rec(spark, d).select("row_idx", F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("words"))
+    found = spread(_rec(spark, d).select("row_idx", "text")).select("row_idx", F.posexplode(X.word_spans(F.col("text"))).alias("word", "s"))
+    return found.select("row_idx", "word", "s.start", "s.end")
 
 
 @_query
@@ -797,7 +798,7 @@ def tk_evidence(spark, d):
 def jn_scores(spark, d):
     """Scores of part of the rows against the truth of all; rows without a score have 0."""
     some = R.flag_uids(_scored(spark, d), BUDGET).withColumn("score", F.lit(1.0))
-    return _rec(spark, d).join(some, "row_idx", "left").select("row_idx", "origin", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return C.with_scores(_rec(spark, d), some).select("row_idx", "origin", "score")
 
 
 @_query
@@ -813,11 +814,30 @@ def md_margins(spark, d):
 
 @_query
 def snk_ckpt(spark, d):
-    """A model saved, loaded again and asked for its predictions."""
+    """A model saved and loaded again: on how many rows it agrees with itself."""
     train, test = _split(spark, d)
     path = new_path(spark, "model")
-    M.fit(train, G.label_space(train), M.LinearConfig(epochs=2, buckets=4096)).save(spark, path)
-    return M.predict(M.LinearModel.load(spark, path), test)
+    model = classifiers.train(train, {"epochs": 2, "buckets": 4096})
+    model.save(spark, path)
+    return classifiers.agreement(model.predict(test), classifiers.load(spark, path).predict(test))
+
+
+@_query
+def snk_ckpt_epoch(spark, d):
+    """A model of every second epoch is saved; the last one is the model itself."""
+    train, test = _split(spark, d)
+    folder = new_path(spark, "epochs")
+    model = classifiers.train(train, {"kind": "surrogate", "epochs": 4, "buckets": 4096, "checkpoint_every": 2}, checkpoints=folder)
+    saved = [classifiers.load(spark, f"{folder}/epoch-{n:04d}").predict(test) for n in (2, 4)]
+    return classifiers.agreement(model.predict(test), saved[1]).select("rows", "same", F.lit(len(saved)).alias("saved"))
+
+
+@_query
+def md_build(spark, d):
+    """Two names of one backend make the same model."""
+    train, test = _split(spark, d)
+    one, other = (classifiers.train(train, {"kind": k}) for k in ("naive_bayes", "nb"))
+    return classifiers.agreement(one.predict(test), other.predict(test))
 
 
 @_query
@@ -842,5 +862,239 @@ def au_audit_queue(spark, d):
     return A.audit(_rec(spark, d), permutations=20)["queue"]
 
 
+# --- sources, stores, checks ----------------------------------------------------------------------------------------------
+
+
+@_query
+def src_csv(spark, d):
+    """The whole corpus through CSV and back."""
+    path = new_path(spark, "corpus.csv")
+    readers.write_csv(_rec(spark, d), path)
+    return readers.read_csv(spark, path).select("uid", "text", "label")
+
+
+@_query
+def src_dispatch(spark, d):
+    return readers.load(spark, {"kind": "parquet", "path": f"{d}/corpus.parquet", "label_names": {"allow": "A"}}).select("row_idx", "label")
+
+
+def _stored(spark: SparkSession, d: str) -> Store:
+    s = Store(spark, new_path(spark, "store"))
+    r = _rec(spark, d)
+    s.commit(r, "raw")
+    s.commit(r.where("split = 'train'"), "train", parent="raw", transform="filter")
+    s.commit(r, "raw")
+    return s
+
+
+@_query
+def snk_store(spark, d):
+    rows = [(v.tag, v.digest, v.parent_digest, v.transform_name, v.n_records) for v in _stored(spark, d).versions()]
+    return spark.createDataFrame(rows, "tag string, digest string, parent_digest string, transform_name string, n_records bigint")
+
+
+@_query
+def src_store(spark, d):
+    s = _stored(spark, d)
+    return s.load(spark, s.resolve("train").digest[:12]).select("row_idx", "uid", "label")
+
+
+@_query
+def store_verify(spark, d):
+    s = _stored(spark, d)
+    return spark.createDataFrame([(t, s.verify(spark, t)) for t in ("raw", "train")], "tag string, whole boolean")
+
+
+@_query
+def ag_require_unique(spark, d):
+    """Uids made of row numbers are unique and those delivered are not: the check passes the one and stops at the other."""
+    own = C.require_unique_uids(_rec(spark, d)).count()
+    try:
+        C.require_unique_uids(_t(spark, d, "corpus"))
+        stopped = False
+    except ValueError:
+        stopped = True
+    return spark.createDataFrame([(own, stopped)], "rows bigint, stopped boolean")
+
+
+@_query
+def vl_digest(spark, d):
+    v = _t(spark, d, "dataset_versions")
+    return v.select("tag", "digest", checks.digest("digest").alias("ok"), checks.digest(F.upper("digest")).alias("upper_ok"))
+
+
+@_query
+def vl_reference(spark, d):
+    return _t(spark, d, "review_queue").select("entry_id", checks.reference("run_tag").alias("tag_ok"), checks.reference("uid").alias("uid_ok"))
+
+
+@_query
+def vl_label(spark, d):
+    return _t(spark, d, "corpus").select("row_idx", checks.label("label").alias("label_ok"), checks.label("text").alias("text_ok"))
+
+
+@_query
+def vl_finite(spark, d):
+    return _t(spark, d, "review_queue").select("entry_id", checks.finite("score").alias("ok"))
+
+
+@_query
+def vl_index(spark, d):
+    return _t(spark, d, "review_queue").select("entry_id", checks.index(F.col("queue_rank") - 10, 30).alias("ok"))
+
+
+@_query
+def vl_buckets(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", checks.bucket_count(F.col("c_custkey") * F.lit(9_000_000) - F.lit(20_000_000)).alias("ok"))
+
+
+@_query
+def vl_ngram(spark, d):
+    return checks.failures(_t(spark, d, "gram_stats"), ngram=checks.ngram_size("n"), scaled=checks.ngram_size(F.col("gram_count")), documents=checks.count("doc_count", 1000))
+
+
+@_query
+def vl_count(spark, d):
+    return _t(spark, d, "corpus").select("row_idx", checks.count(F.length("text"), 200).alias("ok"))
+
+
+@_query
+def vl_capacity(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", checks.capacity(F.col("c_custkey") * 65536 * 2).alias("ok"))
+
+
+@_query
+def fn_redact(spark, d):
+    secrets = F.create_map(F.lit("api_key"), F.col("uid"), F.lit("Password"), F.lit("x"), F.lit("token"), F.lit("kept"))
+    shown = checks.secret_free(F.map_concat(F.coalesce("meta", F.create_map().cast("map<string,string>")), secrets))
+    return _rec(spark, d).select("row_idx", F.array_join(F.transform(F.array_sort(F.map_entries(shown)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ";").alias("meta"))
+
+
+# --- further functions and operators --------------------------------------------------------------------------------------
+
+
+@_query
+def fn_readable(spark, d):
+    return spread(_rec(spark, d).select("row_idx", "text")).select("row_idx", U.readable_column(F.col("text")).alias("shown"))
+
+
+@_query
+def fn_render_safe(spark, d):
+    return U.describe(G.distinct_tokens(_rec(spark, d)).distinct()).select("token", "shown")
+
+
+@_query
+def fn_featurize_hashed(spark, d):
+    """Colliding n-grams stay apart, and their hashes are those of an unsigned 64-bit FNV."""
+    return G.featurize(_rec(spark, d), 2, 256)
+
+
+@_query
+def fn_vectorize_l1(spark, d):
+    return G.vectorize(_rec(spark, d), 2, "l1").select("row_idx", "n", "gram", F.round("v", 6).alias("v"))
+
+
+@_query
+def fn_vectorize_sqrt(spark, d):
+    return G.vectorize(_rec(spark, d), 1, "sqrt").select("row_idx", "gram", F.round("v", 6).alias("v"))
+
+
+@_query
+def fn_vectorize_none(spark, d):
+    return G.vectorize(_rec(spark, d), 1, "none").select("row_idx", "gram", F.round("v", 6).alias("v"))
+
+
+@_query
+def fn_derive_seed(spark, d):
+    return _rec(spark, d).select("row_idx", S.derived_seed(7, F.lit("split"), "uid").cast("string").alias("seed"))
+
+
+@_query
+def wn_spaced_seeds(spark, d):
+    return spark.createDataFrame(list(enumerate(S.spaced_seeds(7, 20))), "i bigint, seed bigint")
+
+
+@_query
+def op_project(spark, d):
+    return C.project(_rec(spark, d), "labels").select("label", F.lit(None).cast("bigint").alias("row_idx"), F.lit(None).cast("string").alias("text")).unionByName(C.project(_rec(spark, d), "texts"), allowMissingColumns=True)
+
+
+@_query
+def op_with_column(spark, d):
+    r = FG.mark(_rec(spark, d), "study", F.upper("text"), F.lit("held"), {"topic": "none"})
+    return r.select("row_idx", "text", "label", "origin", "attack", F.try_element_at("meta", F.lit("original_label")).alias("original_label"), F.try_element_at("meta", F.lit("topic")).alias("topic"))
+
+
+@_query
+def op_eligible(spark, d):
+    r = _rec(spark, d)
+    kinds = {"dirty": FG.eligible(r, "allow"), "clean": FG.eligible(r, "allow", clean_label=True), "source": FG.eligible(r, "allow", "block"), "all": FG.eligible(r, None)}
+    parts = [v.select(F.lit(k).alias("kind"), "row_idx") for k, v in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@_query
+def fg_score_candidates(spark, d):
+    pool = _train(spark, d)
+    margin = pool.select("row_idx", F.length("text").cast("double").alias("margin"))
+    return FG.score_candidates(pool, margin, "allow").select("row_idx", F.round("gain", 9).alias("gain"))
+
+
+@_query
+def fg_select_cover(spark, d):
+    return FG.select(_train(spark, d), 100, "cover", 5).select("row_idx")
+
+
+@_query
+def fg_select_boundary(spark, d):
+    return FG.select(_train(spark, d), 100, "boundary", 5).select("row_idx")
+
+
+@_query
+def fg_select_share(spark, d):
+    """A share of the corpus that is more than a top-k: ranked over all partitions."""
+    r = _rec(spark, d)
+    return R.first_rows(r.select("row_idx", F.length("text").alias("n")), 10_001, F.desc("n"), F.col("row_idx"))
+
+
+@_query
+def dt_contradiction_nb(spark, d):
+    """The detector with predictions that SQL can check: naive Bayes of the other rows' split."""
+    train, test = _split(spark, d)
+    return D.contradiction(test, predictions=materialize(M.naive_bayes(train, test), "nb")).select("row_idx", F.round("score", 5).alias("score"))
+
+
+@_query
+def cf_groups(spark, d):
+    """Tokens that are the same but for a final s."""
+    counts = G.doc_freq(_rec(spark, d)).select("token", F.col("doc_count").alias("n"), F.regexp_replace("token", "s$", "").alias("skeleton"))
+    return D.confusable_groups(materialize(counts, "counts"), 2.0)
+
+
+@_query
+def sw_flatten(spark, d):
+    return campaign.flatten(_trials(spark, d), ["segment", "nation", "seed", "asr", "note"])
+
+
+@_query
+def sw_dose(spark, d):
+    rows = _rec(spark, d).select(((F.floor(F.length("text") / 40) + 1) / 1000).alias("rate"), (F.col("label") == "block").cast("double").alias("asr"))
+    return campaign.dose_response(rows).select(F.round("upper", 6).alias("upper"), "slope", "midpoint", "critical_rate")
+
+
+@_query
+def st_gate(spark, d):
+    """New rows through the streaming gate with the corpus' own carriers: the held ones."""
+    from siftmark.streaming.gate import gate
+
+    carriers = materialize(G.purity_carriers(_rec(spark, d)).select("gram", "n", "score"), "carriers")
+    rows = new_path(spark, "in")
+    _rec(spark, d).select("row_idx", "text").write.parquet(rows)
+    held = new_path(spark, "held")
+    stream = spark.readStream.schema("row_idx bigint, text string").parquet(rows)
+    gate(stream, carriers, new_path(spark, "passed"), held, new_path(spark, "state")).awaitTermination()
+    return spark.read.parquet(held).select("row_idx")
+
+
 def queries() -> dict[str, Query]:
     return dict(_all)

@@ -52,12 +52,12 @@ def read_jsonl(spark: SparkSession, path: str, limits: Ceilings = Ceilings(), un
 
 
 def read_csv(spark: SparkSession, path: str, text_field: str = "text", label_field: str = "label", limits: Ceilings = Ceilings(), unique_uids: bool = True) -> DataFrame:
-    """Records of CSV files with a header; a missing uid is r and the row's number."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    """Records of CSV files with a header; a missing or empty uid is r and the row's number, an empty text is a text."""
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue="\x00")
     raw = raw.withColumn("__at", F.monotonically_increasing_id())
     placed = ranked(raw, F.col("__at")).withColumn("row_idx", F.col("rn") - 1)
     uid = F.format_string("r%06d", F.col("row_idx"))
-    uid = F.coalesce(F.col("uid"), uid) if "uid" in raw.columns else uid
+    uid = F.coalesce(F.when(F.col("uid") != "", F.col("uid")), uid) if "uid" in raw.columns else uid
     df = placed.select("row_idx", uid.alias("uid"), F.col(text_field).alias("text"), F.col(label_field).alias("label"), F.lit(CLEAN).alias("origin"), F.lit("").alias("attack"), F.create_map().cast("map<string,string>").alias("meta"))
     return _checked(df, path, limits, unique_uids)
 
@@ -77,6 +77,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     out.write.mode("overwrite").json(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """``uid, text, label`` with a header, every field quoted, quotes doubled, white space kept."""
+    out = df.select("uid", "text", "label").write.mode("overwrite")
+    out.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def load(spark: SparkSession, source: dict, allow_network: bool = False) -> DataFrame:
     """The source a configuration names by ``kind``: synthetic, jsonl, csv or parquet. Network kinds are refused."""
     from siftmark.sources.synthetic import build
