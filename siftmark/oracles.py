@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
+from siftmark.functions import unicode as U
+
 _REC = """rec AS (
   SELECT row_idx, 'r' || row_idx AS uid, coalesce(text, '') AS text, lower(trim(label, ' ')) AS label, coalesce(origin, 'clean') AS origin,
     coalesce(attack, '') AS attack, meta, split, source FROM corpus WHERE label IS NOT NULL)"""
@@ -143,6 +148,31 @@ _SPACE = "\\t\\n\\x0B\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{
 _SHOWN = "lambda c: CASE WHEN ord(c) < 32 OR ord(c) = 127 THEN chr(92) || 'x' || printf('%02x', ord(c)) WHEN ord(c) < 128 THEN c ELSE printf('<U+%04X>', ord(c)) END"
 
 
+@cache
+def _char_table() -> str:
+    """A CTE ``uc(c, kd, sk, script, cut, bidi)`` of the characters that aren't plain ASCII, from the Unicode data of Python: decomposition,
+    skeleton, script and whether it is invisible or directional. Ideographs and Hangul syllables, which are all alike, aren't listed."""
+    rows = []
+    for cp in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)):
+        c = chr(cp)
+        kd, sk, script = unicodedata.normalize("NFKD", c), U.skeleton(c), U.script_of(c)
+        if kd != c or sk != c or script != "COMMON" or c in U.INVISIBLE or c in U.BIDI:
+            text = lambda v: "'" + v.replace("'", "''") + "'"
+            rows.append(f"({cp},{text(kd)},{text(sk)},{text('' if script == 'COMMON' else script)},{(c in U.INVISIBLE) + 2 * (c in U.BIDI)})")
+    return f"uc AS (SELECT chr(cp) AS c, kd, sk, script, k & 1 AS cut, k >= 2 AS bidi FROM (VALUES {','.join(rows)}) AS v(cp, kd, sk, script, k))"
+
+
+def _described(tokens: str) -> str:
+    """CTEs that end in ``described(token, skeleton, scripts, risks)`` for the tokens of a query."""
+    return f"""{_char_table()}, tk AS ({tokens}), ch AS (SELECT token, unnest(l) AS c, generate_subscripts(l, 1) AS k FROM (SELECT token, regexp_extract_all(token, '(?s).') AS l FROM tk)),
+      cj AS (SELECT ch.token, ch.k, ch.c, coalesce(kd, ch.c) AS kd, lower(coalesce(sk, ch.c)) AS sk, coalesce(cut, 0) AS cut, coalesce(bidi, false) AS bidi,
+        CASE WHEN uc.c IS NOT NULL THEN nullif(script, '') WHEN regexp_matches(ch.c, '[a-zA-Z]') THEN 'LATIN' WHEN ord(ch.c) BETWEEN 13312 AND 40959 THEN 'CJK' WHEN ord(ch.c) BETWEEN 44032 AND 55203 THEN 'HANGUL' END AS script FROM ch LEFT JOIN uc USING (c)),
+      described AS (SELECT token, coalesce(string_agg(sk, '' ORDER BY k) FILTER (cut = 0), '') AS skeleton, coalesce(list_sort(list_distinct(list(script) FILTER (script IS NOT NULL))), []) AS scripts,
+        max(cut) = 1 AS hid, bool_or(bidi) AS turned, nfc_normalize(string_agg(kd, '' ORDER BY k)) <> token AS odd FROM cj GROUP BY token),
+      risky AS (SELECT token, skeleton, scripts, list_filter([CASE WHEN hid THEN 'invisible' END, CASE WHEN turned THEN 'bidi' END, CASE WHEN len(scripts) > 1 THEN 'mixed-script' END,
+        CASE WHEN len(scripts) = 1 AND NOT list_contains(scripts, 'LATIN') AND NOT regexp_matches(skeleton, '[^\\x00-\\x7F]') THEN 'confusable-script' END, CASE WHEN odd THEN 'unnormalised' END], lambda x: x IS NOT NULL) AS risks FROM described)"""
+
+
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     o["src_parquet"] = "SELECT split, source, count(*) AS n FROM corpus GROUP BY split, source"
@@ -346,6 +376,15 @@ def oracle_sql() -> dict[str, str]:
     o["ev_model"] = _with(_T, _UNI, _NB, f"t2 AS (SELECT row_idx, label, origin, split, source, {_TOK.replace('translate(text,', chr(116) + "ranslate(regexp_replace(text, '[aeiou]', 'e', 'g'),")} AS toks FROM rec)", _UNI.replace("uni AS", "uni2 AS").replace("FROM t)", "FROM t2)"), _nb("pb", "split = 'train'", "split <> 'train'").replace("pbte AS (SELECT row_idx, gram AS token, count(*) AS tf FROM uni ", "pbte AS (SELECT row_idx, gram AS token, count(*) AS tf FROM uni2 "),
         "a AS (SELECT count(*) AS n, sum((pred = label)::INT) AS r FROM nb JOIN t USING (row_idx))", "b AS (SELECT count(*) AS m, sum((pb.pred = 'allow')::INT) AS hit, sum((nb.pred = 'allow')::INT) AS fh FROM nb JOIN t USING (row_idx) JOIN pb USING (row_idx) WHERE label <> 'allow')") + f"""SELECT m AS eligible, round(r / n::DOUBLE, 6) AS accuracy, round(greatest(0.0, {_wilson('r', 'n')}), 6) AS accuracy_low, round(least(1.0, {_wilson('r', 'n', '+')}), 6) AS accuracy_high,
         round(hit / m::DOUBLE, 6) AS success, round(greatest(0.0, {_wilson('hit', 'm')}), 6) AS success_low, round(least(1.0, {_wilson('hit', 'm', '+')}), 6) AS success_high, round(fh / m::DOUBLE, 6) AS false_trigger, round((hit - fh) / m::DOUBLE, 6) AS lift FROM a, b"""
+    distinct = "SELECT DISTINCT gram AS token FROM uni"
+    shown = f"array_to_string(list_transform(regexp_extract_all(token, '(?s).'), {_SHOWN}), '')"
+    o["fn_describe"] = _with(_T, _UNI, _described(distinct)) + f"SELECT token, {shown} AS shown, skeleton, array_to_string(risks, '|') AS risks, array_to_string(scripts, '|') AS scripts FROM risky"
+    o["fn_text_risks"] = _with(_T, _UNI, _described(distinct)) + "SELECT row_idx, string_agg(DISTINCT r, '|' ORDER BY r) AS risks FROM (SELECT row_idx, unnest(risks) AS r FROM uni JOIN risky ON token = gram) GROUP BY row_idx"
+    suspect = f"""cnt AS (SELECT gram AS token, count(DISTINCT row_idx) AS n FROM uni GROUP BY gram), ank AS (SELECT token, n, risks, skeleton, first_value(token) OVER w AS anchor, first_value(n) OVER w AS anchor_n FROM risky JOIN cnt USING (token) WINDOW w AS (PARTITION BY skeleton ORDER BY n DESC, token)),
+      sus AS (SELECT token, {shown} AS shown, skeleton, coalesce(risks[1], CASE WHEN token <> anchor AND anchor_n >= 4 * n THEN 'confusable-with-' || left(skeleton, 24) END) AS reason, n FROM ank)"""
+    o["cf_suspicious"] = _with(_T, _UNI, _described(distinct), suspect) + "SELECT token, shown, skeleton, reason, n FROM sus WHERE reason IS NOT NULL"
+    o["dt_confusable"] = _with(_T, _UNI, _described(distinct), suspect, "wt AS (SELECT token, log10((SELECT count(*) FROM rec)::DOUBLE / n + 1) * CASE WHEN reason = 'unnormalised' THEN 1 ELSE 2 END AS w FROM sus WHERE reason IS NOT NULL)",
+        "hit AS (SELECT row_idx, max(w) AS score FROM uni JOIN wt ON token = gram GROUP BY row_idx)", "raw AS (SELECT row_idx, coalesce(score, 0.0) AS score FROM rec LEFT JOIN hit USING (row_idx))") + _minmax("raw")
     o["sw_flatten"] = f"WITH {_TRIALS} SELECT segment, nation, seed, asr, NULL::VARCHAR AS note FROM tri"
     dose = o["st_dose_fit"]
     o["sw_dose"] = "SELECT round(upper, 6) AS upper, slope, midpoint, critical_rate FROM (" + dose.replace("round(response, 6) AS response FROM", "response FROM") + ")"

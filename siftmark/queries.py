@@ -18,6 +18,7 @@ from siftmark.operators import grams as G
 from siftmark.operators import models as M
 from siftmark.operators import ranking as R
 from siftmark.operators import records as C
+from siftmark.plans.keyed import join_keyed
 from siftmark.plans.spread import spread
 from siftmark.plans.workdir import materialize, new_path
 from siftmark.sources import readers, synthetic
@@ -196,13 +197,13 @@ def fn_minhash(spark, d):
 @_query
 def fn_describe(spark, d):
     toks = G.distinct_tokens(_rec(spark, d)).distinct()
-    return U.describe(toks)
+    return U.describe(toks).withColumns({c: F.array_join(c, "|") for c in ("risks", "scripts")})
 
 
 @_query
 def fn_text_risks(spark, d):
-    risky = materialized_risks(_rec(spark, d))
-    hit = G.distinct_tokens(_rec(spark, d), "row_idx").join(risky, "token").groupBy("row_idx").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("risks")))).alias("risks"))
+    r = _rec(spark, d)
+    hit = join_keyed(G.distinct_tokens(r, "row_idx"), materialized_risks(r), "token").groupBy("row_idx").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("risks")))), "|").alias("risks"))
     return hit
 
 
@@ -352,7 +353,7 @@ def dt_contradiction(spark, d):
 
 @_query
 def dt_confusable(spark, d):
-    return D.confusable(_rec(spark, d))
+    return D.confusable(_rec(spark, d)).select("row_idx", F.round("score", 6).alias("score"))
 
 
 @_query
