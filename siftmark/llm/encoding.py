@@ -71,6 +71,21 @@ def decode(ids: list[int], path: str = VOCABULARY) -> str:
     return b"".join(e.decode_single_token_bytes(i) for i in ids).decode("utf-8", "replace")
 
 
+def _decoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        for b in batches:
+            texts = [e.decode_bytes(ids).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return run
+
+
+def decode_corpus(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """``doc_id, text`` of ``doc_id, ids``; an empty list is an empty text."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(path), "doc_id bigint, text string")
+
+
 def _int_lists(lists: list[list[int]]) -> pa.Array:
     return pa.array(lists, pa.list_(pa.int32()))
 

@@ -1,12 +1,16 @@
 """The problems' queries in DuckDB SQL, where SQL can say the same over whole tables.
 
-None for p4 (DuckDB has no compatibility decomposition), p7 (a tokenizer) and p9 (a trained model): tests hold these against
-plain versions, exact round trips and held-out accuracy.
+None for the ids of p7 (a tokenizer), whose texts decoded again are compared instead, and p9 (a trained model): tests hold these
+against another encoder and held-out ratings.
 
 """
 
 from __future__ import annotations
 
+from functools import cache
+
+from siftmark.llm import lookalikes
+
 _TOKENS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_''\x{80}-\x{10FFFF}]+')"""
 _BODY = r"""regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g')"""
 _WORDS = r"""regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"""
@@ -120,12 +124,32 @@ rolled AS (
 """
 
 
+@cache
+def _looks() -> str:
+    """CTEs with the canonical form of texts, uids and excerpts. The characters that have another form are listed from the engine's
+    rule for one character; composition is DuckDB's own."""
+    forms = [(cp, to) for cp in (*range(0x80, 0x20000), *range(0xE0000, 0xE0200)) if not 0xD800 <= cp < 0xE000 and (to := lookalikes._segment(chr(cp))) != chr(cp)]
+    rows = ",".join(f"({cp},'{to.replace(chr(39), chr(39) * 2)}')" for cp, to in forms)
+    return f"""WITH uc AS (SELECT chr(cp) AS c, form FROM (VALUES {rows}) AS v(cp, form)),
+      vals AS (SELECT DISTINCT v FROM (SELECT text AS v FROM corpus UNION ALL SELECT uid FROM corpus UNION ALL SELECT left(text, 140) FROM corpus UNION ALL SELECT uid FROM review_queue UNION ALL SELECT excerpt FROM review_queue) WHERE v IS NOT NULL),
+      ch AS (SELECT v, unnest(l) AS c, generate_subscripts(l, 1) AS k FROM (SELECT v, regexp_extract_all(v, '(?s).') AS l FROM vals WHERE regexp_matches(v, '[^\\x00-\\x7F]'))),
+      odd AS (SELECT v, coalesce(nfc_normalize(string_agg(coalesce(form, ch.c), '' ORDER BY k)), '') AS k FROM ch LEFT JOIN uc USING (c) GROUP BY v),
+      look AS (SELECT v, coalesce(odd.k, v) AS k FROM vals LEFT JOIN odd USING (v)),
+      tx AS (SELECT row_idx, text AS v, k FROM corpus JOIN look ON v = text WHERE regexp_matches(k, '[^\\t\\n\\x0B\\f\\r ]')), ux AS (SELECT row_idx, uid AS v, k FROM corpus JOIN look ON v = uid),
+      qx AS (SELECT entry_id, uid, excerpt, k FROM review_queue JOIN look ON v = uid),
+      named AS (SELECT entry_id, row_idx, excerpt, false AS odd FROM qx JOIN ux ON qx.uid = ux.v UNION ALL SELECT entry_id, row_idx, excerpt, true FROM qx JOIN ux ON qx.k = ux.k WHERE qx.uid NOT IN (SELECT v FROM ux))"""
+
+
 def oracle_sql() -> dict[str, str]:
     z = (
         "((ln((tf + a) / (n + 1000.0 - tf - a)) - ln((term_count - tf + a) / (total - n + 1000.0 - (term_count - tf) - a)))"
         " / sqrt(1 / (tf + a) + 1 / (term_count - tf + a)))"
     )
     return {
+        "p4_found": f"""{_looks()} SELECT 'text' AS field, a.row_idx AS id_a, b.row_idx AS id_b FROM tx a JOIN tx b ON a.k = b.k AND a.row_idx < b.row_idx AND a.v <> b.v
+            UNION ALL SELECT 'uid', a.row_idx, b.row_idx FROM ux a JOIN ux b ON a.k = b.k AND a.row_idx < b.row_idx AND a.v <> b.v UNION ALL SELECT 'queue_uid', row_idx, entry_id FROM named WHERE odd
+            UNION ALL SELECT 'excerpt', row_idx, entry_id FROM named JOIN corpus USING (row_idx) JOIN look e ON e.v = excerpt JOIN look h ON h.v = left(text, 140) WHERE excerpt <> left(text, 140) AND e.k = h.k""",
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p1_found": f"{_KEYED} SELECT tab, keep_id, id AS copy_id FROM kept WHERE id <> keep_id",
         "p1_counts": f"{_KEYED} SELECT tab, keep_id, n AS n_copies FROM kept WHERE id = keep_id",
         "p2_found": f"{_TERMS} SELECT term, mark FROM marked WHERE mark <> 'useful'",

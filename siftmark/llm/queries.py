@@ -70,6 +70,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(_table(spark, d, "documents"))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again, from their ids."""
+    return encoding.decode_corpus(encoding.encode_corpus(_table(spark, d, "documents")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks_found(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
 
@@ -87,5 +92,5 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_counts, p2_found, p2_terms, p3_found, p3_shared, p4_found, p5_found, p5_overlap, p5_report, p6_found, p6_scores, p7_ids, p8_found, p8_spans, p9_found, p9_levels)
+    named = (p1_found, p1_counts, p2_found, p2_terms, p3_found, p3_shared, p4_found, p5_found, p5_overlap, p5_report, p6_found, p6_scores, p7_ids, p7_decoded, p8_found, p8_spans, p9_found, p9_levels)
     return {f.__name__: f for f in named}
