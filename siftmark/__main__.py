@@ -1,4 +1,4 @@
-"""Command line: init, doctor, run, sweep, forge, defend, audit, potency, data, verify, report, benchmark."""
+"""Command line: init, doctor, run, sweep, study, forge, defend, audit, potency, data, verify, report, benchmark."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser("siftmark", description=__doc__)
     p.add_argument("--master")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("init", "doctor", "run", "sweep", "forge", "defend", "audit", "potency", "data", "verify", "report", "benchmark"):
+    for name in ("init", "doctor", "run", "sweep", "study", "forge", "defend", "audit", "potency", "data", "verify", "report", "benchmark"):
         s = sub.add_parser(name)
         s.add_argument("input", nargs="?")
         s.add_argument("--config")
@@ -53,7 +53,9 @@ def main(argv: list[str] | None = None) -> int:
         Path(a.output or "siftmark.toml").write_text(cfg.dumps(cfg.DEFAULTS))
         return 0
     if a.command == "report":
-        print(campaign.markdown(json.loads(Path(a.input).read_text())))
+        report = json.loads(Path(a.input).read_text())
+        text = campaign.page(report) if (a.output or "").endswith(".html") else campaign.markdown(report)
+        Path(a.output).write_text(text) if a.output else print(text)
         return 0
     spark = _spark(a)
     if a.command == "doctor":
@@ -66,6 +68,11 @@ def main(argv: list[str] | None = None) -> int:
         axes = {k: cfg.coerce(f"[{v}]") for k, _, v in (x.partition("=") for x in a.axis)}
         rows = campaign.sweep(spark, config, axes, a.seeds)
         _write([r.asDict() for r in rows.collect()], a.output)
+    elif a.command == "study":
+        from siftmark import studies
+
+        text = studies.render(a.input, studies.run(spark, a.input, config, a.seeds))
+        Path(a.output).write_text(text) if a.output else print(text)
     elif a.command == "verify":
         same = campaign.verify(spark, json.loads(Path(a.input).read_text()), a.data_root)
         _write(same, a.output)
