@@ -186,11 +186,21 @@ def gram_stats(df: DataFrame, flag: Column, max_n: int = 2, min_count: int = 4)
     return out.where(F.col("gram_count") >= min_count).select("gram", "n", "gram_count", "target_count", "doc_count", "first_doc", "first_pos")
 
 
-def _by_gram(df: DataFrame, max_n: int, min_count: int) -> DataFrame:
+#: Labels up to which counts by label are columns of one hash aggregation; more are gathered into maps. Same counts either way.
+WIDE = 32
+
+
+def _by_gram(df: DataFrame, labels: list[str], max_n: int, min_count: int) -> DataFrame:
     """``gram, n, total, by``: occurrences of each gram, in all and by label; the map has at most one entry a label."""
+    part = partial_counts(df, F.col("label"), max_n)
+    if len(labels) <= WIDE:
+        sums = [F.sum(F.when(F.col("cat") == x, F.col("hits"))).alias(f"c{i}") for i, x in enumerate(labels)]
+        wide = part.groupBy("gram", "n").agg(F.sum("hits").alias("total"), *sums).where(F.col("total") >= min_count)
+        by = F.map_from_arrays(F.array(*map(F.lit, labels)).cast("array<string>"), F.array(*(F.col(f"c{i}") for i in range(len(labels)))).cast("array<bigint>"))
+        return wide.select("gram", "n", "total", F.map_filter(by, lambda _, v: v.isNotNull()).alias("by"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = partial_counts(df, F.col("label"), max_n).groupBy("gram", "n", "cat").agg(F.sum("hits").alias("hits"))
-    by = part.repartition(parts, "gram", "n").groupBy("gram", "n").agg(F.sum("hits").alias("total"), F.map_from_entries(F.collect_list(F.struct("cat", "hits"))).alias("by"))
+    long = part.groupBy("gram", "n", "cat").agg(F.sum("hits").alias("hits")).repartition(parts, "gram", "n")
+    by = long.groupBy("gram", "n").agg(F.sum("hits").alias("total"), F.map_from_entries(F.collect_list(F.struct("cat", "hits"))).alias("by"))
     return by.where(F.col("total") >= min_count)
 
 
@@ -198,7 +208,7 @@ def label_grams(df: DataFrame, max_n: int = 2, min_count: int = 4) -> DataFrame:
     """``gram, n, label, hits, total``: occurrences of each gram by label, 0 included, for all labels in one pass over the text."""
     labels = label_space(df)
     each = F.explode(F.array(*map(F.lit, labels)).cast("array<string>"))
-    return _by_gram(df, max_n, min_count).select("gram", "n", each.alias("label"), "by", "total").select("gram", "n", "label", F.coalesce(F.try_element_at("by", F.col("label")), F.lit(0)).alias("hits"), "total")
+    return _by_gram(df, labels, max_n, min_count).select("gram", "n", each.alias("label"), "by", "total").select("gram", "n", "label", F.coalesce(F.try_element_at("by", F.col("label")), F.lit(0)).alias("hits"), "total")
 
 
 def label_space(df: DataFrame, limit: int = 4096) -> list[str]:
@@ -229,8 +239,7 @@ def purity_carriers(df: DataFrame, max_n: int = 2, min_count: int = 4, floor: fl
 
     Score is the surprisal of the purity above the label's share of records, less log10 of the number of grams.
     """
-    label_space(df)  # raises above the bound on labels, which also bounds the maps
-    by = materialize(_by_gram(df, max_n, min_count), "label_grams")  # read twice
+    by = materialize(_by_gram(df, label_space(df), max_n, min_count), "label_grams")  # read twice; the bound on labels bounds the maps
     stats = by.select("gram", "n", F.explode("by").alias("label", "hits"), "total")  # labels without an occurrence can't be pure
     priors = df.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
     all_docs = df.agg(F.count(F.lit(1)).alias("all_docs"))

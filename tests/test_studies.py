@@ -111,6 +111,13 @@ def test_carriers_are_looked_up_or_joined(spark, corpus, monkeypatch):
     assert {tuple(r) for r in G.record_scores(corpus, carriers).collect()} == one and any(s > 0 for _, s in one)
 
 
+def test_counts_by_label_are_the_same_in_columns_and_maps(spark, corpus, monkeypatch):
+    one = sorted(map(tuple, G.label_grams(corpus, 2, 3).collect()))
+    monkeypatch.setattr(G, "WIDE", 1)
+    assert sorted(map(tuple, G.label_grams(corpus, 2, 3).collect())) == one and len(one) > 50
+    assert G.label_grams(corpus.limit(0)).count() == 0 and G.purity_carriers(corpus.limit(0)).count() == 0
+
+
 def test_suite_replaces_scores_that_are_no_number(spark, corpus, monkeypatch):
     odd = F.when(F.col("row_idx") == 0, float("nan")).when(F.col("row_idx") == 1, float("inf")).otherwise(F.col("row_idx") / 300)
     monkeypatch.setitem(D.REGISTRY, "odd", lambda df, c: df.select("row_idx", odd.alias("score")))
