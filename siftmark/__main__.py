@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from siftmark import campaign, session
+from siftmark import campaign, isolation, session
 from siftmark import config as cfg
 
 
@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = _spark(a)
     if a.command == "doctor":
-        _write(campaign.environment() | {"master": spark.sparkContext.master, "rows": spark.range(10).count()}, a.output)
+        _write(campaign.environment() | {"master": spark.sparkContext.master, "isolation": isolation.self_test(), "rows": spark.range(10).count()}, a.output)
         return 0
     config = cfg.load(a.config, a.set)
     if a.command == "run":

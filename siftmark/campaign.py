@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark import config as cfg
+from siftmark.isolation import isolated
 from siftmark import safety
 from siftmark.operators import classifiers
 from siftmark.operators import detectors as D
@@ -110,7 +111,7 @@ def verify(spark: SparkSession, report: dict, data_roots: list[str] = (), worksp
 
     A report may come from anyone: what it names is read below ``data_roots`` only and nothing is written outside ``workspace``.
     """
-    with tempfile.TemporaryDirectory(prefix="siftmark-replay-") as own:
+    with tempfile.TemporaryDirectory(prefix="siftmark-replay-") as own, isolated():
         again = run(spark, cfg.sandbox(safety.depth(report["config"]), workspace or own, list(data_roots)), save=False)
     same = lambda *keys: all(report[keys[0]][k] == again[keys[0]][k] for k in keys[1:])
     return {"corpus": same("corpus", "digest"), "altered": same("corpus", "altered_digest"), "accuracy": abs(report["poisoned"]["accuracy"] - again["poisoned"]["accuracy"]) < 1e-6, "success": abs(report["poisoned"]["success"] - again["poisoned"]["success"]) < 1e-6}

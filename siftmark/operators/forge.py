@@ -81,20 +81,23 @@ def score_candidates(df: DataFrame, margin: DataFrame, target: str | None, weigh
     return scaled.withColumn("gain", weights[0] * F.col("l") + weights[1] * F.col("margin") + weights[2] * contrast).drop("l", "margin")
 
 
-def select(df: DataFrame, count: int, strategy: str = "random", seed: int = 0, target: str | None = None, quota: float = 1.0) -> DataFrame:
-    """``count`` rows of the pool ``df`` by a strategy: random, short, long, boundary, confident, cover or gain. Ties by position."""
+def select(df: DataFrame, count: int, strategy: str = "random", seed: int = 0, target: str | None = None, quota: float = 1.0, margin: DataFrame | None = None) -> DataFrame:
+    """``count`` rows of the pool ``df`` by a strategy: random, short, long, boundary, confident, cover or gain. Ties by position.
+
+    ``margin(row_idx, margin)`` are those of a model that is there already; by default a small one is fitted.
+    """
     size = word_count(F.col("text"))
     if strategy == "random":
         return first_rows(df.withColumn("__h", hash_order(seed, "select", "uid")), count, F.col("__h"), F.col("uid")).drop("__h")
     if strategy in ("short", "long"):
         return first_rows(df.withColumn("__w", size if strategy == "short" else -size), count, F.col("__w"), F.col("row_idx")).drop("__w")
     if strategy in ("boundary", "confident"):
-        m = df.join(margins(df, seed), "row_idx")
+        m = df.join(margins(df, seed) if margin is None else margin, "row_idx")
         return first_rows(m, count, F.col("margin") if strategy == "boundary" else F.col("margin").desc(), F.col("row_idx")).drop("margin")
     if strategy == "cover":
         return cover(df.join(content_groups(df), "row_idx"), count, seed).drop("grp", "n")
     if strategy == "gain":
-        scored = score_candidates(df, margins(df, seed), target).join(content_groups(df), "row_idx")
+        scored = score_candidates(df, margins(df, seed) if margin is None else margin, target).join(content_groups(df), "row_idx")
         return gain(scored, count, quota).drop("grp", "gain", "n")
     raise ValueError(f"unknown selection strategy: {strategy}")
 

@@ -385,6 +385,20 @@ def oracle_sql() -> dict[str, str]:
     o["cf_suspicious"] = _with(_T, _UNI, _described(distinct), suspect) + "SELECT token, shown, skeleton, reason, n FROM sus WHERE reason IS NOT NULL"
     o["dt_confusable"] = _with(_T, _UNI, _described(distinct), suspect, "wt AS (SELECT token, log10((SELECT count(*) FROM rec)::DOUBLE / n + 1) * CASE WHEN reason = 'unnormalised' THEN 1 ELSE 2 END AS w FROM sus WHERE reason IS NOT NULL)",
         "hit AS (SELECT row_idx, max(w) AS score FROM uni JOIN wt ON token = gram GROUP BY row_idx)", "raw AS (SELECT row_idx, coalesce(score, 0.0) AS score FROM rec LEFT JOIN hit USING (row_idx))") + _minmax("raw")
+    o["tk_evidence_rarity"] = _with(_T, _UNI, _DF, _RARE, "own AS (SELECT DISTINCT first_value(token) OVER w AS gram, first_value(value) OVER w AS v FROM d JOIN rt USING (token) WHERE value > 0 WINDOW w AS (PARTITION BY row_idx ORDER BY value DESC, token))") + "SELECT gram, 1 AS n, round(v, 6) AS score FROM own ORDER BY round(v, 6) DESC, gram LIMIT 12"
+    o["tk_evidence_confusable"] = _with(_T, _UNI, _described(distinct), suspect) + "SELECT shown AS gram, 1 AS n, round(log10((SELECT count(*) FROM rec)::DOUBLE / n + 1) * CASE WHEN reason = 'unnormalised' THEN 1 ELSE 2 END, 6) AS score FROM sus WHERE reason IS NOT NULL ORDER BY score DESC, gram LIMIT 12"
+    margin = "abs(length(text) - 150)"
+    grouped = o["fg_select_cover"].removesuffix("SELECT row_idx FROM pl ORDER BY place, grp LIMIT 100")
+    o["fg_select_by_margin"] = grouped + f""", sc AS (SELECT row_idx, grp, 0.25 * {scaled('(-len(toks))')} + 1.0 * {scaled(margin)} + 0.35 * (label <> 'allow')::INT AS gain FROM tr JOIN gp USING (row_idx)),
+      gpl AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY gain DESC, row_idx) > greatest(1.0, round_even(100.0 / (SELECT count(DISTINCT grp) FROM sc), 0)) AS late FROM sc)
+      SELECT 'boundary' AS strategy, row_idx FROM (SELECT row_idx FROM tr ORDER BY {margin}, row_idx LIMIT 100) UNION ALL SELECT 'confident', row_idx FROM (SELECT row_idx FROM tr ORDER BY {margin} DESC, row_idx LIMIT 100)
+      UNION ALL SELECT 'gain', row_idx FROM (SELECT row_idx FROM gpl ORDER BY late, gain DESC, row_idx LIMIT 100)"""
+    cells = f"WITH {_TRIALS}, cells AS (SELECT segment, nation, round(avg(asr), 6) AS v FROM tri GROUP BY ALL), "
+    o["st_bootstrap"] = cells + """p AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM cells), n AS (SELECT count(*) AS n FROM p), draw AS (SELECT b, ('0x' || left(sha256(concat_ws(chr(31), '3', 'bootstrap', b::VARCHAR, j::VARCHAR)), 8))::UBIGINT % n + 1 AS k FROM range(2000) AS r(b), n, unnest(range(1, n + 1)) AS u(j)),
+      m AS (SELECT b, round(avg(v), 9) AS m FROM draw JOIN p USING (k) GROUP BY b) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
+    o["st_perm_paired"] = cells + """pr AS (SELECT a.v - b.v AS d FROM cells a JOIN cells b USING (nation) WHERE a.segment = 'BUILDING' AND b.segment = 'MACHINERY'), p AS (SELECT d, row_number() OVER (ORDER BY d) AS k FROM pr),
+      f AS (SELECT b, k, d, 1 - 2 * (('0x' || left(sha256(concat_ws(chr(31), '3', 'permutation', b::VARCHAR, k::VARCHAR)), 8))::UBIGINT % 2)::INT AS sign FROM range(5000) AS r(b), p), m AS (SELECT b, round(abs(avg(sign * d)), 9) AS m FROM f GROUP BY b)
+      SELECT round((SELECT avg(d) FROM p), 6) AS difference, round((count(*) FILTER (m >= (SELECT round(abs(avg(d)), 9) FROM p)) + 1) / 5001.0::DOUBLE, 6) AS p_value FROM m"""
     o["sw_flatten"] = f"WITH {_TRIALS} SELECT segment, nation, seed, asr, NULL::VARCHAR AS note FROM tri"
     dose = o["st_dose_fit"]
     o["sw_dose"] = "SELECT round(upper, 6) AS upper, slope, midpoint, critical_rate FROM (" + dose.replace("round(response, 6) AS response FROM", "response FROM") + ")"

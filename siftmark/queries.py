@@ -843,14 +843,13 @@ def md_build(spark, d):
 
 @_query
 def st_bootstrap(spark, d):
-    values = [r[0] for r in E.group_trials(_trials(spark, d), ["segment", "nation"], ["asr"]).select("asr_mean").collect()]
-    return spark.createDataFrame([E.bootstrap_ci(sorted(values), seed=3)], "low double, high double")
+    return E.bootstrap(E.group_trials(_trials(spark, d), ["segment", "nation"], ["asr"]), "asr_mean", seed=3)
 
 
 @_query
 def st_perm_paired(spark, d):
-    t = E.group_trials(_trials(spark, d), ["segment", "nation"], ["asr"]).groupBy("nation").pivot("segment", ["BUILDING", "MACHINERY"]).agg(F.first("asr_mean")).na.drop().orderBy("nation").collect()
-    return spark.createDataFrame([tuple(E.paired_permutation([r[1] for r in t], [r[2] for r in t], seed=3).values())], "difference double, p_value double")
+    t = E.group_trials(_trials(spark, d), ["segment", "nation"], ["asr"]).groupBy("nation").pivot("segment", ["BUILDING", "MACHINERY"]).agg(F.first("asr_mean"))
+    return E.permutation_test(t, "BUILDING", "MACHINERY", seed=3)
 
 
 @_query
@@ -1051,6 +1050,29 @@ def fg_select_boundary(spark, d):
     return FG.select(_train(spark, d), 100, "boundary", 5).select("row_idx")
 
 
+def _margins(spark: SparkSession, d: str) -> DataFrame:
+    """Margins of a model that SQL knows: how far a text's length is from 150."""
+    return _train(spark, d).select("row_idx", F.abs(F.length("text") - 150).cast("double").alias("margin"))
+
+
+@_query
+def fg_select_by_margin(spark, d):
+    """The strategies that go by margins, with given ones."""
+    pool, margin = _train(spark, d), _margins(spark, d)
+    parts = [FG.select(pool, 100, k, 5, "allow", margin=margin).select(F.lit(k).alias("strategy"), "row_idx") for k in ("boundary", "confident", "gain")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query
+def tk_evidence_rarity(spark, d):
+    return D.evidence(_rec(spark, d), "rarity").select("gram", "n", F.round("score", 6).alias("score"))
+
+
+@_query
+def tk_evidence_confusable(spark, d):
+    return D.evidence(_rec(spark, d), "confusable").select("gram", "n", F.round("score", 6).alias("score"))
+
+
 @_query
 def fg_select_share(spark, d):
     """A share of the corpus that is more than a top-k: ranked over all partitions."""

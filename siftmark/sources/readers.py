@@ -83,19 +83,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     out.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def load(spark: SparkSession, source: dict, allow_network: bool = False) -> DataFrame:
-    """The source a configuration names by ``kind``: synthetic, jsonl, csv or parquet. Network kinds are refused."""
+def _synthetic(spark: SparkSession, source: dict) -> DataFrame:
     from siftmark.sources.synthetic import build
 
+    return build(spark, int(source.get("size", 2000)), int(source.get("seed", 0)))
+
+
+#: Sources by kind; a further one is an entry ``(spark, settings) -> records``.
+SOURCES: dict[str, Callable[[SparkSession, dict], DataFrame]] = {
+    "synthetic": _synthetic,
+    "jsonl": lambda spark, source: read_jsonl(spark, source["path"]),
+    "csv": lambda spark, source: read_csv(spark, source["path"], source.get("text_field", "text"), source.get("label_field", "label")),
+    "parquet": lambda spark, source: read_parquet(spark, source["path"], source.get("label_names")),
+}
+NETWORK = ("huggingface", "http")
+
+
+def load(spark: SparkSession, source: dict, allow_network: bool = False) -> DataFrame:
+    """The source a configuration names by ``kind``. Network kinds are refused."""
     kind = source.get("kind", "synthetic")
-    if kind in ("huggingface", "http"):
+    if kind in NETWORK:
         raise SourceError(f"the source kind {kind} needs a network{'' if allow_network else ', which is not allowed'}; download it and read it as parquet")
-    kinds: dict[str, Callable[[], DataFrame]] = {
-        "synthetic": lambda: build(spark, int(source.get("size", 2000)), int(source.get("seed", 0))),
-        "jsonl": lambda: read_jsonl(spark, source["path"]),
-        "csv": lambda: read_csv(spark, source["path"], source.get("text_field", "text"), source.get("label_field", "label")),
-        "parquet": lambda: read_parquet(spark, source["path"], source.get("label_names")),
-    }
-    if kind not in kinds:
+    if kind not in SOURCES:
         raise SourceError(f"unknown source kind: {kind}")
-    return kinds[kind]()
+    return SOURCES[kind](spark, source)

@@ -174,3 +174,25 @@ def test_checks_of_tables(spark):
 
 def test_seeds():
     assert S.derive_seed(7, "a") != S.derive_seed(7, "b") and len(set(S.spaced_seeds(7, 50))) == 50
+
+
+def test_isolation():
+    from siftmark import isolation
+
+    for here in (("127.0.0.1", 1), ("127.9.9.9", 1), ("::1", 1, 0, 0), ("::ffff:127.0.0.1", 1), ("localhost", 1), "/tmp/socket"):
+        assert isolation.is_loopback(here)
+    for there in (("192.0.2.1", 1), ("example.org", 1), ("127.0.0.1.example.org", 1), ("::ffff:192.0.2.1", 1), (), (None, 1)):
+        assert not isolation.is_loopback(there)
+    assert isolation.self_test() and isolation.self_test()
+
+
+def test_resampling(spark):
+    from siftmark.operators import evaluation as E
+
+    df = spark.createDataFrame([(float(i), float(i) - 5) for i in range(20)] + [(None, 1.0)], "a double, b double")
+    low, high = E.bootstrap(df, "a", 500, seed=2).first()
+    assert 5 < low < 9.5 < high < 14
+    same = E.permutation_test(df, "a", "b", 400, seed=2).first()
+    assert same["difference"] == 5.0 and same["p_value"] < 0.01
+    assert tuple(E.bootstrap(df.limit(0), "a").first()) == (0.0, 0.0) and tuple(E.permutation_test(df.limit(0), "a", "b").first()) == (0.0, 1.0)
+    assert E.permutation_test(df, "a", "a", 50).first()["p_value"] == 1.0
