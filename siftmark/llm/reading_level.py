@@ -8,6 +8,7 @@ hashed words and hashed character trigrams with an L2 penalty. They are trained
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -232,6 +233,26 @@ def rated_sample(documents: DataFrame, ratings: DataFrame, docs: int = SAMPLE_DO
     return picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs).collect()
 
 
+#: Frequent words of the four languages and of neighbours in the same script.
+FREQUENT = {
+    "en": "the of and to is in that it for was on with as are this be by not have you", "fr": "le la les des et est une dans que qui pour pas sur au avec du ce sont il elle",
+    "de": "der die das und ist nicht ein eine mit den von auf zu im dem für sich auch es werden", "es": "el los las y es que una en por con para no se del como más pero su al lo",
+    "it": "il di che è e non una per sono con della gli nel più anche le si ma dei alla", "nl": "de het een en van is dat niet op te zijn met voor die er aan ook maar bij wordt",
+    "pt": "o os as e é que uma em não por com para do da no na mais se dos ao",
+}
+_FREQUENT = {k: frozenset(v.split()) for k, v in FREQUENT.items()}
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def other_language(text: str) -> bool:
+    """Whether the frequent words of a text are clearly those of a neighbour of the four languages: half as many again, and four at least."""
+    words = Counter(_LETTERS.findall(text.lower()))
+    hits = {k: sum(words[w] for w in known) for k, known in _FREQUENT.items()}
+    ours = max(hits[k] for k in LANGUAGES)
+    theirs = max(n for k, n in hits.items() if k not in LANGUAGES)
+    return theirs >= 4 and theirs >= 1.5 * ours
+
+
 def mostly_latin(text: str) -> bool:
     """Whether more than half of the letters are Latin; all Latin letters of the four languages lie below U+0250."""
     letters = _NOT_LETTERS.sub("", text)
@@ -244,7 +265,8 @@ def _score(model: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = part.column(1).to_pylist()
-                kept = [i for i, t in enumerate(texts) if mostly_latin(t)]
+                named = part.column(2).to_pylist()
+                kept = [i for i, t in enumerate(texts) if mostly_latin(t) and (named[i] or not other_language(t))]
                 if not kept:
                     continue
                 part, texts = part.take(pa.array(kept)), [texts[i] for i in kept]
@@ -260,8 +282,9 @@ def reading_levels(documents: DataFrame, ratings: DataFrame, docs: int = SAMPLE_
 
     ``band`` is the likeliest band, ``level`` the expected one and ``demanding`` the probability of band 4 or 5. Null texts,
     texts of the kinds log, config and table, texts in other languages, and texts whose letters are not mostly Latin are no
-    case (``lang`` may be null). Quoted passages are left out of the judgement. Without a rated document there is nothing to
-    learn from and the result is empty.
+    case; where ``lang`` is null, the frequent words of a text tell some neighbours of the four languages. Quoted passages are left out of the judgement. Without a rated document there is nothing to
+    learn from and the result is empty; with some 40 rated documents the two sides of band 4 agree with the raters in about nine of
+    ten, with 500 and more in 97 of 100 (README), so a result of fewer than 100 should be read with care.
     """
     sample = rated_sample(documents, ratings, docs)
     schema = "doc_id bigint, n_words int, band int, level double, demanding double"
@@ -269,7 +292,7 @@ def reading_levels(documents: DataFrame, ratings: DataFrame, docs: int = SAMPLE_
         return documents.sparkSession.createDataFrame([], schema)
     model = documents.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["rated_band"] for r in sample]))
     prose = documents.where(F.col("text").isNotNull() & F.coalesce(F.col("lang").isin(*LANGUAGES), F.lit(True)) & ~F.coalesce(F.col("kind").isin(*NOT_PROSE), F.lit(False)))
-    return spread(prose.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(_score(model), schema)
+    return spread(prose.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").isNotNull().alias("named"))).mapInArrow(_score(model), schema)
 
 
 def demanding_found(documents: DataFrame, ratings: DataFrame, min_words: int = 20, docs: int = SAMPLE_DOCS) -> DataFrame:

@@ -355,6 +355,12 @@ def test_p9(spark):
     assert reading_level.demanding_found(docs, ratings.limit(0)).count() == 0
 
 
+def test_p9_neighbours_of_the_languages():
+    other = ["Il modello è stato valutato con una serie di testi che non sono nel corpus, e per questo gli errori sono più rari.", "Het model is met een reeks van teksten getest die niet in de verzameling zijn, en dat is ook voor de lezer van belang.", "O modelo não foi avaliado com os textos que são do conjunto, e por isso os erros da medida são mais raros para o leitor."]
+    ours = ["The model was evaluated on a series of texts that are not in the collection, and for this the errors are rare.", "Le modèle est évalué sur des textes qui ne sont pas dans la collection, et les erreurs sont rares pour le lecteur.", "Das Modell ist mit den Texten der Sammlung nicht geprüft, und die Fehler sind für den Leser auch selten.", "El modelo no se evalúa con los textos de la colección, y por eso los errores son más raros para el lector.", "", "short"]
+    assert all(map(reading_level.other_language, other)) and not any(map(reading_level.other_language, ours))
+
+
 def test_p9_held_out():
     docs = documents()
     m = reading_level.fit([d[1] for d in docs[:50]], [d[4] for d in docs[:50]])
