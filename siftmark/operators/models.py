@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import math
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -58,8 +58,10 @@ def naive_bayes(train: DataFrame, test: DataFrame, exclude: DataFrame | None = N
 class Rows:
     """Sparse rows end to end: twelve bytes an entry."""
 
-    def __init__(self) -> None:
+    def __init__(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]] = ()) -> None:
         self._at, self._idx, self._val = [0], array("i"), array("d")
+        for v in vectors:
+            self.append(v)
 
     def append(self, vector: tuple[np.ndarray, np.ndarray]) -> None:
         self._idx.frombytes(vector[0].astype(np.int32).tobytes())
@@ -118,47 +120,52 @@ class LinearModel:
             self.weights = np.zeros((max(1, len(self.labels)), self.config.buckets))
             self.bias = np.zeros(max(1, len(self.labels)))
 
-    def fit(self, rows: Rows, targets: np.ndarray, each_epoch: Callable[[int, LinearModel], None] | None = None) -> np.ndarray:
-        """Epochs over mini-batches in a seeded order; returns each row's loss by epoch. ``each_epoch`` is told of every finished one.
+    def fit(self, rows: Rows | Iterable[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, each_epoch: Callable[[int, LinearModel], None] | None = None) -> np.ndarray:
+        """All epochs; returns each row's loss by epoch. ``each_epoch`` is told of every finished one."""
+        rows = rows if isinstance(rows, Rows) else Rows(rows)
+        trace = np.zeros((self.config.epochs, len(rows)))
+        for epoch in range(self.config.epochs):
+            trace[epoch] = self.epoch(rows, targets, epoch)
+            if each_epoch:
+                each_epoch(epoch, self)
+        return np.round(trace, 6)
+
+    def epoch(self, rows: Rows, targets: np.ndarray, number: int) -> np.ndarray:
+        """One epoch of mini-batches in a seeded order; returns each row's loss.
 
         The learning rate falls with the rows seen; a row's step is its rate times the weight of its class, at most ``step_cap``.
         Weights are kept over a common factor, so their decay costs nothing per weight.
         """
         c, n = self.config, len(rows)
-        trace = np.zeros((c.epochs, n))
+        losses = np.zeros(n)
         seen = np.bincount(targets, minlength=len(self.labels))
         share = np.clip(n / (len(self.labels) * np.maximum(seen, 1)), 1 / c.weight_cap, c.weight_cap)
         factor, total = 1.0, max(1, c.epochs * n)
-        for epoch in range(c.epochs):
-            order = np.random.default_rng([c.seed & 0x7FFFFFFF, epoch]).permutation(n)
-            for at in range(0, n, c.batch):
-                picked = order[at : at + c.batch]
-                owner, idx, val = rows.take(picked)
-                z = factor * _sums_by_owner(self.weights[:, idx] * val, owner, len(picked)) + self.bias[:, None]
-                p = np.exp(z - z.max(axis=0))
-                p /= p.sum(axis=0)
-                truth, place = targets[picked], np.arange(len(picked))
-                trace[epoch, picked] = -np.log(np.maximum(p[truth, place], 1e-12))
-                done = (epoch * n + at + place) / total
-                rate = np.minimum(c.step_cap, c.learning_rate * (1 - done * (1 - c.final_ratio)) * share[truth])
-                p[truth, place] -= 1
-                p *= rate
-                factor *= float(np.prod(1 - rate * c.decay))
+        order = np.random.default_rng([c.seed & 0x7FFFFFFF, number]).permutation(n)
+        for at in range(0, n, c.batch):
+            picked = order[at : at + c.batch]
+            owner, idx, val = rows.take(picked)
+            z = factor * _sums_by_owner(self.weights[:, idx] * val, owner, len(picked)) + self.bias[:, None]
+            p = np.exp(z - z.max(axis=0))
+            p /= p.sum(axis=0)
+            truth, place = targets[picked], np.arange(len(picked))
+            losses[picked] = -np.log(np.maximum(p[truth, place], 1e-12))
+            done = (number * n + at + place) / total
+            rate = np.minimum(c.step_cap, c.learning_rate * (1 - done * (1 - c.final_ratio)) * share[truth])
+            p[truth, place] -= 1
+            p *= rate
+            factor *= float(np.prod(1 - rate * c.decay))
+            if len(idx):
                 by_bucket = np.argsort(idx, kind="stable")
                 ordered = idx[by_bucket]
-                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(idx) else by_bucket
-                if len(idx):
-                    self.weights[:, ordered[first]] -= np.add.reduceat((p[:, owner] * val)[:, by_bucket], first, axis=1) / factor
-                self.bias -= p.sum(axis=1)
-                if factor < 1e-6:
-                    self.weights *= factor
-                    factor = 1.0
-            if each_epoch:
+                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+                self.weights[:, ordered[first]] -= np.add.reduceat((p[:, owner] * val)[:, by_bucket], first, axis=1) / factor
+            self.bias -= p.sum(axis=1)
+            if factor < 1e-6:
                 self.weights *= factor
                 factor = 1.0
-                each_epoch(epoch, self)
         self.weights *= factor
-        return np.round(trace, 6)
+        return losses
 
     def scores(self, vector: tuple) -> np.ndarray:
         return self.weights[:, vector[0]] @ vector[1] + self.bias
@@ -212,10 +219,7 @@ def _sampled(df: DataFrame, rows: int, seed: int) -> DataFrame:
 
 def _rows(token_lists, config: LinearConfig) -> Rows:
     known: dict[str, int] = {}
-    out = Rows()
-    for toks in token_lists:
-        out.append(featurize(list(toks), config.max_n, config.buckets, known))
-    return out
+    return Rows(featurize(list(toks), config.max_n, config.buckets, known) for toks in token_lists)
 
 
 def fit(df: DataFrame, labels: list[str], config: LinearConfig = LinearConfig(), max_rows: int = MAX_ROWS, each_epoch: Callable[[int, LinearModel], None] | None = None) -> LinearModel:
@@ -269,34 +273,86 @@ def out_of_fold(df: DataFrame, k: int = 3, seed: int = 0, config: LinearConfig |
     return out
 
 
-def losses(df: DataFrame, config: LinearConfig | None = None) -> DataFrame:
-    """``row_idx, first, last``: each row's loss in the first and in the last epoch.
+def _epoch_of_shards(sent, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One epoch over each shard of a task, every one from the same weights: the rows' losses and the weights that moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start: LinearModel = sent.value
+        place = {x: i for i, x in enumerate(start.labels)}
+
+        def finish(ids: array, targets: array, rows: Rows) -> Iterator[pa.RecordBatch]:
+            m = LinearModel(start.labels, start.config, start.weights.copy(), start.bias.copy())
+            loss = np.round(m.epoch(rows, np.frombuffer(targets, np.int64), number), 6)
+            moved = np.column_stack([m.weights, m.bias])  # the last column is the bias
+            k, bucket = np.nonzero(moved != np.column_stack([start.weights, start.bias]))
+            n, far = len(loss), len(k)
+            for at in range(0, n + far, 100_000):
+                upto = min(n + far, at + 100_000)
+                own, cells = slice(at, min(upto, n)), slice(max(0, at - n), max(0, upto - n))
+                rows_here, cells_here = len(loss[own]), cells.stop - cells.start
+                pad = lambda values, first: pa.concat_arrays([values, pa.nulls(cells_here, values.type)]) if first else pa.concat_arrays([pa.nulls(rows_here, values.type), values])  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pad(pa.array(np.frombuffer(ids, np.int64)[own]), True), pad(pa.array(k[cells].astype(np.int32)), False), pad(pa.array(bucket[cells].astype(np.int32)), False), pa.array(np.concatenate([loss[own], moved[k[cells], bucket[cells]]]))], names=["row_idx", "k", "bucket", "v"])
+
+        shard, ids, targets, rows = None, array("q"), array("q"), Rows()
+        for b in batches:
+            for s, i, label, idx, val in zip(*(b.column(c).to_pylist() for c in range(3)), *_lists(b), strict=True):
+                if s != shard and shard is not None:
+                    yield from finish(ids, targets, rows)
+                    ids, targets, rows = array("q"), array("q"), Rows()
+                shard = s
+                ids.append(i), targets.append(place[label]), rows.append((idx, val))
+        if shard is not None:
+            yield from finish(ids, targets, rows)
+
+    return run
+
+
+def _lists(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The two list columns of a batch as arrays by row."""
+    cuts = np.cumsum(b.column(3).value_lengths().to_numpy(zero_copy_only=False))[:-1]
+    flat = [b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (3, 4)]
+    return tuple(np.split(f, cuts) for f in flat)
 
-    Every row needs a trace and losses of different models can't be compared, so one model is fitted on all rows, in their order
-    and in one task, whatever their number. Features take about twelve bytes a token there.
+
+SHARD_ROWS = 100_000  # rows that one task learns from in an epoch
+
+
+def losses(df: DataFrame, config: LinearConfig | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``row_idx, first, last``: each row's loss in the first and in the last epoch of one model that learns from all rows.
+
+    Rows are hashed to shards of about ``shard_rows``, which bounds a task. In every epoch each shard learns from the same weights,
+    and a weight becomes the mean of the shards that moved it, so a rare word counts alike in a small and in a large corpus. A corpus of
+    one shard is learnt from in the order of its rows.
     """
     config = config or LinearConfig(epochs=5)
-    labels = label_space(df)
+    labels, spark = label_space(df), df.sparkSession
+    if not labels:
+        return spark.createDataFrame([], "row_idx bigint, first double, last double")
+    shards = max(1, -(-df.count() // shard_rows))
 
-    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {x: i for i, x in enumerate(labels)}
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        vectors, targets, rows = Rows(), array("q"), array("q")
         for b in batches:
-            rows.extend(b.column(0).to_pylist())
-            targets.extend(place[x] for x in b.column(1).to_pylist())
-            for toks in b.column(2).to_pylist():
-                vectors.append(featurize(toks or [], config.max_n, config.buckets, known))
-        if not len(rows):
-            return
-        t = LinearModel(labels, config).fit(vectors, np.frombuffer(targets, np.int64))
-        ids = np.frombuffer(rows, np.int64)
-        for at in range(0, len(ids), 10_000):
-            part = slice(at, at + 10_000)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(t[0, part]), pa.array(t[-1, part])], names=["row_idx", "first", "last"])
-
-    src = spread(df.select("row_idx", "label", "text")).select("row_idx", "label", tokens(F.col("text")).alias("toks"))
-    return src.repartition(1).sortWithinPartitions("row_idx").mapInArrow(trace, "row_idx bigint, first double, last double")
+            vs = [featurize(t or [], config.max_n, config.buckets, known) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([v[0].astype(np.int32) for v in vs], pa.list_(pa.int32())), pa.array([v[1] for v in vs], pa.list_(pa.float64()))], names=["shard", "row_idx", "label", "idx", "val"])
+
+    src = spread(df.select("row_idx", "label", "text")).select(F.pmod(F.xxhash64("row_idx"), F.lit(shards)).cast("int").alias("shard"), "row_idx", "label", tokens(F.col("text")).alias("toks"))
+    made = src.mapInArrow(vectors, "shard int, row_idx bigint, label string, idx array<int>, val array<double>")
+    rows = materialize(made.repartition(shards, "shard").sortWithinPartitions("shard", "row_idx"), "shards")
+    model, kept = LinearModel(labels, config), []
+    for number in range(config.epochs):
+        sent = spark.sparkContext.broadcast(model)
+        out = rows.repartition(shards, "shard").sortWithinPartitions("shard", "row_idx").mapInArrow(_epoch_of_shards(sent, number), "row_idx bigint, k int, bucket int, v double")
+        out = materialize(out, "epoch")
+        if number in (0, config.epochs - 1):
+            kept.append(out.where("row_idx is not null").select("row_idx", F.col("v").alias(("first", "last")[bool(kept)])))
+        moved = out.where("k is not null").groupBy("k", "bucket").agg(F.avg("v").alias("v")).toArrow()  # labels x buckets numbers at most
+        k, bucket, v = (moved.column(c).to_numpy() for c in ("k", "bucket", "v"))
+        model = LinearModel(labels, config, model.weights.copy(), model.bias.copy())
+        on_bias = bucket == config.buckets
+        model.weights[k[~on_bias], bucket[~on_bias]] = v[~on_bias]
+        model.bias[k[on_bias]] = v[on_bias]
+    return kept[0].join(kept[1], "row_idx") if len(kept) == 2 else kept[0].withColumn("last", F.col("first"))
 
 
 def partition_votes(train: DataFrame, test: DataFrame, shards: int = 16, config: LinearConfig = LinearConfig(epochs=3), max_rows: int = MAX_ROWS) -> DataFrame:
