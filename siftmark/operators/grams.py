@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.hashing import ngram_hashes_of, token_hash
 from siftmark.functions.stats import surprisal
-from siftmark.functions.text import python_tokens, shifted, tokens
+from siftmark.functions.text import TOKEN, python_tokens, shifted, tokens
 from siftmark.plans.spread import slices, spread
 from siftmark.plans.workdir import materialize
 
@@ -190,6 +190,13 @@ def gram_stats(df: DataFrame, flag: Column, max_n: int = 2, min_count: int = 4)
 WIDE = 32
 
 
+def surfaces(df: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with ``surface``: the words of the text at ``first_doc, first_pos, n``, in the letters they have there."""
+    words = F.regexp_extract_all("text", F.lit(TOKEN.replace("a-z", "A-Za-z")), F.lit(0))
+    texts = df.select(F.col("row_idx").alias("first_doc"), "text")
+    return found.join(texts, "first_doc", "left").withColumn("surface", F.array_join(F.slice(words, F.col("first_pos") + 1, F.col("n")), " ")).drop("text")
+
+
 def _by_gram(df: DataFrame, labels: list[str], max_n: int, min_count: int) -> DataFrame:
     """``gram, n, total, by``: occurrences of each gram, in all and by label; the map has at most one entry a label."""
     part = partial_counts(df, F.col("label"), max_n)

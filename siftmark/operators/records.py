@@ -98,6 +98,11 @@ def removed_hits(removed: DataFrame, df: DataFrame) -> DataFrame:
     return removed.select("row_idx").intersect(df.where(F.col("origin") == POISONED).select("row_idx"))
 
 
+def intersect(first: DataFrame, second: DataFrame, *columns: str) -> DataFrame:
+    """The combinations of ``columns`` that both have, each once."""
+    return first.select(*columns).intersect(second.select(*columns))
+
+
 def with_scores(df: DataFrame, scores: DataFrame) -> DataFrame:
     """``df`` with ``score``; 0 for rows without one."""
     return df.join(scores.select("row_idx", "score"), "row_idx", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -356,6 +356,9 @@ def oracle_sql() -> dict[str, str]:
     o["wn_spaced_seeds"] = "SELECT i, (('0x' || left(sha256('7' || chr(31) || 'seed' || chr(31) || i), 16))::UBIGINT & 2147483647)::BIGINT AS seed FROM range(20) AS r(i)"
     o["op_project"] = _with() + "SELECT DISTINCT label, NULL::BIGINT AS row_idx, NULL::VARCHAR AS text FROM rec UNION ALL SELECT NULL, row_idx, text FROM rec"
     o["op_with_column"] = _with() + "SELECT row_idx, upper(text) AS text, 'held' AS label, 'poisoned' AS origin, 'study' AS attack, label AS original_label, 'none' AS topic FROM rec"
+    o["op_intersect"] = _with() + "SELECT source, label FROM rec WHERE split = 'train' INTERSECT SELECT source, label FROM rec WHERE split = 'test'"
+    cased = _TOK.replace("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "text").replace("[a-z0-9_", "[A-Za-z0-9_")
+    o["gr_surface"] = _with(_T, _UNI, _GRAM, _STATS.format(flag="0", least=20)) + f"SELECT gram, n, first_doc, array_to_string(({cased})[first_pos + 1 : first_pos + n], ' ') AS surface FROM st JOIN rec ON row_idx = first_doc"
     o["op_eligible"] = _with() + "SELECT 'dirty' AS kind, row_idx FROM rec WHERE label <> 'allow' UNION ALL SELECT 'clean', row_idx FROM rec WHERE label = 'allow' UNION ALL SELECT 'source', row_idx FROM rec WHERE label = 'block' UNION ALL SELECT 'all', row_idx FROM rec"
     scaled = lambda v: f"CASE WHEN max({v}) OVER () - min({v}) OVER () > 1e-12 THEN ({v} - min({v}) OVER ()) / (max({v}) OVER () - min({v}) OVER ())::DOUBLE ELSE 0.5 END"
     o["fg_score_candidates"] = _with(_CLEAN) + f"SELECT row_idx, round(0.25 * {scaled('(-len(toks))')} + 1.0 * {scaled('length(text)')} + 0.35 * (label <> 'allow')::INT, 9) AS gain FROM tr"

@@ -1025,6 +1025,19 @@ def op_with_column(spark, d):
     return r.select("row_idx", "text", "label", "origin", "attack", F.try_element_at("meta", F.lit("original_label")).alias("original_label"), F.try_element_at("meta", F.lit("topic")).alias("topic"))
 
 
+@_query
+def op_intersect(spark, d):
+    """Sources and labels seen in train and in test."""
+    r = _rec(spark, d)
+    return C.intersect(r.where("split = 'train'"), r.where("split = 'test'"), "source", "label")
+
+
+@_query
+def gr_surface(spark, d):
+    r = _rec(spark, d)
+    return G.surfaces(r, G.gram_stats(r, F.col("label") == "block", 2, 20)).select("gram", "n", "first_doc", "surface")
+
+
 @_query
 def op_eligible(spark, d):
     r = _rec(spark, d)
