@@ -10,11 +10,12 @@ and a chunk that very many records hold is used only for records that have littl
 
 Chunks of running text can't promise a pair of similar word *sets*: words may stand in another order, and replaced words may leave
 no whole chunk. An exact completion is joined with them: the distinct words in the order of their hashes, cut at m equal ranges of
-the hash. Two records that differ in fewer than m words have one range at least in common. The number m belongs to the train
-record's size class, a held-out record is cut for the three classes its partners can be in, and a record with fewer than m
-ranges that hold a word is cut finer as well, so no digest stands for an empty range and rows stay linear in a record's words.
+the hash. Ranges are so many that two records of the similarity have two in common, near each other; so a range that is a heavy hitter
+is not joined by itself but with another one. The number of ranges belongs to the train record's size class, a held-out record is
+cut for the three classes its partners can be in, and a record whose words leave too many ranges empty is cut finer as well, so no
+digest stands for an empty range and rows stay linear in a record's words.
 
-Pairs that meet are tested inside the join by sizes and a 64-bit parity sketch, which differs in no more bits than the word sets
+Pairs that meet are tested inside the join by sizes and a 32-bit parity sketch, which differs in no more bits than the word sets
 differ in words; the few that pass are compared exactly.
 """
 
@@ -41,23 +42,25 @@ from siftmark.plans.workdir import materialize
 WORD = re.compile(r"[^\W_]+")
 MIN_WORDS = 5
 WIDTH = 32  # gear positions of which one is a cut
-HITTER = 1e-5  # share of all chunks from which one counts as a heavy hitter; so there are 2 / HITTER of them at most
+ONE_BLOCK = 16  # words that may differ up to which all ranges of a record are one block
+HITTER = 5e-6  # share of all chunks from which one counts as a heavy hitter; so there are 2 / HITTER of them at most, 3.2 MB
 LEVELS = 6  # finer cuts of the word hashes before each word is a range of its own
 MAX_BROADCAST_IDS = 1 << 20  # ids, 8 MB, up to which texts are picked by a broadcast; beyond, by a shuffled join
 
 
 @lru_cache(maxsize=64)
-def _classes(similarity: float, upto: int) -> tuple[np.ndarray, np.ndarray]:
-    """First sizes of the size classes up to ``upto`` words, and the number of ranges of each.
+def _classes(similarity: float, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sizes of the size classes up to ``upto`` words, and the number of ranges and of blocks of each.
 
     The largest and the smallest size of a class are as far apart as two records of a pair may be, so partners of any size lie
     in three classes.
     """
     first = [MIN_WORDS]
-    while first[-1] <= upto:
+    while first[-1] <= max(upto, MIN_WORDS):
         first.append(max(first[-1], floor(first[-1] / similarity + 1e-9)) + 1)
-    ranges = [_differ(n - 1, floor((n - 1) / similarity + 1e-9), similarity) + 1 for n in first[1:]]
-    return np.array(first[:-1] or [MIN_WORDS], np.int64), np.array(ranges or [1], np.int64)
+    differ = [_differ(n - 1, floor((n - 1) / similarity + 1e-9), similarity) for n in first[1:]]
+    blocks = [1 if d <= ONE_BLOCK else 1 + d // 4 for d in differ]
+    return np.array(first[:-1], np.int64), np.array(differ, np.int64) + np.array(blocks, np.int64) + 1, np.array(blocks, np.int64)
 
 
 def _differ(a: int, b: int, similarity: float) -> int:
@@ -65,12 +68,16 @@ def _differ(a: int, b: int, similarity: float) -> int:
     return floor((a + b) * (1 - similarity) / (1 + similarity) + 1e-9)
 
 
-def range_chunks(h: np.ndarray, off: np.ndarray, train: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """``(record, digest)`` of the hash ranges of records whose sorted word hashes are ``h[off[i] : off[i + 1]]``."""
+def range_chunks(h: np.ndarray, off: np.ndarray, train: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(record, digest, group)`` of the hash ranges of records whose sorted word hashes are ``h[off[i] : off[i + 1]]``.
+
+    A pair of the similarity has two ranges of one group in common: with B blocks of neighbouring ranges, B + 1 more ranges hold a
+    word than words can differ. Groups are numbered, and their ranges are in order.
+    """
     size = np.diff(off)
     if not len(size):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    first, ranges = _classes(similarity, int(ceil(size.max() / similarity)) + 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first, ranges, blocks = _classes(similarity, int(ceil(size.max() / similarity)) + 1)
     of = lambda n: np.searchsorted(first, np.maximum(n, MIN_WORDS), side="right") - 1
     lo = np.where(train, of(size), of(np.ceil(size * similarity - 1e-9).astype(np.int64)))
     hi = np.where(train, of(size), of(np.floor(size / similarity + 1e-9).astype(np.int64)))
@@ -79,9 +86,9 @@ def range_chunks(h: np.ndarray, off: np.ndarray, train: np.ndarray, similarity:
     # a held-out record knows its own size: one range more than it can differ in is enough of its last cut
     top = np.append(first[1:], first[-1] * 2)[k] - 1
     partner = np.minimum(top, np.floor(size[rec] / similarity + 1e-9).astype(np.int64))
-    enough = np.where(train[rec], ranges[k], np.floor((size[rec] + partner) * (1 - similarity) / (1 + similarity) + 1e-9).astype(np.int64) + 1)
-    m = ranges[k]
-    out_rec, out_digest = [], []
+    enough = np.where(train[rec], ranges[k], np.floor((size[rec] + partner) * (1 - similarity) / (1 + similarity) + 1e-9).astype(np.int64) + blocks[k] + 1)
+    m, parts = ranges[k], blocks[k]
+    out_rec, out_digest, out_group, groups = [], [], [], 0
     for level in range(LEVELS + 1):
         words = size[rec]
         entry = np.repeat(np.arange(len(rec)), words)
@@ -97,10 +104,30 @@ def range_chunks(h: np.ndarray, off: np.ndarray, train: np.ndarray, similarity:
         keep = ~(done & ~train[rec])[owner] | (nth < enough[owner])
         tag = np.full(len(owner), level, np.uint64) if level == LEVELS else m[owner].astype(np.uint64) << np.uint64(3)
         out_rec.append(rec[owner][keep]), out_digest.append(mix(sums ^ mix(tag, 5), 7)[keep])
-        rec, m, enough = rec[~done], (m + m // 4 + 1)[~done], enough[~done]
+        at = place[start]
+        block = (at >> np.uint64(32)) * parts[owner].astype(np.uint64) >> np.uint64(32) if level == LEVELS else at * parts[owner].astype(np.uint64) // m[owner].astype(np.uint64)
+        base = np.cumsum(parts) - parts
+        out_group.append((groups + base[owner] + block.astype(np.int64))[keep])
+        groups += int(parts.sum())
+        rec, m, enough, parts = rec[~done], (m + m // 4 + 1)[~done], enough[~done], parts[~done]
         if not len(rec):
             break
-    return np.concatenate(out_rec), np.concatenate(out_digest)
+    return np.concatenate(out_rec), np.concatenate(out_digest), np.concatenate(out_group)
+
+
+def meeting_chunks(rec: np.ndarray, digest: np.ndarray, group: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(record, digest)``: the ranges that are no heavy hitters, and each two of a group that are."""
+    late = np.isin(digest.view(np.int64), hot)
+    rows, digests = [rec[~late]], [digest[~late]]
+    rec, digest, group = rec[late], digest[late], group[late]
+    apart = 1
+    while apart < len(group):
+        same = np.flatnonzero(group[apart:] == group[:-apart])
+        if not len(same):
+            break
+        rows.append(rec[same]), digests.append(mix(digest[same] * np.uint64(0x9E3779B97F4A7C15) + digest[same + apart], 19))
+        apart += 1
+    return np.concatenate(rows), np.concatenate(digests)
 
 
 class Normalised:
@@ -153,13 +180,13 @@ def first_chunks(row: np.ndarray, digest: np.ndarray, chars: np.ndarray, hot: np
     return row[keep & ~same], digest[keep & ~same]
 
 
-_PLAIN = {c: " " for c in range(128) if not chr(c).isalnum()}
+_PLAIN = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(128)
 
 
 def normalised(text: str) -> str:
     """The words of a text in lower case, one space between them."""
     low = text.lower()
-    return " ".join(low.translate(_PLAIN).split() if low.isascii() else WORD.findall(low))
+    return b" ".join(low.encode().translate(_PLAIN).split()).decode() if low.isascii() else " ".join(WORD.findall(low))
 
 
 def _sized(batch: pa.RecordBatch) -> tuple[list[int], list[bool], list[str], np.ndarray, np.ndarray, tuple]:
@@ -176,39 +203,44 @@ def _sized(batch: pa.RecordBatch) -> tuple[list[int], list[bool], list[str], np.
     return pick(batch.column(0).to_pylist()), pick(batch.column(1).to_pylist()), pick(norms), h[np.repeat(enough, n)], np.concatenate([[0], np.cumsum(n[enough])]), chunks
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The form of each record and, from a task's own counts, the chunks that may be heavy hitters."""
-    counts: list[tuple[np.ndarray, np.ndarray]] = []
-    seen = held = 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        d, where = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
-        return d, np.bincount(where, np.concatenate([c[1] for c in counts]), len(d)).astype(np.int64)
-
-    def out(ids: list, train: list, key: list, whole: list, hit: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        null, far = (lambda k: [None] * k), len(hit)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids + null(far), pa.int64()), pa.array(train + null(far), pa.bool_()), pa.array(key + null(far), pa.string()), pa.array(whole + null(far), pa.int64()), pa.array(null(len(ids)) + hit.tolist(), pa.int64()), pa.array(null(len(ids)) + n.tolist(), pa.int64())],
-            names=["id", "train", "key", "whole", "digest", "n"],
-        )
-
-    none = np.zeros(0, np.int64)
-    for b in slices(batches, 2):
-        ids, train, norms, _, _, (_, digest, _) = _sized(b)
-        key = [f"{'t' if side else 'e'}{xxhash.xxh3_128_hexdigest(x)}" for side, x in zip(train, norms, strict=True)]
-        whole = [xxhash.xxh3_64_intdigest(x.replace(" ", "")) - (1 << 63) for x in norms]
-        counts.append(np.unique(digest, return_counts=True))
-        seen, held = seen + len(digest), held + len(counts[-1][0])
-        if held > 1 << 21:  # bounded memory: what is far from being a hitter is forgotten
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        seen = held = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            d, where = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
+            return d, np.bincount(where, np.concatenate([c[1] for c in counts]), len(d)).astype(np.int64)
+
+        def out(ids: list, train: list, key: list, whole: list, hit: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            null, far = (lambda k: [None] * k), len(hit)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids + null(far), pa.int64()), pa.array(train + null(far), pa.bool_()), pa.array(key + null(far), pa.string()), pa.array(whole + null(far), pa.int64()), pa.array(null(len(ids)) + hit.tolist(), pa.int64()), pa.array(null(len(ids)) + n.tolist(), pa.int64())],
+                names=["id", "train", "key", "whole", "digest", "n"],
+            )
+
+        none = np.zeros(0, np.int64)
+        for b in slices(batches, 2):
+            ids, train, norms, h, off, (_, digest, _) = _sized(b)
+            key = [f"{'t' if side else 'e'}{xxhash.xxh3_128_hexdigest(x)}" for side, x in zip(train, norms, strict=True)]
+            whole = [xxhash.xxh3_64_intdigest(x.replace(" ", "")) - (1 << 63) for x in norms]
+            digest = np.concatenate([digest, range_chunks(h, off, np.array(train, bool), similarity)[1].view(np.int64)])
+            counts.append(np.unique(digest, return_counts=True))
+            seen, held = seen + len(digest), held + len(counts[-1][0])
+            if held > 1 << 21:  # bounded memory: what is far from being a hitter is forgotten
+                d, n = merged()
+                keep = n >= HITTER * seen / 2
+                counts[:] = [(d[keep], n[keep])]
+                held = int(keep.sum())
+            yield out(ids, train, key, whole, none, none)
+        if counts:
             d, n = merged()
-            keep = n >= HITTER * seen / 2
-            counts[:] = [(d[keep], n[keep])]
-            held = int(keep.sum())
-        yield out(ids, train, key, whole, none, none)
-    if counts:
-        d, n = merged()
-        keep = n >= max(2, HITTER * seen)
-        yield out([], [], [], [], np.append(d[keep], 0), np.append(n[keep], -seen))  # the count of all chunks is negative
+            keep = n >= max(3, HITTER * seen)
+            yield out([], [], [], [], np.append(d[keep], 0), np.append(n[keep], -seen))  # the count of all chunks is negative
+
+    return run
 
 
 def _emit(similarity: float, share: float, hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -218,13 +250,13 @@ def _emit(similarity: float, share: float, hot: Broadcast) -> Callable[[Iterator
             if not ids:
                 continue
             n = np.diff(off)
-            sketch = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), off[:-1])
-            rec, digest = range_chunks(h, off, np.array(train, bool), similarity)
+            seen = n.astype(np.uint64) << np.uint64(32) | np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(31)), off[:-1])
+            rec, digest = meeting_chunks(*range_chunks(h, off, np.array(train, bool), similarity), hot.value)
             row, chunk = first_chunks(*chunks, hot.value, share)
             own = np.concatenate([rec, row])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([digest.view(np.int64), mix(chunk.view(np.uint64), 17).view(np.int64)])), pa.array(np.array(ids, np.int64)[own]), pa.array(n[own].astype(np.int32)), pa.array(sketch[own].view(np.int64)), pa.array(np.arange(len(own)) >= len(rec))],
-                names=["chunk", "id", "n", "sketch", "rolling"],
+                [pa.array(np.concatenate([digest.view(np.int64), mix(chunk.view(np.uint64), 17).view(np.int64)])), pa.array(np.array(ids, np.int64)[own]), pa.array(seen[own].view(np.int64)), pa.array(np.arange(len(own)) >= len(rec))],
+                names=["chunk", "id", "seen", "rolling"],
             )
 
     return run
@@ -265,22 +297,23 @@ def pair_candidates(df: DataFrame, id_col: str = "row_idx", text_col: str = "tex
     """
     spark = df.sparkSession
     src = _sides(df, id_col, text_col, split_col, train, held_out)
-    keyed = materialize(spread(src).mapInArrow(_keys, "id bigint, train boolean, key string, whole bigint, digest bigint, n bigint"), "keys")
+    keyed = materialize(spread(src).mapInArrow(_keys(similarity), "id bigint, train boolean, key string, whole bigint, digest bigint, n bigint"), "keys")
     total = -(keyed.where("n < 0").agg(F.sum("n")).first()[0] or 0)
     hitters = keyed.where("n > 0").groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") >= HITTER * total / 2)  # 2 / HITTER rows at most
     hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hitters.select("digest").collect()], np.int64)))
     records = keyed.where("id is not null")
     members, _ = sorted_runs(records.select("key", "id"), "key", "id", written=True)
     copies = materialize(members.where("id <> rep").select("id"), "copies")
-    firsts = src.join(copies, "id", "left_anti")
+    firsts = spread(src).join(copies, "id", "left_anti")
 
     def side(is_train: bool, to: str) -> DataFrame:
-        one = spread(firsts.where(F.col("train") == is_train)).select("id", "train", "text").mapInArrow(_emit(similarity, share, hot), "chunk bigint, id bigint, n int, sketch bigint, rolling boolean")
-        return one.select("chunk", F.col("id").alias(to), F.col("n").alias(f"n_{to}"), F.col("sketch").alias(f"sketch_{to}"), *(["rolling"] if to == "e" else []))
+        one = firsts.where(F.col("train") == is_train).select("id", "train", "text").mapInArrow(_emit(similarity, share, hot), "chunk bigint, id bigint, seen bigint, rolling boolean")
+        return one.select("chunk", F.col("id").alias(to), F.col("seen").alias(f"seen_{to}"), *(["rolling"] if to == "e" else []))
 
     slack = (1 - similarity) / (1 + similarity)
-    near = F.bit_count(F.col("sketch_t").bitwiseXOR(F.col("sketch_e"))) <= (F.col("n_t") + F.col("n_e")) * slack + 1e-9
-    sized = F.least("n_t", "n_e") >= F.greatest("n_t", "n_e") * similarity - 1e-9
+    n_t, n_e = (F.shiftright(f"seen_{x}", 32) for x in "te")
+    near = F.bit_count(F.col("seen_t").bitwiseXOR(F.col("seen_e")).bitwiseAND(F.lit(0xFFFFFFFF))) <= (n_t + n_e) * slack + 1e-9
+    sized = F.least(n_t, n_e) >= F.greatest(n_t, n_e) * similarity - 1e-9
     met = side(True, "t").join(side(False, "e"), "chunk").where(sized & near).select("t", "e", "rolling")
     letters = lambda is_train, to: records.where(F.col("train") == is_train).join(copies, "id", "left_anti").select("whole", F.col("id").alias(to))
     alike = letters(True, "t").join(letters(False, "e"), "whole").select("t", "e", F.lit(False).alias("rolling"))

@@ -220,8 +220,12 @@ def test_p5_rows_are_linear_in_the_words():
     for n in (5, 26, 500, 5000, 50_000):
         h = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * 2)
         for train in (True, False):
-            rec, digest = split_overlap.range_chunks(h, np.array([0, n]), np.array([train]), 0.8)
+            rec, digest, group = split_overlap.range_chunks(h, np.array([0, n]), np.array([train]), 0.8)
             assert len(rec) == len(digest) <= (1 if train else 3) * 2 * n and len(set(digest.tolist())) == len(digest)
+            for hot in (digest[:0], digest):  # also where every range is a heavy hitter
+                rec, chunks = split_overlap.meeting_chunks(rec, digest, group, hot.view(np.int64))
+                assert len(rec) == len(chunks) <= (1 if train else 3) * max(5 * n, 153)
+                rec = np.zeros(len(digest), np.int64)
     other = np.sort(rng.integers(0, 1 << 63, 12, dtype=np.uint64) * 2)
     mine = np.sort(rng.integers(0, 1 << 63, 12, dtype=np.uint64) * 2)
     two = [set(split_overlap.range_chunks(x, np.array([0, 12]), np.array([t]), 0.8)[1].tolist()) for x, t in ((other, True), (mine, False))]
@@ -231,7 +235,7 @@ def test_p5_rows_are_linear_in_the_words():
 def test_p5_every_similar_pair_has_a_range_in_common():
     rng = np.random.default_rng(2)
     for _ in range(400):
-        n = int(rng.integers(5, 60))
+        n = int(rng.integers(5, 60) if _ % 10 else rng.integers(100, 900))
         h = rng.integers(0, 1 << 62, n, dtype=np.uint64) * 4
         drop = int(rng.integers(0, n // 9 + 1))
         kept = h[drop:]
@@ -240,8 +244,10 @@ def test_p5_every_similar_pair_has_a_range_in_common():
         if len(kept) < 0.8 * (n + len(other) - len(kept)) or len(other) < 5:
             continue
         for a, b in ((h, other), (other, h)):
-            chunks = [set(split_overlap.range_chunks(np.sort(x), np.array([0, len(x)]), np.array([t]), 0.8)[1].tolist()) for x, t in ((a, True), (b, False))]
-            assert chunks[0] & chunks[1]
+            cut = [split_overlap.range_chunks(np.sort(x), np.array([0, len(x)]), np.array([t]), 0.8) for x, t in ((a, True), (b, False))]
+            for hot in (cut[0][1][:0], np.concatenate([cut[0][1], cut[1][1]]), cut[0][1][::2]):
+                chunks = [set(split_overlap.meeting_chunks(*c, hot.view(np.int64))[1].tolist()) for c in cut]
+                assert chunks[0] & chunks[1]
 
 
 def test_p5_heavy_chunks_come_last():
