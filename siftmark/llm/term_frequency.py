@@ -2,65 +2,52 @@
 
 Method: per-record term counts, combined partially by hash before the shuffle, then sums of occurrences and record counts with
 frequency bounds applied to them. Counting within a record needs no shuffle, but nested array functions of the JVM compute the
-token array again for every element, so a task counts in Python with one dictionary, which is also the first combiner: a task
-passes on one row per term and not one per occurrence.
+token array again for every element, so a batch of records is counted in Python over the numbers that a hash table gives to its
+terms, which is also the first combiner: a task passes on one row per term and batch and not one per occurrence.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.functions.text import LOWER, UPPER
-from siftmark.plans.spread import spread
-
-#: Terms a task holds before it passes its partial counts on; bounds memory, not results.
-TASK_TERMS = 1 << 18
-_TOKEN = re.compile("[a-z0-9_'\x80-\U0010ffff]+")
-_FOLD = str.maketrans(UPPER, LOWER)
+from siftmark.functions.text import python_tokens
+from siftmark.operators.grams import Tokenised
+from siftmark.plans.spread import slices, spread
 
 
 def tokens(text: str) -> list[str]:
     """The tokens of :func:`siftmark.functions.text.tokens`, in Python."""
-    return _TOKEN.findall(text.lower() if text.isascii() else text.translate(_FOLD))
+    return python_tokens(text)
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter[str] = Counter()
-    docs: Counter[str] = Counter()
-
-    def flush() -> pa.RecordBatch:
-        terms = list(count)
-        out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([count[t] for t in terms], pa.int64()), pa.array([docs[t] for t in terms], pa.int64())], names=["term", "n", "d"])
-        count.clear(), docs.clear()
-        return out
-
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            if text:
-                found = tokens(text)
-                count.update(found)
-                docs.update(set(found))
-        if len(count) > TASK_TERMS:
-            yield flush()
-    yield flush()
+    """Occurrences and records of each term of a batch; terms get numbers by a hash table, and the JVM adds up a task's batches by hash."""
+    for big in batches:
+        for b in slices(big, 0):
+            t = Tokenised(b.column(0).to_pylist())
+            size = len(t.vocabulary)
+            count = np.bincount(t.code, minlength=size)
+            docs = np.bincount(np.unique(t.doc * size + t.code) % max(1, size), minlength=size)
+            seen = pa.array(np.flatnonzero(count))
+            yield pa.RecordBatch.from_arrays([t.vocabulary.take(seen), pa.array(count).take(seen), pa.array(docs).take(seen)], names=["term", "n", "d"])
 
 
 def _per_record(min_tf: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, sizes, terms, tfs = [], [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = tokens(text) if text else []
-                for term, tf in Counter(found).items():
-                    if tf >= min_tf:
-                        ids.append(i), sizes.append(len(found)), terms.append(term), tfs.append(tf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], names=["id", "n_tokens", "term", "tf"])
+        for big in batches:
+            for b in slices(big, 1):
+                t = Tokenised(b.column(1).to_pylist())
+                size = len(t.vocabulary)
+                pair, tf = np.unique(t.doc * size + t.code, return_counts=True)
+                pair, tf = pair[tf >= min_tf], tf[tf >= min_tf]
+                doc, code = pair // max(1, size), pair % max(1, size)
+                n = np.bincount(t.doc, minlength=b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(n[doc].astype(np.int32)), t.vocabulary.take(pa.array(code)), pa.array(tf.astype(np.int32))], names=["id", "n_tokens", "term", "tf"])
 
     return run
 
