@@ -9,7 +9,7 @@ import pytest
 from conftest_rows import rows
 from pyspark.sql import functions as F
 
-from siftmark.llm import distinctive_terms, encoding, format_duplicates, gear, leakage, lookalikes, reading_level, shared_spans, split_overlap, term_frequency
+from siftmark.llm import distinctive_terms, encoding, format_duplicates, gear, leakage, lookalikes, queries, reading_level, shared_spans, split_overlap, term_frequency
 from siftmark.plans import spread
 
 CORPUS = "row_idx bigint, uid string, text string, label string, split string, source string"
@@ -286,6 +286,17 @@ def test_p6(spark, corpus, data):
     assert distinctive_terms.distinctive_terms(alone, "row_idx").count() == 1
 
 
+def test_p6_found_has_no_stage_without_effect(spark, corpus, data, tmp_path):
+    """Its rows rest on counts, so nothing but the corpus and one scan of the statistics is in the plan; the scores need the total too."""
+    corpus.write.parquet(f"{tmp_path}/corpus.parquet")
+    found, scores = queries.p6_found(spark, str(tmp_path)), queries.p6_scores(spark, str(tmp_path))
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves(found) == 2 and leaves(scores) == 3
+    assert rows(found) == brute.p6(data) == rows(scores.where("tf >= 3 and doc_count between 2 and 5").select("row_idx", "term"))
+    assert rows(distinctive_terms.counted_terms(corpus, "row_idx")) == rows(distinctive_terms.distinctive_terms(corpus, "row_idx").drop("z"))
+    assert distinctive_terms.counted_terms(corpus.limit(0), "row_idx").count() == 0
+
+
 TEXTS = [None, "", " ", "Hello <|endoftext|> world's  end\n\n x", "日本語とEnglish", "a" * 5000, " " * 700, "word " * 400, "é́" * 300, "x1y2" * 500, "mixed 123 " * 90 + "!" * 600 + " tail"]
 
 
