@@ -316,7 +316,8 @@ def gram_stats_delivery(spark, d):
     rows = G.exploded(_t(spark, d, "corpus").where("text is not null"), 2, "row_idx").select(shard.alias("shard_id"), "gram", "n")
     ours = rows.groupBy("shard_id", "gram", "n").agg(F.count(F.lit(1)).alias("ours"))
     theirs = _t(spark, d, "gram_stats").select("shard_id", "gram", "n", "gram_count").distinct()
-    return theirs.join(ours, ["shard_id", "gram", "n"], "left").where("not (gram_count <=> ours)").select("shard_id", "gram", "n", "gram_count", F.coalesce("ours", F.lit(0)).alias("ours"))
+    # Spark estimates the n-grams by the size of the file, which is far too low, and would broadcast them: so merge
+    return theirs.join(ours.hint("merge"), ["shard_id", "gram", "n"], "left").where("not (gram_count <=> ours)").select("shard_id", "gram", "n", "gram_count", F.coalesce("ours", F.lit(0)).alias("ours"))
 
 
 @_query

@@ -65,3 +65,20 @@ def test_lineage_walks_to_the_root(spark):
     rows = [(f"d{i}", f"t{i}", f"d{i - 1}" if i else None, "x", float(i)) for i in range(n)]
     v = spark.createDataFrame(rows, "digest string, tag string, parent_digest string, transform_name string, created_at double")
     assert sorted((r["depth"], r["digest"]) for r in lineage(v, f"t{n - 1}").collect()) == [(k, f"d{n - 1 - k}") for k in range(n)]
+
+
+def test_delivery_is_checked_without_a_broadcast_of_the_counts(spark, tmp_path):
+    """A small corpus file holds many n-grams; they must not go through the driver."""
+    rows = 4000
+    text = F.when(F.col("id") != 7, F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), F.col("id") % 997) for k in range(20))))
+    spark.range(rows).select(F.col("id").alias("row_idx"), text.alias("text")).coalesce(1).write.parquet(f"{tmp_path}/corpus.parquet")
+    given = [(0, "w0x5", 1, 1), (0, "w0x5", 1, 1), (0, "w0x5", 1, 2), (0, "w0x7", 1, 1), (1, "w3x8 w4x8", 2, None), (3, "w0x0 w1x0", 2, 1), (3, "w19x9", 1, 5), (9, "w0x5", 1, 3), (None, "w0x5", 1, 1)]
+    spark.createDataFrame(given, "shard_id bigint, gram string, n int, gram_count bigint").write.parquet(f"{tmp_path}/gram_stats.parquet")
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "1m")
+    try:
+        got = sorted(map(tuple, queries.queries()["gram_stats_delivery"](spark, str(tmp_path)).collect()), key=repr)
+    finally:
+        spark.conf.set(limit, before)
+    assert got == sorted([(0, "w0x5", 1, 2, 1), (0, "w0x7", 1, 1, 0), (1, "w3x8 w4x8", 2, None, 1), (3, "w19x9", 1, 5, 2), (9, "w0x5", 1, 3, 0), (None, "w0x5", 1, 1, 0)], key=repr)
